@@ -170,7 +170,7 @@ class Labeller:
         self.scores = np.empty((0, len(model.labels)), np.float32)
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        new = set(words) - self.place.keys()
+        new = set(words).difference(self.place)
         if len(self.place) + len(new) > KEPT:
             self.place, self.scores, new = {}, self.scores[:0], set(words)
         if new:
@@ -239,7 +239,7 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
 
 
 #: Texts below this score are in no learned language.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

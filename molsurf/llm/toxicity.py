@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLE, TELLING, FOLDS = 8000, 400, 5
+SAMPLE, TELLING, FOLDS = 6000, 120, 3
 CATEGORIES = ("low_quality", "toxic", "severe_toxic")
 STEMS = (4, 5, 6)
 SHARES = 5
@@ -55,7 +55,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 8) -> np.ndarray:
     """Weights, bias last, by Newton's method."""
     x = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(x.shape[1])
@@ -84,7 +84,7 @@ class Chain:
         kept = {} if kept is None else kept
         for i, t in enumerate(texts):
             words = Counter(t.translate(WORDS).split())
-            for w in words.keys() - kept.keys():
+            for w in set(words).difference(kept):
                 kept[w] = tuple(k for s in (w, *stems(w)) if (k := self.index.get(s)) is not None)
             for w, n in words.items():
                 for k in kept[w]:
@@ -101,32 +101,34 @@ class Chain:
         return x[:, -len(self.weights) :]
 
 
-def telling(texts: list[bytes], y: np.ndarray, most: int) -> list[bytes]:
-    """The words and stems whose document frequencies tell y best."""
-    inside, outside = Counter(), Counter()
-    for t, own in zip(texts, y):
+def telling(texts: list[bytes], groups: list[np.ndarray], most: int) -> list[list[bytes]]:
+    """For each group (a mask of the texts), the words and stems whose document frequencies tell it best."""
+    every, inside = Counter(), [Counter() for _ in groups]
+    for i, t in enumerate(texts):
         words = set(t.translate(WORDS).split())
-        (inside if own else outside).update(words.union(*map(stems, words)) if words else ())
-    n, m = int(y.sum()), int(len(y) - y.sum())
-    least = max(3, n // 400)
-    found = []
-    for w, c in inside.items():
-        if c >= least:
-            ratio = np.log((c + 0.5) / (n + 1)) - np.log((outside[w] + 0.5) / (m + 1))
-            if ratio > 1.5:
-                found.append((ratio * np.sqrt(c), w))
-    return [w for _, w in sorted(found, reverse=True)[:most]]
+        words.update([w[:n] + b"*" for w in words for n in STEMS if len(w) > n])
+        every.update(words)
+        for c, y in zip(inside, groups):
+            if y[i]:
+                c.update(words)
+    out = []
+    for c, y in zip(inside, groups):
+        n, m = int(y.sum()), int(len(y) - y.sum())
+        ratio = lambda w, k: np.log((k + 0.5) / (n + 1)) - np.log((every[w] - k + 0.5) / (m + 1))
+        found = [(r * np.sqrt(k), w) for w, k in c.items() if k >= max(3, n // 400) and (r := ratio(w, k)) > 1.5]
+        out.append([w for _, w in sorted(found, reverse=True)[:most]])
+    return out
 
 
 def fit(texts: list[bytes], quality: np.ndarray, toxic: np.ndarray, folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
     """The chain, and the out-of-fold probabilities [text, category] of its training texts."""
-    own_words = {c: telling(texts, y, TELLING) for c, y in (("low_quality", quality == 0), ("toxic", toxic == 1))}
-    index = {w: k for k, w in enumerate(dict.fromkeys(own_words["low_quality"] + own_words["toxic"]))}
+    poor_words, toxic_words = telling(texts, [quality == 0, toxic == 1], TELLING)
+    index = {w: k for k, w in enumerate(dict.fromkeys(poor_words + toxic_words))}
     chain = Chain(index, np.ones(len(index) + SHARES), [])
     x = chain.features(texts)
     chain.scale = 1 / np.maximum(x.std(0), 0.05)
     x = x * chain.scale
-    hits = (x[:, [index[w] for w in own_words["toxic"]]] > 0).sum(1)
+    hits = (x[:, [index[w] for w in toxic_words]] > 0).sum(1)
     severe = (toxic == 1) & (hits >= np.median(hits[toxic == 1])) if (toxic == 1).any() else toxic == 1
     fold = np.arange(len(texts)) % folds
     out = np.zeros((len(texts), 0))
@@ -174,7 +176,7 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
 
 
 #: From this probability on, a text is toxic.
-TOXIC = 0.5
+TOXIC = 0.3
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
