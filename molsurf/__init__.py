@@ -1 +1,8 @@
 """Molecular-surface analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
