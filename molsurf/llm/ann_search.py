@@ -34,6 +34,8 @@ from .common import checkpointed, table
 from .embedding_dedup import matrix, usable
 
 K, EVERY, M, CONFIDENCE, CELL, LEAF, SAMPLE, SEED = 10, 100, 8, 0.995, 4096, 32, 20_000, 5
+#: Queries that a cell searches at a time.
+BLOCK = 4096
 
 
 def chi2_cdf(x: float, m: int = M) -> float:
@@ -173,8 +175,14 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K, confidence: floa
                 out.append(pd.DataFrame({"query_id": q, "vec_id": i, "score": d}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
+    blocks = -(-asked.count() // BLOCK) or 1
+
     def visited(queries: DataFrame) -> DataFrame:
-        return rows.groupBy("dim", "cell").cogroup(queries.groupBy("dim", "cell")).applyInPandas(visit, "query_id long, vec_id long, score double")
+        """Each cell meets its queries a block at a time, so no group grows with their number."""
+        dealt = queries.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+        every_block = rows.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        keys = ["dim", "cell", "blk"]
+        return every_block.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(visit, "query_id long, vec_id long, score double")
 
     home = checkpointed(visited(asked.withColumn("bound", F.lit(float("inf")))))
     kth = home.groupBy("query_id").agg(F.max("score").alias("_d"), F.count("*").alias("_n")).select("query_id", F.when(F.col("_n") >= k, F.col("_d")).otherwise(float("inf")).alias("bound"))

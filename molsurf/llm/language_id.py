@@ -138,8 +138,10 @@ def cut(words: list[bytes], size: int, most: int) -> list[list[bytes]]:
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Crf | None:
     """Fit on a bounded sample of (doc_id, text, lang)."""
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text").withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= per_lang)
-    rows = sample.select("lang", "text", "doc_id").orderBy("doc_id").toPandas()
+    ids = docs.where("lang is not null").select("doc_id", "lang").withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= per_lang).drop("_r").distinct()
+    # texts are not shuffled: the broadcast has at most per_lang rows of each language
+    sample = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    rows = sample.select("lang", "text", "doc_id").orderBy("doc_id", "text").toPandas()
     size = CHAIN // 2
     data = [(lang, c) for lang, text in zip(rows["lang"], rows["text"]) for c in cut(words_of(text), size, TRAIN_CHAINS)]
     if not data:

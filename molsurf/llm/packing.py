@@ -233,14 +233,13 @@ def local_search(bins: Counter[Pattern], capacity: int, failures: int = 4) -> Co
 
 
 def improve(bins: Counter[Pattern], own: Pattern, capacity: int) -> tuple[Pattern, tuple[int, ...], tuple[int, ...]] | None:
-    """The move or swap that leaves ``own`` lightest: a move first, of the largest document to the best fit; else the swap that hands over most."""
+    """A move of the largest document to its best fit; else the swap that hands over most. As own is the lightest bin, either raises the sum of squared fills."""
     mine = [s for s, _ in own]
     pairs = sorted({(a, b) for i, a in enumerate(mine) for b in mine[i:] if a != b or dict(own)[a] > 1})
     best_move, best_swap = None, None
-    weight = fill(own)
     for p in bins:
         room = capacity - fill(p)
-        if not room or fill(p) + (mine[0] if mine else 0) < weight and fill(p) < weight:
+        if not room:
             continue
         for x in mine:
             if x <= room:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, forest, in_runs, split_hot, table, whole_runs
+from .common import checkpointed, components, forest, in_runs, partitions, split_hot, table, whole_runs
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 HOT = 4096
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
     """(first bit, bits): as few segments as leave at most one differing bit in one of them."""
-    k = distance // 2 + 1
+    k = max(2, distance // 2 + 1)  # two at least, so that a segment leaves room for its bit's number in a key
     cuts = [round(i * BITS / k) for i in range(k + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -69,7 +69,7 @@ def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for first, width in parts:
                 own = (fp >> np.uint64(first)) & np.uint64((1 << width) - 1)
-                keys = np.concatenate([(own & ~np.uint64(1 << j)) | np.uint64((first + j) << 56 if width <= 56 else 0) for j in range(width)])
+                keys = np.concatenate([(own & ~np.uint64(1 << j)) | np.uint64((first + j) << 56) for j in range(width)])
                 for i in range(0, len(keys), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(np.tile(fp, width)[i : i + (1 << 16)].view(np.int64))], names=["key", "fp"])
 
@@ -102,7 +102,8 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, blk: np.ndarray, cross: np.ndar
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): links of distinct fingerprints, as a forest of each run."""
-    keyed = split_hot(variants(fps, distance), ["key"], "fp", HOT)
+    dealt = fps.repartition(partitions(fps.sparkSession), "fp")  # few bytes, so else few tasks would make all variants
+    keyed = split_hot(variants(dealt, distance), ["key"], "fp", HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches, ["key", "gi", "gj"]):

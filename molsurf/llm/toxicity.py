@@ -6,8 +6,8 @@ those probabilities come out of fold: a text's are predicted by models that
 have not seen it. The final models are then fit on all training texts.
 
 Features: words, and word beginnings of 4, 5 and 6 bytes, that tell a category's
-texts from the others by their document frequencies, and a few shares of
-character kinds. Texts are read whole.
+texts from the others by their document frequencies; and, for low quality only,
+a few shares of character kinds. Texts are read whole.
 
 The labels table names quality and toxic. The chain's categories are low_quality
 (quality 0), toxic (toxic 1) and severe_toxic: toxic with at least as many
@@ -115,7 +115,7 @@ def telling(texts: list[bytes], groups: list[np.ndarray], most: int) -> list[lis
     for c, y in zip(inside, groups):
         n, m = int(y.sum()), int(len(y) - y.sum())
         ratio = lambda w, k: np.log((k + 0.5) / (n + 1)) - np.log((every[w] - k + 0.5) / (m + 1))
-        found = [(r * np.sqrt(k), w) for w, k in c.items() if k >= max(3, n // 400) and (r := ratio(w, k)) > 1.5]
+        found = [(r * np.sqrt(k), w) for w, k in c.items() if k >= (max(3, n // 400) if n > 60 else 2) and (r := ratio(w, k)) > 1.5]
         out.append([w for _, w in sorted(found, reverse=True)[:most]])
     return out
 
@@ -132,9 +132,11 @@ def fit(texts: list[bytes], quality: np.ndarray, toxic: np.ndarray, folds: int =
     severe = (toxic == 1) & (hits >= np.median(hits[toxic == 1])) if (toxic == 1).any() else toxic == 1
     fold = np.arange(len(texts)) % folds
     out = np.zeros((len(texts), 0))
-    for y in (quality == 0, toxic == 1, severe):
+    by_words = x.copy()
+    by_words[:, len(index) :] = 0  # shares tell poor texts; only words tell toxic ones
+    for y, own in ((quality == 0, x), (toxic == 1, by_words), (severe, by_words)):
         y = y.astype(float)
-        seen = np.hstack((x, out))
+        seen = np.hstack((own, out))
         p = np.zeros(len(texts))
         for k in range(folds):
             held = fold == k
@@ -176,7 +178,7 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
 
 
 #: From this probability on, a text is toxic.
-TOXIC = 0.3
+TOXIC = 0.2
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
