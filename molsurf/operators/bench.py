@@ -101,3 +101,44 @@ def select_shard(files: DataFrame, order: list[Column], shards: int, shard: int,
     numbered = files.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).where(F.pmod("_i", F.lit(shards)) == shard)
     out = numbered.orderBy("_i").offset(offset)
     return (out if limit is None else out.limit(limit)).drop("_i")
+
+
+GRAINS = {"method": ["method"], "variant": ["method", "variant_name", "method_parameter_hash"], "interface": ["method", "interface_mode"]}
+
+
+def summarize(records: DataFrame, values: tuple[str, ...] = ("wall_seconds", "cuda_event_ms", "point_count", "points_per_wall_second", "gpu_peak_allocated_mb", "atom_count")) -> DataFrame:
+    """Statistics of successful runs by method, by variant and by interface, in one pass over the records.
+
+    Each value has its mean, median, p90, p95 and maximum over its non-null
+    values; clean_<value> of the two timings leaves profiled runs out.
+    """
+    keys = list(dict.fromkeys(k for g in GRAINS.values() for k in g))
+    ok = F.col("status") == "ok"
+    columns = {v: F.when(ok, F.col(v)) for v in values} | {f"clean_{v}": F.when(ok & F.col("clean"), F.col(v)) for v in ("wall_seconds", "points_per_wall_second")}
+    stats = lambda c: F.struct(F.avg(c).alias("mean"), F.median(c).alias("median"), F.percentile(c, F.lit(0.9)).alias("p90"), F.percentile(c, F.lit(0.95)).alias("p95"), F.max(c).alias("max"))
+    sets = records.groupingSets([[F.col(k) for k in g] for g in GRAINS.values()], *keys)
+    out = sets.agg(F.grouping_id().alias("_g"), F.count("*").alias("records"), F.count_if(ok).alias("ok"), F.count_if(ok & F.col("clean")).alias("clean"), *[stats(c).alias(n) for n, c in columns.items()])
+    grain = F.lit(None)
+    for name, g in GRAINS.items():
+        absent = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in g)
+        grain = F.when(F.col("_g") == absent, name).otherwise(grain)
+    return out.withColumn("grain", grain).drop("_g")
+
+
+def reference_status(records: DataFrame) -> DataFrame:
+    """Successful runs by the status of their reference metrics."""
+    return records.where("status = 'ok'").groupBy("method", F.coalesce("reference_metrics.status", F.lit("none")).alias("reference_status")).agg(F.count("*").alias("records"))
+
+
+def profile_ops(payloads: DataFrame, n: int = 50) -> DataFrame:
+    """Of payloads with top_ops struct of arrays cuda_time, cpu_time and memory: totals by operation, the n costliest."""
+    lists = F.concat(*[F.coalesce(F.col(f"top_ops.{b}"), F.array()) for b in ("cuda_time", "cpu_time", "memory")])
+    each = payloads.select(F.explode(lists).alias("o")).select("o.*").where("key IS NOT NULL AND key <> ''")
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    sums = each.groupBy("key").agg(F.count("*").alias("profiles"), *[total(c).alias(c) for c in ("count", "cuda_time_total_us", "cpu_time_total_us", "cuda_memory_usage_bytes")])
+    return sums.orderBy(F.desc("cuda_time_total_us"), F.desc("cpu_time_total_us"), F.desc(F.abs("cuda_memory_usage_bytes")), "key").limit(n)
+
+
+def slowest_calls(payloads: DataFrame, n: int = 50) -> DataFrame:
+    """Of payloads with top_calls array<struct<name, wall_seconds>>: the n slowest single calls."""
+    return payloads.select("pdb_id", "method", "interface_mode", F.explode("top_calls").alias("c")).select("pdb_id", "method", "interface_mode", "c.*").orderBy(F.desc(F.coalesce("wall_seconds", F.lit(0.0))), "pdb_id", "name").limit(n)

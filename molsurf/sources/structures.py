@@ -78,6 +78,15 @@ def read_pdb(spark: SparkSession, path: str, *, center: bool = False, chains: st
     return rows.select(*NAMES)
 
 
+def atom_counts(spark: SparkSession, path: str, hetatm: bool = True, hydrogens: bool = True) -> DataFrame:
+    """(mol_id, atoms, bytes) of structure files by their lines alone, for ordering and sharding."""
+    lines = spark.read.text(path, pathGlobFilter="*.pdb").select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.pdb)?$", 1).alias("mol_id"), F.col("_metadata.file_size").alias("bytes"), "value")
+    own = F.col("value").rlike("^(ATOM  |HETATM)" if hetatm else "^ATOM  ")
+    if not hydrogens:
+        own = own & ~normalized_element(F.substring("value", 77, 2), F.trim(F.substring("value", 13, 4))).isin("H", "D")
+    return lines.groupBy("mol_id").agg(F.count_if(own).alias("atoms"), F.max("bytes").alias("bytes"))
+
+
 # The files of an NPY set and their columns.
 NPY = {
     "atomtype_indices": "type_idx", "atomradii": "radius", "atomserials": "atom_serial", "residue_numbers": "residue_number", "chain_indices": "chain_index", "model_indices": "model_index", "occupancy": "occupancy", "bfactors": "b_factor",
@@ -176,23 +185,78 @@ def tetrahedron() -> np.ndarray:
     return np.array([[1, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1]]) / np.sqrt(3)
 
 
-def ring(n: int, radius: float, z: float = 0.0, turn: float = 0.0) -> np.ndarray:
+def ring(n: int, radius: float, z: np.ndarray | float = 0.0, turn: float = 0.0) -> np.ndarray:
     a = 2 * np.pi * np.arange(n) / n + turn
-    return np.stack((radius * np.cos(a), radius * np.sin(a), np.full(n, z)), 1)
+    return np.stack((radius * np.cos(a), radius * np.sin(a), np.broadcast_to(z, n)), 1)
+
+
+def along(heavy: np.ndarray, direction: np.ndarray) -> np.ndarray:
+    """Hydrogens one C-H bond (1.09) away in the directions."""
+    return heavy + 1.09 * direction / np.linalg.norm(direction, axis=1, keepdims=True)
+
+
+def flat(p: np.ndarray, z: np.ndarray | float = 0.0) -> np.ndarray:
+    """The in-plane part of points, with heights z."""
+    out = p.copy()
+    out[:, 2] = z
+    return out
+
+
+def joined(*parts: tuple[str, np.ndarray]) -> tuple[str, np.ndarray]:
+    """Parts of (element for all, or elements in words; coordinates)."""
+    words = [w for e, p in parts for w in (e.split() if " " in e else [e] * len(p))]
+    return " ".join(words), np.vstack([p for _, p in parts])
+
+
+def carbon_cage(shells: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, np.ndarray]]:
+    """Carbons, each with a hydrogen in its direction."""
+    return [x for c, d in shells for x in (("C", c), ("H", along(c, d)))]
 
 
 def demo_molecules() -> dict[str, tuple[str, np.ndarray]]:
-    """name -> (elements, coordinates): small molecules and cages for trying the samplers."""
-    # Coordinates of water, carbon dioxide, ammonia and ethanol.
+    """name -> (elements, coordinates): small molecules, and rings and cages for trying accessibility."""
+    # Coordinates of water, carbon dioxide, ammonia, ethanol and methionine.
     out = {
         "H2O": ("O H H", np.array([[0, 0, 0], [0.9572, 0, 0], [-0.2390, 0.9270, 0]])),
         "CO2": ("O C O", np.array([[-1.16, 0, 0], [0, 0, 0], [1.16, 0, 0]])),
         "NH3": ("N H H H", np.array([[0, 0, 0], [0.94, 0, -0.36], [-0.47, 0.8141, -0.36], [-0.47, -0.8141, -0.36]])),
         "Ethanol": ("C C O H H H H H H", np.array([[0, 0, 0], [1.52, 0, 0], [2.12, 1.21, 0], [-0.54, 0.93, 0], [-0.54, -0.465, 0.805], [-0.54, -0.465, -0.805], [1.91, -0.52, 0.89], [1.91, -0.52, -0.89], [2.95, 1.1, 0]])),
-    }
-    out["CH4"] = ("C H H H H", np.vstack((np.zeros((1, 3)), 1.09 * tetrahedron())))
-    out["Benzene"] = (" ".join("C" * 6 + "H" * 6), np.vstack((ring(6, 1.397), ring(6, 2.481))))
-    out["Octahedral cage"] = (" ".join("C" * 6), 3.0 * np.vstack((np.eye(3), -np.eye(3))))
+        "Methionine": (
+            "N C C O O C C S C H H H H H H H H H H H",
+            np.array([
+                [0, 0, 0], [1.45, 0, 0], [2.15, 1.25, 0], [1.64, 2.33, 0], [3.37, 1.22, 0], [2.25, -1.2, 0], [3.78, -1.08, 0], [4.46, -2.72, 0], [6.18, -2.46, 0], [-0.34, 0.54, 0.81],
+                [-0.34, 0.54, -0.81], [1.7, 0.02, 1.04], [2.01, -2.16, 0.44], [2.01, -1.26, -1.03], [4.16, -0.5, 0.84], [4.16, -0.5, -0.84], [6.52, -1.43, 0], [6.52, -2.96, 0.88], [6.52, -2.96, -0.88], [3.79, 1.97, 0],
+            ]),
+        ),
+    }
+    # Radii, heights and waves of the rings and cages.
+    out["CH4"] = joined(("C", np.zeros((1, 3))), ("H", 1.09 * tetrahedron()))
+    out["Benzene"] = joined(("C", ring(6, 1.39)), ("H", ring(6, 2.48)))
+    left, right = ring(6, 1.4, turn=np.pi / 6), ring(6, 1.4, turn=np.pi / 6) + [1.4 * np.sqrt(3), 0, 0]
+    outer = [1, 2, 3, 4], [0, 1, 4, 5]
+    out["Naphthalene"] = joined(("C", left), ("C", right[outer[1]]), ("H", along(left[outer[0]], left[outer[0]])), ("H", along(right[outer[1]], (right - [1.4 * np.sqrt(3), 0, 0])[outer[1]])))
+    chair = ring(6, 1.34, 0.38 * np.array([1, -1, 1, -1, 1, -1]))
+    up = np.sign(chair[:, 2])
+    out["Cyclohexane chair"] = joined(("C", chair), ("H", along(chair, flat(0 * chair, up))), ("H", along(chair, flat(chair / 1.34, -0.25 * up))))
+    turn = 2 * np.pi * np.arange(20) / 20
+    pore = ring(20, 4.35, 0.08 * np.sin(4 * turn))
+    out["Porphyrin pore"] = joined((" ".join("N" if k % 5 == 0 else "C" for k in range(20)), pore), ("H", along(pore, flat(pore))[np.arange(20) % 5 > 0]))
+    turn = 2 * np.pi * np.arange(18) / 18
+    crown = ring(18, 4.08, 0.28 * np.sin(3 * turn))
+    side, tangent, lift = flat(crown) / 4.08, np.stack((-np.sin(turn), np.cos(turn), 0 * turn), 1), 0.45 * (-1.0) ** np.arange(18)
+    carbons = np.arange(18) % 3 > 0
+    out["18-Crown-6 cavity"] = joined((" ".join("C" if c else "O" for c in carbons), crown), *[("H", along(crown, flat(0.85 * side + h * 0.25 * tangent, h * lift))[carbons]) for h in (1, -1)])
+    out["Octahedral probe cage"] = joined(("C", 3.0 * np.vstack((np.eye(3), -np.eye(3)))))
+    golden = (1 + np.sqrt(5)) / 2
+    shell = np.array([np.roll([0, a, b * golden], k) for a in (-1, 1) for b in (-1, 1) for k in range(3)])
+    shell = 3.25 * shell / np.linalg.norm(shell, axis=1, keepdims=True)
+    out["Closed carbon shell"] = joined(("C", shell), ("H", along(shell, shell)))
+    walls = [ring(12, 3.35, z) for z in (-2.15, 0.0, 2.15)]
+    caps = [ring(4, 1.55, z) for z in (-3.85, 3.85)]
+    out["Sealed nanotube capsule"] = joined(*carbon_cage([(w, flat(w, 0.25 * np.sign(w[:, 2]))) for w in walls] + [(c, flat(c / 1.55, np.sign(c[:, 2]))) for c in caps]), ("C", np.array([[0, 0, -3.85], [0, 0, 3.85]])))
+    rings = [np.roll(ring(10, r, x + dx), 1, 1) for x in (-2.35, 2.35) for dx, r in ((-1.25, 2.65), (0.0, 3.05), (1.25, 2.65))]
+    outward = lambda p: np.hstack((0.25 * np.sign(p[:, :1]), p[:, 1:]))
+    out["Double chamber cage"] = joined(*carbon_cage([(p, outward(p)) for p in rings]), ("N", np.roll(ring(8, 1.75), 1, 1)))
     return out
 
 

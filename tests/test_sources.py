@@ -110,3 +110,36 @@ def test_stream_drops_repeated_runs_and_compares(spark, tmp_path):
     assert q.exception() is None
     assert spark.read.parquet(str(tmp_path / "h")).count() == 1
     assert spark.read.parquet(str(tmp_path / "r")).where("regression").count() <= 1
+
+
+def test_three_grains_in_one_pass(spark, tmp_path):
+    rows = bench_json.read_records(spark, write(tmp_path / "g.jsonl", record("a", 1.0, 10), record("b", 3.0, 10), record("c", 9.0, 10, "x", interface_mode="normals"), record("d", 5.0, 1, status="error")))
+    got = {(r["grain"], r["variant_name"], r["interface_mode"]): (r["ok"], r["wall_seconds"]["median"]) for r in bench.summarize(bench.normalized(rows).withColumn("variant_name", rows["method_variant_name"])).collect()}
+    assert got["method", None, None] == (3, 3.0)
+    assert got["interface", None, "normals"] == (1, 9.0) and got["interface", None, "points"] == (2, 2.0)
+    assert got["variant", "x", None] == (1, 9.0)
+
+
+def test_profiles(spark):
+    op = "key string, count long, cuda_time_total_us double, cpu_time_total_us double, cuda_memory_usage_bytes long"
+    kind = f"pdb_id string, method string, interface_mode string, top_ops struct<cuda_time:array<struct<{op.replace(' ', ':').replace(',:', ',')}>>,cpu_time:array<struct<{op.replace(' ', ':').replace(',:', ',')}>>,memory:array<struct<{op.replace(' ', ':').replace(',:', ',')}>>>, top_calls array<struct<name:string,wall_seconds:double>>"
+    p = spark.createDataFrame([("a", "m", "points", ([("mul", 2, 5.0, 1.0, 0), ("add", 1, 9.0, 1.0, 0)], [("mul", 1, 6.0, 0.0, 4)], None), [("f", 1.0), ("g", 2.0)])], kind)
+    assert [(r["key"], r["count"], r["profiles"]) for r in bench.profile_ops(p).collect()] == [("mul", 3, 2), ("add", 1, 1)]
+    assert [r["name"] for r in bench.slowest_calls(p, 1).collect()] == ["g"]
+
+
+def test_counting_atoms_and_demo_molecules(spark, pdb, tmp_path):
+    pdb("n", line("ATOM", 1, "C", 0, element="C"), line("ATOM", 2, "H", 0, element="H"), line("HETATM", 3, "O", 10, element="O"))
+    assert st.atom_counts(spark, str(tmp_path), hetatm=False, hydrogens=False).first()["atoms"] == 1
+    for name, (elements, xyz) in st.demo_molecules().items():
+        gap = np.linalg.norm(xyz[:, None] - xyz, axis=2) + 9 * np.eye(len(xyz))
+        assert len(elements.split()) == len(xyz) and gap.min() > 0.5, name
+
+
+def test_command_line(spark, tmp_path):
+    from molsurf.cli import main
+
+    base, now = write(tmp_path / "b.jsonl", record("a", 1.0, 100)), write(tmp_path / "c.jsonl", record("a", 1.3, 100))
+    assert main(["compare", base, now, "--fail-on-regression"]) == 1
+    assert main(["compare", base, base, "--fail-on-regression"]) == 0
+    assert main(["sweep", base]) == 0
