@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SQRT_EPS
 from ..functions.formulas import q6, with_steps
 from ..operators.graph import GraphOptions, surface_edges
+from ..operators.points import even_picks, farthest_points, shape, windowed_neighbours
 from ..operators.spatial import nearest_k
 from ..sources.proxy import SQL as ATOMS
 from ..sources.proxy import atoms_proxy
@@ -114,3 +115,38 @@ def support_subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = met.where("atom = array_min(array_intersect(sa, sb))")
     met = met.withColumns({"in_b": F.size(F.array_except("sa", "sb")) == 0, "in_a": F.size(F.array_except("sb", "sa")) == 0})
     return met.where("in_a OR in_b").select("mol_id", "a", "b", (F.col("in_a") & F.col("in_b")).alias("same"))
+
+
+REACH = 8
+
+
+@query(
+    f""", k AS (
+  SELECT *, (floor((x - lx) / greatest(hx - lx, 1e-12) * 1023e0)::BIGINT * 1024 + floor((y - ly) / greatest(hy - ly, 1e-12) * 1023e0)::BIGINT) * 1024 + floor((z - lz) / greatest(hz - lz, 1e-12) * 1023e0)::BIGINT AS key
+  FROM (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy, min(z) OVER w AS lz, max(z) OVER w AS hz FROM pts WINDOW w AS (PARTITION BY mol_id))
+), o AS (SELECT *, row_number() OVER (PARTITION BY mol_id ORDER BY key, point_id) AS place FROM k)
+SELECT mol_id, src, dst, rank::INT AS rank, {q6('d')} AS d FROM (
+  SELECT *, row_number() OVER (PARTITION BY mol_id, src ORDER BY d, dst) AS rank FROM (
+    SELECT a.mol_id, a.point_id AS src, b.point_id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d
+    FROM o a JOIN o b ON a.mol_id = b.mol_id AND a.place <> b.place AND abs(a.place - b.place) <= {REACH})
+) WHERE rank <= {K}"""
+)
+def knn_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_neighbours(points(spark, sf_dir), K, REACH).select("mol_id", "src", "dst", "rank", F.expr(q6("d")).alias("d"))
+
+
+@query(" SELECT mol_id, point_id FROM (SELECT mol_id, point_id, count(*) OVER (PARTITION BY mol_id) AS n FROM pts) JOIN range(12) p ON p.range < least(n, 12) AND point_id = round_even(p.range * (n - 1)::DOUBLE / greatest(least(n, 12) - 1, 1), 0)::BIGINT GROUP BY ALL")
+def even_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return even_picks(points(spark, sf_dir), 12).select("mol_id", "point_id")
+
+
+def farthest_point_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return farthest_points(points(spark, sf_dir), 10)
+
+
+def shape_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = shape(atoms_proxy(spark, sf_dir))
+    return got.select("mol_id", *[F.round(F.col("eigenvalues")[k], 6).alias(f"e{k + 1}") for k in range(3)])
+
+
+QUERIES |= {f.__name__: f for f in (farthest_point_picks, shape_eigenvalues)}
