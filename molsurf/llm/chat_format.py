@@ -14,6 +14,7 @@ texts come back exactly.
 Null text or role counts as empty, null score as 0. A message whose parent is
 null or missing is a root. Messages whose ancestry runs in a circle have no root
 and so no path. Repeated ids stand side by side as if each were a message.
+Rows without tree_id or msg_id belong to no tree and are left out.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ that a pair at the threshold meets in some table with probability ``RECALL``
 Equal vectors are one node with a count. A pair counts in the first table that
 it meets in. Large buckets are split into pairs of blocks. Vectors that are
 null, empty, zero, or hold null or non-finite components link with nothing, nor
-do vectors of different lengths with each other. Repeated vec_ids are kept as rows.
+do vectors of different lengths with each other, nor rows without vec_id. Repeated vec_ids are kept as rows.
 """
 
 from __future__ import annotations
@@ -121,7 +121,8 @@ def compared(buckets: DataFrame, cosine: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of (vec_id, embedding)."""
     own = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec"))
-    good = own.where(usable(F.col("vec")))
+    takes_part = usable(F.col("vec")) & F.col("vec_id").isNotNull()
+    good = own.where(takes_part)
     nodes = checkpointed(good.groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).select("node", "copies", "vec"))
     k, tables = shape(nodes.count(), cosine)
     found = checkpointed(compared(split_hot(hashed(nodes, k, tables), ["t", "key"], "node", HOT), cosine))
@@ -131,8 +132,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     told = told.select(F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     # many rows of one hot vector meet one row here: a skewed join that Spark can split
     linked = good.join(told, F.col("vec") == F.col("_vec")).select("vec_id", "n_links", "component_id")
-    alone = own.where(~usable(F.col("vec"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    alone = own.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,15 @@ def test_stages_take_empty_and_odd_tables(spark, tmp_path):
     assert os.path.isdir(tmp_path)
 
 
+def test_repeated_rows_and_rows_without_id(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "other words stand in this text"), (None, "no id here")]
+    docs = spark.createDataFrame([(k, t, "en", None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "no id here"), (1, "a b c d e f"), (3, "other words stand in this text")]
+    vecs = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert {(r["vec_id"], r["n_links"]) for r in embedding_dedup.near_duplicates(vecs).collect()} == {(None, 0), (1, 1), (2, 1)}
+
+
 def test_package_has_one_guard():
     import __spark_entry__ as entry
 
