@@ -7,7 +7,9 @@ the smaller window first, then the source) fills the slots, so up to any slot
 t a source has had more than w * t - 1 and fewer than w * t + 1 blocks.
 
 Weights are whole shares of a period; windows repeat with it, so one period's
-table places any number of blocks by arithmetic. The schedule of target weights
+table places any number of blocks by arithmetic. The driver plans with a count per
+source, in time that grows with the square of the number of sources: meant for up
+to about a thousand, whatever the number of rows. The schedule of target weights
 holds until a source has no whole period left; then the others go on with
 their weights in proportion, phase by phase, so every document is placed once.
 
