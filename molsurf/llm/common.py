@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A list of at most so many keys is broadcast.
+SMALL = 20_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one of our own only where it is unset."""
     sc = spark.sparkContext
@@ -96,11 +100,15 @@ def split_hot(df: DataFrame, keys: list[str], ident: str, limit: int) -> DataFra
     blocks. Pairs within a block belong to the group gi = gj.
     """
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    hot = hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.ceil(F.col("_n") / limit).cast("int").alias("_nb"))
+    hot = checkpointed(hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.ceil(F.col("_n") / limit).cast("int").alias("_nb")))
+    many = hot.count()
+    if not many:
+        return df.withColumns({"blk": F.lit(0), "gi": F.lit(0), "gj": F.lit(0)})
     same: Column = F.lit(True)
     for i, k in enumerate(keys):
         same = same & (F.col(k) == F.col(f"_h{i}"))
-    dealt = df.join(hot, same, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
+    # checked just now: a small list of hot keys spares the rows a shuffle
+    dealt = df.join(F.broadcast(hot) if many <= SMALL else hot, same, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
     dealt = dealt.withColumn("blk", F.pmod(F.xxhash64(ident), F.col("_nb")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     return dealt.withColumn("gi", F.least("blk", "_other")).withColumn("gj", F.greatest("blk", "_other")).drop("_nb", "_other", *[f"_h{i}" for i in range(len(keys))])

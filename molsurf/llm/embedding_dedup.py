@@ -59,6 +59,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def hashed(nodes: DataFrame, k: int, tables: int) -> DataFrame:
     """(t, key, node, copies, vec, keys): a row per node and table."""
+    kind = nodes.schema["vec"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -72,12 +73,13 @@ def hashed(nodes: DataFrame, k: int, tables: int) -> DataFrame:
                 a, shift, mix = by_size[int(d)]
                 cell = np.floor((unit(matrix(some.column(2))) @ a + shift) / WIDTH).astype(np.int64).reshape(-1, tables, k)
                 key = (cell * mix).sum(2) + d
-                key ^= key >> 31
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(key.ravel()), tables).cast(pa.list_(pa.int64()))
+                # 32 bits name a bucket: where they agree by chance, two vectors meet and are compared once more
+                key = (key ^ key >> 32).astype(np.int32)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(key.ravel()), tables).cast(pa.list_(pa.int32()))
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(np.ascontiguousarray(key[:, t])), some.column(0), some.column(1), some.column(2), keys], names=["t", "key", "node", "copies", "vec", "keys"])
 
-    return nodes.mapInArrow(run, "t int, key long, node long, copies long, vec array<double>, keys array<long>")
+    return nodes.mapInArrow(run, f"t int, key int, node long, copies long, vec {kind}, keys array<int>")
 
 
 def compared(buckets: DataFrame, cosine: float) -> DataFrame:
@@ -120,7 +122,9 @@ def compared(buckets: DataFrame, cosine: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of (vec_id, embedding)."""
-    own = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    vec = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")  # floats stay as narrow as they come
+    own = vectors.select(F.col("vec_id").cast("long"), vec.alias("vec"))
     takes_part = usable(F.col("vec")) & F.col("vec_id").isNotNull()
     good = own.where(takes_part)
     nodes = checkpointed(good.groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).select("node", "copies", "vec"))
