@@ -71,3 +71,23 @@ def shape(atoms: DataFrame) -> DataFrame:
     """(mol_id, eigenvalues): of the coordinates' covariance. The moments are one aggregation; only a row a molecule reaches Python."""
     moment = lambda p, q: F.avg(F.col(p) * F.col(q)) - F.avg(p) * F.avg(q)
     return atoms.groupBy("mol_id").agg(F.array(*[moment(*pq) for pq in ("xx", "yy", "zz", "xy", "xz", "yz")]).alias("c")).select("mol_id", eigenvalues("c").alias("eigenvalues"))
+
+
+def apportioned(weights: DataFrame) -> DataFrame:
+    """(mol_id, atom_idx, count) for rows of (mol_id, atom_idx, weight, total): each molecule's total in whole counts.
+
+    Shares are rounded down, but a positive weight gets one at least. What lacks
+    goes to the largest remainders; a surplus is taken from the smallest ones, never
+    below one. So counts add up to the total, or to the number of positive weights
+    where that is more. Without a positive weight the first atom gets all.
+    """
+    by = Window.partitionBy("mol_id")
+    one = F.when(F.col("weight") > 0, 1).otherwise(0)
+    share = F.when(F.col("mass") > 0, F.round(F.col("weight") / F.col("mass") * F.col("total"), 9)).when(F.col("place") == 1, F.col("total").cast("double")).otherwise(0.0)
+    at = weights.withColumn("mass", F.sum("weight").over(by)).withColumn("place", F.row_number().over(by.orderBy("atom_idx"))).withColumn("share", share)
+    at = at.withColumn("rest", F.col("share") - F.floor("share")).withColumn("base", F.when(F.col("total") <= 0, 0).otherwise(F.greatest(F.floor("share"), one)))
+    at = at.withColumn("gap", F.greatest(F.col("total"), F.lit(0)) - F.sum("base").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("rest"), "atom_idx")))
+    at = at.withColumn("spare", F.col("base") - F.when(F.col("base") > 0, one).otherwise(0))
+    at = at.withColumn("before", F.sum("spare").over(by.orderBy("rest", "atom_idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("spare"))
+    change = F.when((F.col("gap") > 0) & (F.col("rank") <= F.col("gap")), 1).when(F.col("gap") < 0, -F.least("spare", F.greatest(-F.col("gap") - F.col("before"), F.lit(0)))).otherwise(0)
+    return at.select("mol_id", "atom_idx", (F.col("base") + change).cast("long").alias("count"))

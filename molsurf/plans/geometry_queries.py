@@ -9,6 +9,7 @@ from ..config import CAP_STEPS, EPS, GOLDEN, MAX_SUPPORTS, PAIR_FILTER, PROBE, S
 from ..functions import formulas as fm
 from ..functions.formulas import q6, with_steps
 from ..operators import spatial as sp
+from ..operators.points import apportioned
 from ..sources import proxy
 from ..sources.proxy import atoms_proxy
 
@@ -494,6 +495,25 @@ def apportion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("mol_id", "atom_idx", (F.col("base") + F.when(F.col("rank") <= 40 - F.sum("base").over(by), 1).otherwise(0)).cast("long").alias("count"))
 
 
+def apportion_sql(weights: str) -> str:
+    """Counts for a query's (mol_id, atom_idx, weight, total), by the rule of ``apportioned``."""
+    return f""", w AS ({weights}),
+v AS (SELECT *, sum(weight) OVER (PARTITION BY mol_id) AS mass, row_number() OVER (PARTITION BY mol_id ORDER BY atom_idx) AS place FROM w),
+q AS (SELECT *, CASE WHEN mass > 0 THEN round(weight / mass * total, 9) WHEN place = 1 THEN total::DOUBLE ELSE 0e0 END AS share FROM v),
+f AS (SELECT *, share - floor(share) AS rest, CASE WHEN total <= 0 THEN 0 ELSE greatest(floor(share)::BIGINT, CASE WHEN weight > 0 THEN 1 ELSE 0 END) END AS base FROM q),
+g AS (SELECT *, greatest(total, 0) - sum(base) OVER (PARTITION BY mol_id) AS gap, row_number() OVER (PARTITION BY mol_id ORDER BY rest DESC, atom_idx) AS rank,
+  base - CASE WHEN weight > 0 AND base > 0 THEN 1 ELSE 0 END AS spare FROM f),
+h AS (SELECT *, sum(spare) OVER (PARTITION BY mol_id ORDER BY rest, atom_idx ROWS UNBOUNDED PRECEDING) - spare AS before FROM g)
+SELECT mol_id, atom_idx, (base + CASE WHEN gap > 0 AND rank <= gap THEN 1 WHEN gap < 0 THEN -least(spare, greatest(-gap - before, 0)) ELSE 0 END)::BIGINT AS count FROM h"""
+
+
+@query(apportion_sql("SELECT mol_id, atom_idx, radius AS weight, count(*) OVER (PARTITION BY mol_id) * 5 // 4 AS total FROM atoms"))
+def apportion_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five points for every four atoms of a molecule among all its atoms, in proportion to radius."""
+    total = F.floor(F.count("*").over(Window.partitionBy("mol_id")) * 5 / 4).cast("long")
+    return apportioned(atoms_proxy(spark, sf_dir).select("mol_id", "atom_idx", F.col("radius").alias("weight"), total.alias("total")))
+
+
 @query(" SELECT n AS count, a, b, n_level - a - b AS c FROM (SELECT range AS n, ceil((sqrt(8e0 * range + 1e0) - 3e0) / 2e0)::BIGINT AS n_level FROM range(1, 41)), LATERAL (SELECT unnest(range(n_level + 1)) AS a), LATERAL (SELECT unnest(range(n_level + 1 - a)) AS b)")
 def barycentric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For counts 1 to 40, the triangle grid of the least level L with (L + 1)(L + 2) / 2 >= count; a row's weights are (a, b, c) / L."""

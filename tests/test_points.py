@@ -1,6 +1,9 @@
+import duckdb
 import numpy as np
 
-from molsurf.operators.points import even_picks, farthest_points, shape, windowed_neighbours
+from molsurf.operators.points import apportioned, even_picks, farthest_points, shape, windowed_neighbours
+from molsurf.plans.geometry_queries import apportion_counts_whole, apportion_sql
+from molsurf.sources.proxy import atoms_proxy
 
 
 def cloud(spark, xyz):
@@ -25,3 +28,41 @@ def test_picks(spark):
 def test_shape(spark):
     xyz = np.random.default_rng(1).standard_normal((50, 3)) * [1, 2, 3]
     assert np.allclose(shape(cloud(spark, xyz)).first()["eigenvalues"], np.linalg.eigvalsh(np.cov(xyz.T, bias=True)))
+
+
+def brute_counts(total, weights):
+    """The reference's rule; of equal remainders, the first atom."""
+    if total <= 0:
+        return [0] * len(weights)
+    if max(weights) <= 0:
+        return [total] + [0] * (len(weights) - 1)
+    share = [round(w / sum(weights) * total, 9) for w in weights]
+    out = [max(int(x), int(w > 0)) for x, w in zip(share, weights)]
+    rest = [x - int(x) for x in share]
+    gap = total - sum(out)
+    for k in sorted(range(len(out)), key=lambda k: -rest[k])[: max(gap, 0)]:
+        out[k] += 1
+    for k in sorted(range(len(out)), key=lambda k: rest[k]):
+        take = max(0, min(out[k] - int(weights[k] > 0), -gap))
+        out[k] -= take
+        gap += take
+    return out
+
+
+def test_counts_follow_the_rule_in_both_engines(spark):
+    cases = [(10, [1.0, 1.0, 1.0]), (4, [100.0, 1.0, 1.0, 0.0]), (12, [50.0, 30.0, *[0.1] * 8]), (2, [1.0] * 5), (7, [0.0, 0.0]), (0, [1.0, 2.0])]
+    rng = np.random.default_rng(4)
+    cases += [(int(rng.integers(5, 60)), (rng.random(20) ** 9).tolist()) for _ in range(20)]
+    rows = [(m, k, w, total) for m, (total, weights) in enumerate(cases) for k, w in enumerate(weights)]
+    want = [(m, k, n) for m, (total, weights) in enumerate(cases) for k, n in enumerate(brute_counts(total, weights))]
+    assert any(sum(max(int(w / sum(ws) * t), int(w > 0)) for w in ws) > t > len(ws) for t, ws in cases if sum(ws))  # a surplus
+    assert sorted(map(tuple, apportioned(spark.createDataFrame(rows, "mol_id long, atom_idx long, weight double, total long")).collect())) == want
+    values = ", ".join(f"({m}, {k}, {w!r}::DOUBLE, {t})" for m, k, w, t in rows)
+    sql = apportion_sql(f"SELECT * FROM (VALUES {values}) AS t(mol_id, atom_idx, weight, total)")
+    assert sorted(duckdb.sql("WITH " + sql.lstrip(", ")).fetchall()) == want
+
+
+def test_every_atom_is_apportioned(spark, sf_dir):
+    got, atoms = apportion_counts_whole(spark, sf_dir).toPandas(), atoms_proxy(spark, sf_dir).toPandas()
+    assert set(zip(got.mol_id, got.atom_idx)) == set(zip(atoms.mol_id, atoms.atom_idx))
+    assert got["count"].min() == 1 and (got.groupby("mol_id")["count"].sum() == atoms.groupby("mol_id").size() * 5 // 4).all()
