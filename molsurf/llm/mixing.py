@@ -6,12 +6,15 @@ floor(j / w) and due by slot ceil((j + 1) / w); earliest deadline first (ties:
 the smaller window first, then the source) fills the slots, so up to any slot
 t a source has had more than w * t - 1 and fewer than w * t + 1 blocks.
 
-Weights are whole shares of a period; windows repeat with it, so one period's
-table places any number of blocks by arithmetic. The driver plans with a count per
-source, in time that grows with the square of the number of sources: meant for up
-to about a thousand, whatever the number of rows. The schedule of target weights
-holds until a source has no whole period left; then the others go on with
-their weights in proportion, phase by phase, so every document is placed once.
+Weights are taken exactly as given, as ratios of whole numbers, so this holds for
+the target weights themselves, however many blocks there are. It holds until a
+source has no block left; then the others go on with their weights in proportion,
+in a phase of its own whose slots t count from its start. Every document is placed once.
+
+The driver plans from a count per source, with a step and twelve bytes for each
+block, and broadcasts the slots of the blocks, ``CHUNK`` to a row: a billion
+documents are 16 million blocks. Its time per phase also grows with the number
+of sources: meant for up to about a thousand.
 
 Without given weights, a source's target is the square root of its count: rarer
 sources come earlier and denser. Null sources are one source of their own. An
@@ -22,18 +25,27 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from dataclasses import dataclass
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, ranked, table
 
-BLOCK, PERIOD = 64, 1000
+BLOCK, CHUNK = 64, 64
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of the period, at least 1 each, by largest remainders."""
+def shares(weights: dict[str, float], period: int | None = None) -> dict[str, int]:
+    """Whole numbers in exact proportion to the weights; with a period, whole shares of it instead, at least 1 each, by largest remainders."""
+    if period is None:
+        exact = {s: Fraction(w) for s, w in weights.items()}
+        unit = math.lcm(*(x.denominator for x in exact.values()))
+        whole = {s: int(x * unit) for s, x in exact.items()}
+        common = math.gcd(*whole.values())
+        return {s: x // common for s, x in whole.items()}
     period = max(period, 2 * len(weights))
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
@@ -48,23 +60,36 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def pfair(share: dict[str, int]) -> dict[str, list[int]]:
-    """The slots, within one period, of each source's blocks: earliest deadline first among the released."""
+def pfair(share: dict[str, int], left: dict[str, int] | None = None) -> dict[str, array]:
+    """The slots of each source's blocks, earliest deadline first among the released: one period, or until a source has none left.
+
+    A source's blocks are due one after another, so only its next one waits.
+    """
     period = sum(share.values())
-    release: dict[int, list[tuple[int, int, str, int]]] = {}
-    for s, a in share.items():
-        for j in range(a):
-            at, due = j * period // a, -(-(j + 1) * period // a)
-            release.setdefault(at, []).append((due, due - at, s, j))
-    ready: list[tuple[int, int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [0] * a for s, a in share.items()}
-    for t in range(period):
-        for x in release.get(t, ()):
-            heapq.heappush(ready, x)
-        due, _, s, j = heapq.heappop(ready)
+    left = left or share
+    ready = [(-(-period // a), -(-period // a), s) for s, a in share.items()]  # due, window, source
+    heapq.heapify(ready)
+    later: list[tuple[int, int, str]] = []  # release, due, source
+    slots: dict[str, array] = {s: array("q") for s in share}
+    t = 0
+    while True:
+        while later and later[0][0] <= t:
+            at, due, s = heapq.heappop(later)
+            heapq.heappush(ready, (due, due - at, s))
+        due, _, s = heapq.heappop(ready)
         assert t < due
-        slots[s][j] = t
-    return slots
+        slots[s].append(t)
+        t += 1
+        j = len(slots[s])
+        if left is share:
+            if t == period:
+                return slots
+            if j == share[s]:
+                continue
+        elif j == left[s]:
+            return slots
+        at, due = j * period // share[s], -(-(j + 1) * period // share[s])
+        heapq.heappush(later, (at, due, s))
 
 
 @dataclass
@@ -75,47 +100,49 @@ class Phase:
     start: int  # the phase's first slot
     share: int
     period: int
-    slots: list[int]
+    slots: array
 
 
-def phases(counts: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[Phase]:
-    """Phases of the schedule for the sources' numbers of blocks; at most two for each source."""
+def phases(counts: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[Phase]:
+    """Phases of the schedule for the sources' numbers of blocks; each ends with the last block of a source."""
     left, done, out = dict(counts), dict.fromkeys(counts, 0), []
     start, k = 0, 0
     while left := {s: n for s, n in left.items() if n}:
         share = shares({s: weights[s] for s in left}, period)
-        whole = min(n // share[s] for s, n in left.items())
-        if not whole:  # less than a period: the rest of the shortest source's blocks makes the period
-            some = min(left, key=lambda s: (left[s] / share[s], s))
-            part = left[some] / share[some]
-            share = {s: max(1, min(n, round(share[s] * part))) for s, n in left.items()}
-            whole = 1
-        slots = pfair(share)
-        size = sum(share.values())
+        slots = pfair(share, left)
         for s in left:
-            out.append(Phase(s, k, done[s], start, share[s], size, slots[s]))
-            done[s] += whole * share[s]
-        left = {s: n - whole * share[s] for s, n in left.items()}
-        start += whole * size
+            out.append(Phase(s, k, done[s], start, share[s], sum(share.values()), slots[s]))
+            done[s] += len(slots[s])
+        left = {s: n - len(slots[s]) for s, n in left.items()}
+        start += sum(map(len, slots.values()))
         k += 1
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def chunks(plan: list[Phase], chunk: int = CHUNK) -> pa.Table:
+    """(_s, _c, _slots, _phases): the slots and phases of a source's blocks _c * chunk and on."""
+    slots: dict[str, array] = {}
+    of: dict[str, array] = {}
+    for p in plan:
+        slots.setdefault(p.source, array("q")).extend(p.start + t for t in p.slots)
+        of.setdefault(p.source, array("i")).extend([p.phase] * len(p.slots))
+    rows = [(s, c // chunk, x[c : c + chunk], of[s][c : c + chunk]) for s, x in slots.items() for c in range(0, len(x), chunk)]
+    names, kinds = ("_s", "_c", "_slots", "_phases"), (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
     """All rows and columns of docs (doc_id, source among them), then _block, _phase and _slot: the place of the row's block in the mixture."""
     spark = docs.sparkSession
     named = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("\0")))
     rows = {r["_source"]: r["count"] for r in named.groupBy("_source").count().collect()}  # a row per source
     own = {s: (weights or {}).get(s, 0) or (math.sqrt(n) if weights is None else 1e-9) for s, n in rows.items()}
-    plan = phases({s: -(-n // block) for s, n in rows.items()}, own, period)
-    spans = spark.createDataFrame([(p.source, p.phase, p.first, p.start, p.share, p.period, p.slots) for p in plan], "_s string, _phase int, _first long, _start long, _share int, _period int, _slots array<int>")
-    own_spans = spans.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_first", "_phase", "_start", "_share", "_period", "_slots"))).alias("_spans"))
+    plan = spark.createDataFrame(chunks(phases({s: -(-n // block) for s, n in rows.items()}, own, period)), "_s string, _c long, _slots array<long>, _phases array<int>")
     placed = ranked(named, ["_source"], ["doc_id"], "_rank", 4 * partitions(spark)).withColumn("_block", F.floor(F.col("_rank") / block).cast("long"))
-    placed = placed.join(F.broadcast(own_spans), F.col("_source") == F.col("_s"))  # a row per source and phase
-    span = F.element_at(F.filter("_spans", lambda x: x["_first"] <= F.col("_block")), -1)
-    placed = placed.withColumn("_p", span).withColumn("_j", F.col("_block") - F.col("_p._first"))
-    slot = F.col("_p._start") + F.floor(F.col("_j") / F.col("_p._share")).cast("long") * F.col("_p._period") + F.element_at("_p._slots", F.pmod(F.col("_j"), F.col("_p._share")).cast("int") + 1)
-    return placed.withColumn("_phase", F.col("_p._phase")).withColumn("_slot", slot).drop("_source", "_s", "_spans", "_p", "_j", "_rank")
+    # a row per CHUNK blocks: an array of bounded size meets each document
+    placed = placed.join(F.broadcast(plan), (F.col("_source") == F.col("_s")) & (F.floor(F.col("_block") / CHUNK).cast("long") == F.col("_c")))
+    at = F.pmod(F.col("_block"), F.lit(CHUNK)).cast("int") + 1
+    return placed.withColumn("_phase", F.element_at("_phases", at)).withColumn("_slot", F.element_at("_slots", at)).drop("_source", "_s", "_c", "_slots", "_phases", "_rank")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,3 +260,21 @@ def test_target_weights_hold_while_all_sources_last():
     plan = mixing.phases({"a": 300, "b": 300}, {"a": 3.0, "b": 1.0}, 40)
     first = [p for p in plan if p.phase == 0]
     assert {p.source: p.share / p.period for p in first} == {"a": 0.75, "b": 0.25}
+
+
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 2 / 3}, {"a": 0.0001, "b": 0.3, "c": 0.6999}, {"a": 3.0, "b": 11**0.5, "c": 0.7**0.5, "d": 1e-4}])
+def test_given_weights_hold_over_many_blocks(weights):
+    plan = [p for p in mixing.phases(dict.fromkeys(weights, 20_000), weights) if p.phase == 0]
+    size, total = sum(len(p.slots) for p in plan), sum(weights.values())
+    assert size >= 20_000
+    assert sorted(t for p in plan for t in p.slots) == list(range(size))
+    for p in plan:
+        had = np.cumsum(np.bincount(np.array(p.slots, int), minlength=size))
+        assert np.abs(had - weights[p.source] / total * np.arange(1, size + 1)).max() < 1
+
+
+def test_mixture_carries_the_plan(spark):
+    got = mixing.mix(docs(spark, ["t"] * 3000, ["a"] * 2000 + ["b"] * 1000), {"a": 1 / 3, "b": 2 / 3}, block=2).toPandas()
+    for p in mixing.phases({"a": 1000, "b": 500}, {"a": 1 / 3, "b": 2 / 3}):
+        own = got[(got.source == p.source) & (got._phase == p.phase)].sort_values("_block")
+        assert own._slot.tolist() == [p.start + t for t in p.slots for _ in range(2)]
