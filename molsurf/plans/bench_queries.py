@@ -82,6 +82,17 @@ def bench_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench.unmatched(r.where("event_id % 4 = 0"), r.where("event_id % 4 = 1"))
 
 
+# Two runs of all records: each fifth molecule is in the first run only, the next one in the second only, and the others' records are dealt by event_id.
+FIRST_RUN = "coalesce(pdb_id % 5 = 0 OR pdb_id % 5 > 1 AND event_id % 2 = 0, true)"
+
+
+@query(RECORDS + f", st AS (SELECT DISTINCT {FIRST_RUN.replace('pdb_id', 'pdb_id::BIGINT')} AS first, {CASES} FROM rec WHERE status = 'ok' AND wall_seconds IS NOT NULL), b AS (SELECT {CASES} FROM st WHERE first), c AS (SELECT {CASES} FROM st WHERE NOT first) SELECT *, 'baseline' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM c) UNION ALL SELECT *, 'current' FROM (SELECT * FROM c EXCEPT SELECT * FROM b)")
+def bench_unmatched_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(spark, sf_dir)
+    first = F.expr(FIRST_RUN.replace("pdb_id", "cast(pdb_id as bigint)"))
+    return bench.unmatched(r.where(first), r.where(~first))
+
+
 SWEEP = """WITH rec AS (
   SELECT l_shipmode_ AS method, 'points' AS interface_mode, 'independent' AS scenario, CASE WHEN l_linenumber = 1 THEN 'default' ELSE 'm=' || l_linenumber END AS variant,
          'h' || l_linenumber AS method_parameter_hash, l_extendedprice AS wall_seconds, l_quantity AS point_count, l_tax > 0.02e0 AS clean FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem)

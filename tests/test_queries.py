@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from molsurf.operators import bench
 from molsurf.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,3 +47,13 @@ def test_cell_joins_are_equi_joins(spark, sf_dir, name):
 def test_scan_reads_only_its_columns(spark, sf_dir):
     plan = QUERIES["bench_numeric_summary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string,l_linestatus:string>" in plan
+
+
+def test_unmatched_cases_come_from_all_records(spark, sf_dir, monkeypatch):
+    runs = []
+    monkeypatch.setattr(bench, "unmatched", lambda *r: runs.extend(r) or r[0])
+    QUERIES["bench_unmatched_whole"](spark, sf_dir)
+    ids = [r["event_id"] for run in runs for r in run.select("event_id").collect()]
+    assert sorted(ids) == sorted(r["event_id"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect())
+    monkeypatch.undo()
+    assert {r["side"] for r in QUERIES["bench_unmatched_whole"](spark, sf_dir).select("side").collect()} == {"baseline", "current"}
