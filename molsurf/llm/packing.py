@@ -4,9 +4,9 @@ Pieces of one length are interchangeable, so the packing is solved on the
 histogram of lengths, which has at most ``capacity`` rows however large the
 corpus is; bins of equal content are one pattern with a count. Best-fit
 decreasing gives the first packing. Then the lightest bin is emptied by moves,
-one-for-one and two-for-one swaps with underfull bins, each of which raises
-the sum of squared fills, until no lighter bin empties or the least possible
-number of bins is reached. Pieces are dealt to the slots by their rank within
+one-for-one and two-for-one swaps with underfull bins, each of which makes it
+lighter, then the next lightest, until no underfull bin empties or the least
+possible number of bins is reached. Pieces are dealt to the slots by their rank within
 their length.
 
 Null text counts as empty: one piece that holds only the end id. Repeated rows
@@ -203,37 +203,43 @@ def changed(p: Pattern, take: tuple[int, ...] = (), give: tuple[int, ...] = ())
     return tuple(sorted(((s, n) for s, n in c.items() if n), reverse=True))
 
 
-def local_search(bins: Counter[Pattern], capacity: int, failures: int = 4) -> Counter[Pattern]:
-    """Empty light bins by moves and swaps that raise the sum of squared fills."""
+def local_search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+    """Empty light bins by moves and swaps, until the lower bound or a round over all underfull patterns that empties none."""
     bins = Counter(bins)
+    count = sum(bins.values())
     least = -(-sum(fill(p) * n for p, n in bins.items()) // capacity)
-    stuck: set[Pattern] = set()
-    while sum(bins.values()) > least and len(stuck) < failures:
-        light = min((p for p in bins if p not in stuck and fill(p) < capacity), key=lambda p: (fill(p), p), default=None)
-        if light is None:
-            break
-        trial, own = Counter(bins), light
-        trial[light] -= 1
-        trial += Counter()
-        while own:
-            step = improve(trial, own, capacity)
-            if step is None:
-                break
-            other, take, give = step  # own gives ``give`` to the other bin and takes ``take``
-            trial[other] -= 1
-            trial += Counter()
-            trial[changed(other, take, give)] += 1
-            own = changed(own, give, take)
-        if own:
-            stuck.add(light)
-        else:
-            bins = trial
-            stuck.clear()
+    emptied = True
+    while emptied:
+        emptied = False
+        for light in sorted((p for p in bins if fill(p) < capacity), key=lambda p: (fill(p), p)):
+            while count > least and light in bins and (trial := without(bins, light, capacity)):
+                bins, count, emptied = trial, count - 1, True
     return bins
 
 
+def less_one(bins: Counter[Pattern], p: Pattern) -> None:
+    bins[p] -= 1
+    if not bins[p]:
+        del bins[p]
+
+
+def without(bins: Counter[Pattern], light: Pattern, capacity: int) -> Counter[Pattern] | None:
+    """The bins after one of pattern ``light`` is emptied into the others; None if that fails."""
+    trial, own = Counter(bins), light
+    less_one(trial, light)
+    while own:
+        step = improve(trial, own, capacity)
+        if step is None:
+            return None
+        other, take, give = step  # own gives ``give`` to the other bin and takes ``take``
+        less_one(trial, other)
+        trial[changed(other, take, give)] += 1
+        own = changed(own, give, take)
+    return trial
+
+
 def improve(bins: Counter[Pattern], own: Pattern, capacity: int) -> tuple[Pattern, tuple[int, ...], tuple[int, ...]] | None:
-    """A move of the largest document to its best fit; else the swap that hands over most. As own is the lightest bin, either raises the sum of squared fills."""
+    """A move of the largest document to its best fit; else the swap that hands over most. Either makes own lighter, so the steps end."""
     mine = [s for s, _ in own]
     pairs = sorted({(a, b) for i, a in enumerate(mine) for b in mine[i:] if a != b or dict(own)[a] > 1})
     best_move, best_swap = None, None

@@ -232,6 +232,16 @@ def test_local_search_empties_bins():
         assert total == sizes and sum(last.values()) <= sum(first.values())
 
 
+def test_heavier_bins_are_tried_too():
+    """The lightest four bins do not empty here; a heavier one does."""
+    once = [18, 21, 23, 27, 28, 29, 33, 36, 44, 45, 49, 63, 68, 72, 73, 74, 75, 77, 80, 81, 84, 86, 93, 101, 102, 103, 104, 108, 113, 116, 122, 124]
+    sizes = Counter(once) + Counter({26: 3, 40: 2, 59: 3, 118: 3})
+    first = packing.best_fit(sizes, 200)
+    last = packing.local_search(first, 200)
+    assert sum(first.values()) == 16 and sum(last.values()) == 15 == -(-sum(s * n for s, n in sizes.items()) // 200)
+    assert max(map(packing.fill, last)) <= 200
+
+
 # --- mixing ---
 
 
