@@ -82,6 +82,20 @@ def hashed(nodes: DataFrame, k: int, tables: int) -> DataFrame:
     return nodes.mapInArrow(run, f"t int, key int, node long, copies long, vec {kind}, keys array<int>")
 
 
+def one_length(whole: pa.Table, starts: list[int], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
+    """Each run's start with its rows; where a hash met across lengths, those of one length at a time, as only they link."""
+    for at, size in zip(starts, sizes):
+        some = whole.slice(at, size).combine_chunks().to_batches()[0]
+        lengths = some.column("vec").value_lengths().to_numpy()
+        if (lengths == lengths[0]).all():
+            yield at, np.arange(at, at + size), some
+            continue
+        for d in np.unique(lengths):
+            k = np.flatnonzero(lengths == d)
+            if len(k) > 1:
+                yield at, at + k, some.take(pa.array(k))
+
+
 def compared(buckets: DataFrame, cosine: float) -> DataFrame:
     """(node, other, links): other links node to a smaller node of its run; links counts the vectors it links with, each pair in its first table."""
 
@@ -90,13 +104,10 @@ def compared(buckets: DataFrame, cosine: float) -> DataFrame:
             t, key, gi, gj, blk, node, copies = (whole.column(c).to_numpy() for c in ("t", "key", "gi", "gj", "blk", "node", "copies"))
             new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (gi[1:] != gi[:-1]) | (gj[1:] != gj[:-1]))))
             sizes = np.diff(np.append(new, len(key)))
-            for at, size in zip(new[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                some = whole.slice(at, size).combine_chunks().to_batches()[0]
-                lengths = some.column("vec").value_lengths().to_numpy()
-                if (lengths != lengths[0]).any():
-                    continue  # a hash met across lengths; such vectors never link
+            for at, rows, some in one_length(whole, new[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+                size = len(rows)
                 x, keys = unit(matrix(some.column("vec"))), some.column("keys").flatten().to_numpy().reshape(size, -1)[:, : int(t[at])]
-                own, many, side = node[at : at + size], copies[at : at + size], blk[at : at + size]
+                own, many, side = node[rows], copies[rows], blk[rows]
                 first, second = [], []
                 for i in range(0, size, 512):
                     a, b = np.nonzero(x[i : i + 512] @ x[i:].T >= cosine)

@@ -135,6 +135,13 @@ def test_embedding_links_are_brute_force(spark, clustered):
     assert (got.kept == (got.index == got.component_id)).all()
 
 
+def test_runs_of_two_lengths_keep_their_links(spark):
+    rows = [(0, 7, n, 1, vec, [7], 0, 0, 0) for n, vec in enumerate([[1.0, 0.0], [1.0, 0.0, 0.0], [1.0, 0.1], [1.0, 0.1, 0.0], [1.0]])]
+    buckets = spark.createDataFrame(rows, "t int, key int, node long, copies long, vec array<double>, keys array<int>, blk int, gi int, gj int")
+    got = sorted(map(tuple, embedding_dedup.compared(buckets, 0.9).collect()))
+    assert got == [(0, 0, 1), (1, 1, 1), (2, 0, 1), (3, 1, 1)]
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
     assert ann_search.nearest(vectors(spark, [])).count() == 0
