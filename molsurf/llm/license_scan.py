@@ -1,10 +1,10 @@
 """Licence scans with a positional rare-token index.
 
-The templates' words are posted as word -> [(template, position)], with an IDF
-over the templates. In each file, words of the index are looked up; of a
-template, the word of highest IDF is its anchor, and each anchor place proposes
-an alignment. The template's other postings are then intersected by relative
-position, and the template's mandatory key phrase must stand at its own place.
+Of each template one word is posted, as word -> [(template, position)]: its anchor,
+the word of highest IDF over the templates within its mandatory key phrase. In each
+file, each anchor place proposes an alignment; the key phrase must stand at its own
+place there, and the template's other words are compared directly from it. The
+templates' other words have no postings, and a file's words are not ranked by IDF.
 
 Null text counts as empty: no words, no labels, score 0. Repeated rows give
 repeated results; columns other than doc_id and text are ignored.
