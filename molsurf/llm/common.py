@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -20,11 +23,14 @@ SMALL = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints_"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints_"))
+    return named or sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -37,6 +43,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker, which outlives its task, gives freed memory back to the system."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int) -> DataFrame:
     """Add the 0-based rank of each row among the rows with its keys.
 
@@ -61,7 +78,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, buckets:
 
 def in_runs(df: DataFrame, keys: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, order: list[str] | None = None) -> DataFrame:
     """Give fn every run of rows with equal keys, in sorted partitions."""
-    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(fn, schema)
+    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(lambda batches: released(fn(batches)), schema)
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
@@ -149,7 +166,8 @@ def components(edges: DataFrame) -> DataFrame:
             e = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = e.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("a", "_m").alias("_m"))
+        # a table of its own: only then are both sides of the join plain shuffles, which is what Spark splits where a centre is hot
+        low = checkpointed(e.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("a", "_m").alias("_m")))
         j = e.join(low, F.col("a") == F.col("_a"))
         if both:
             out = j.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
@@ -158,7 +176,8 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a <> b").distinct()
 
     def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        h = F.xxhash64("a", "b")
+        return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))).first())  # a decimal sum has room for any number of links
 
     e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = state(e)

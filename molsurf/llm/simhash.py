@@ -7,7 +7,8 @@ with an equal variant meet in a sorted run, and their Hamming distance decides.
 
 Null or empty text has fingerprint zero and is linked like any other. Equal
 fingerprints are one node, however many documents share them; keys with many
-fingerprints are split into pairs of blocks. Ids may repeat: rows are kept.
+fingerprints are split into pairs of blocks. Ids may repeat or be null: rows are
+kept. Columns other than doc_id and text are ignored, or kept by one_of_each.
 """
 
 from __future__ import annotations
@@ -20,37 +21,65 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, forest, in_runs, partitions, split_hot, table, whole_runs
+from .common import checkpointed, components, forest, in_runs, partitions, released, split_hot, table, whole_runs
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 HOT = 4096
 
 
+#: Bytes of a text that are hashed at a time.
+SLICE = 1 << 18
+
+
+def sliced(text: bytes, size: int | None = None) -> Iterator[list[bytes]]:
+    """The words of a text, a slice of it at a time; a word that a cut meets goes to the next slice."""
+    size = size or SLICE
+    left = b""
+    for i in range(0, len(text), size):
+        part = left + text[i : i + size]
+        words = part.lower().split()
+        left = b""
+        if i + size < len(text) and words and not part[-1:].isspace():
+            left = words.pop()
+        yield words
+    # the last slice pops no word, so nothing is left
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
     xx = xxhash.xxh64_intdigest
-    h = np.fromiter([xx(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())], np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 15):  # bounded memory for very long texts
-        ones += np.unpackbits(h[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    ones, n = np.zeros(BITS, np.int64), 0
+    held: list[bytes] = []
+    for more in sliced(text or b""):
+        words = held + more
+        if len(words) >= shingle:
+            line = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            new = len(words) - shingle + 1
+            h = np.fromiter([xx(line[a:b], SEED) for a, b in zip(starts[:new].tolist(), ends[shingle - 1 :].tolist())], np.uint64, new)
+            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            n += new
+            held = words[new:]
+        else:
+            held = words
+    if not n:
+        return xx(b" ".join(held), SEED) if held else 0  # over half of one is all of it
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's bits as a signed long."""
+    """(doc_id, row, fp): fp holds the fingerprint's bits as a signed long; row is a hash of the text, by which rows of one id differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x, shingle) for x in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.empty(b.num_rows, np.uint64)
+            for i in range(0, b.num_rows, 500):
+                texts = b.column(2).slice(i, 500).cast(pa.binary()).to_pylist()
+                fp[i : i + len(texts)] = [fingerprint(x, shingle) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
+    return rows.mapInArrow(lambda batches: released(run(batches)), "doc_id long, row long, fp long")
 
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -62,18 +91,12 @@ def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
 
 def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(key, fp): a key is a bit's number and its segment without that bit."""
-    parts = segments(distance)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for first, width in parts:
-                own = (fp >> np.uint64(first)) & np.uint64((1 << width) - 1)
-                keys = np.concatenate([(own & ~np.uint64(1 << j)) | np.uint64((first + j) << 56) for j in range(width)])
-                for i in range(0, len(keys), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(np.tile(fp, width)[i : i + (1 << 16)].view(np.int64))], names=["key", "fp"])
-
-    return fps.mapInArrow(run, "key long, fp long")
+    keys = []
+    for first, width in segments(distance):
+        for j in range(width):
+            own = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << j)))
+            keys.append(own.bitwiseOR(F.lit((first + j) << 56)))
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
 def close_pairs(key: np.ndarray, fp: np.ndarray, blk: np.ndarray, cross: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +125,7 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, blk: np.ndarray, cross: np.ndar
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): links of distinct fingerprints, as a forest of each run."""
-    dealt = fps.repartition(partitions(fps.sparkSession), "fp")  # few bytes, so else few tasks would make all variants
+    dealt = fps.repartition(partitions(fps.sparkSession), F.xxhash64("fp"))  # few bytes, so else few tasks would make all variants
     keyed = split_hot(variants(dealt, distance), ["key"], "fp", HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,18 +143,45 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return in_runs(keyed, ["key", "gi", "gj"], run, "a long, b long", ["fp"]).distinct()
 
 
+def placed(fp: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, low, component) of each distinct fingerprint: its least doc_id, and the least fingerprint that links reach."""
+    nodes = checkpointed(fp.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    reached = components(links(nodes.select("fp"), distance))
+    return checkpointed(nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id: the least doc_id that links reach, itself included."""
+    """doc_id, fingerprint (16 lowercase hex digits), component_id: the least doc_id that links reach, itself included; null if no document there has an id."""
     fp = checkpointed(fingerprints(docs, shingle))
-    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    reached = components(links(nodes.select("fp"), distance))
     # a component's least fingerprint stands for it until its least document is known
-    placed = checkpointed(nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component")))
-    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = placed.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
+    nodes = placed(fp, distance)
+    least = checkpointed(nodes.groupBy("component").agg(F.min("low").alias("component_id")).withColumnRenamed("component", "_c"))
+    named = nodes.join(least, F.col("component") == F.col("_c")).select(F.col("fp").alias("_fp"), "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fp.join(named, F.col("fp") == F.col("_fp")).select("doc_id", hexed, "component_id")
 
 
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all their columns, less near-duplicates: of each group, one row of the least doc_id stays (ids before none; ties: the least hash of the text).
+
+    Rows are told apart by id and text: texts of one id that are not near-duplicates all stay.
+    """
+    fp = checkpointed(fingerprints(docs, shingle))
+    nodes = placed(fp, distance).select(F.col("fp").alias("_fp"), "component")
+    rows = fp.groupBy("doc_id", "row", "fp").agg(F.count("*").alias("n"))  # equal rows are one
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    inside = checkpointed(rows.join(nodes, F.col("fp") == F.col("_fp")).select("component", own.alias("own"), "n"))
+    best = checkpointed(inside.groupBy("component").agg(F.min("own").alias("best")).withColumnRenamed("component", "_c"))
+    told = inside.join(best, F.col("component") == F.col("_c")).select(F.col("own.doc_id").alias("_id"), F.col("own.row").alias("_row"), F.when(F.col("own") != F.col("best"), 0).otherwise(F.least("n", F.lit(2))).alias("_n"))
+    surplus = checkpointed(told.where("_n <> 1"))  # the fewer rows: those to go, and those that repeat
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_row"))
+    left = docs.join(surplus.where("_n = 0"), same, "left_anti")
+    again = surplus.where("_n = 2")
+    if again.isEmpty():
+        return left
+    one = docs.join(again, same, "left_semi").withColumn("_row", F.xxhash64("text")).dropDuplicates(["doc_id", "_row"]).drop("_row")
+    return left.join(again, same, "left_anti").unionByName(one)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -82,6 +82,16 @@ def test_simhash_variants_lose_no_link(spark):
     assert sorted(groups.values()) == sorted(Counter(brute_components(fps)).values())
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 64])
+def test_fingerprints_by_slices(size):
+    old, simhash.SLICE = simhash.SLICE, size
+    try:
+        for t in [*ODD[:5], ODD[6][:300], *ODD[7:], "a bb ccc dddd eeeee ffffff g\n\n  h "]:
+            assert simhash.fingerprint(t and t.encode()) == brute_fingerprint(t)
+    finally:
+        simhash.SLICE = old
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 

@@ -9,7 +9,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from molsurf.llm import ann_search, chat_format, embedding_dedup, url_filter
+from molsurf.llm.common import components
 from molsurf.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -197,8 +200,22 @@ def test_repeated_rows_and_rows_without_id(spark):
     docs = spark.createDataFrame([(k, t, "en", None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.drop_copies(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "no id here"), (1, "a b c d e f"), (3, "other words stand in this text")]
-    vecs = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    assert {(r["vec_id"], r["n_links"]) for r in embedding_dedup.near_duplicates(vecs).collect()} == {(None, 0), (1, 1), (2, 1)}
+    vecs = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [0.0, 1.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embedding_dedup.near_duplicates(vecs).collect())
+    assert got == [(0, 0, 0, True), (0, 3, 1, False), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False)]
+
+
+def test_copies_of_two_texts_of_one_id(spark):
+    rows = [(0, "a b c d e f"), (1, "a b c d e f"), (1, "quite another text stands here"), (None, "a b c d e f"), (None, "and one without any id"), (1, "quite another text stands here")]
+    docs = spark.createDataFrame([(k, t, "en", None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in left) == [(-1, "and one without any id"), (0, "a b c d e f"), (1, "quite another text stands here")]
+
+
+def test_checksums_of_components_do_not_overflow(spark):
+    """Enough links that a sum of their hashes leaves the range of a long many times over."""
+    edges = spark.range(200_000).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 1000).alias("b"))
+    assert components(edges).groupBy("component").count().where("count = 1000").count() == 200
 
 
 def test_package_has_one_guard():
