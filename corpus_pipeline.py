@@ -31,14 +31,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group, the document of least doc_id stays; of rows that repeat an id, one; rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    stay = docs.join(ids, "doc_id", "left").where("_n IS NOT NULL OR doc_id IS NULL")
-    if ids.where("_n > 1").isEmpty():
-        return stay.select(*COLUMNS)
-    again = stay.where("_n > 1").dropDuplicates(["doc_id"])
-    return stay.where("_n = 1 OR doc_id IS NULL").unionByName(again).select(*COLUMNS)
+    """Of each near-duplicate group one document stays, of least doc_id; texts of one id that differ are documents of their own."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
