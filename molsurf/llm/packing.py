@@ -1,13 +1,22 @@
 """Best-fit packing of tokenized documents by swap-based local search.
 
-Pieces of one length are interchangeable, so the packing is solved on the
-histogram of lengths, which has at most ``capacity`` rows however large the
-corpus is; bins of equal content are one pattern with a count. Best-fit
-decreasing gives the first packing. Then the lightest bin is emptied by moves,
-one-for-one and two-for-one swaps with underfull bins, each of which makes it
-lighter, then the next lightest, until no underfull bin empties or the least
-possible number of bins is reached. Pieces are dealt to the slots by their rank within
-their length.
+Documents are first laid into bins one after another, as they come, ``CHUNK``
+pieces at a time. Local search does the packing: the lightest underfull bin of a
+group is emptied by moves of one or two documents, one-for-one and two-for-one
+swaps with the other underfull bins; of all exchanges that make it lighter, the
+one that adds most to the sum of squared fills goes first, each document or pair
+to the place it fits best. Then the next lightest, until none empties. Every
+exchange raises the sum of squared fills, so the search ends.
+
+A chunk is searched where it was tokenized, without a shuffle. Underfull bins
+then meet in rounds: sorted by fill, in groups of at most ``BINS`` bins and about
+``PIECES_TOGETHER`` pieces, lightest with lightest. Rounds end at the least
+possible number of bins, or when one empties fewer than one in ``WORTH`` of the
+bins it was given. So memory is bounded by a group, and nothing is gathered by
+the driver but sums.
+
+Chunks follow the order of the rows. With ``order``, a column of distinct longs
+from 0 to 2^44, sequences are numbered in the order of their first documents.
 
 Null text counts as empty: one piece that holds only the end id. Repeated rows
 are packed once each. Columns other than doc_id and text are ignored.
@@ -19,24 +28,29 @@ import re
 import sys
 import types
 import zlib
-from bisect import bisect_left, insort
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, ranked, table
+from .common import checkpointed, partitions, released, table
 
 CAPACITY, END_ID = 4096, 1
+#: Pieces laid out and searched together at first; bins, pieces and the least yield of a later group or round.
+CHUNK, BINS, PIECES_TOGETHER, WORTH = 2048, 512, 8192, 1000
 #: Cuts whose ids a worker keeps, in each of two generations; others are tokenized anew.
-KEPT = 400_000
+KEPT = 80_000
 #: Bytes of text that are cut into words at a time.
-GROUP = 24_000_000
+GROUP = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
+BINNED = PIECES + ", pos long, bin long, first long, fill long, offset long"
+#: Bits of a sequence's number that tell the pieces of one document apart.
+PIECE_BITS = 19
 
 
 def default_tokenizer() -> str:
@@ -131,176 +145,201 @@ def kept_words(path: str) -> WordIds:
     return vars(kept)[path]
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: where it starts among its document's ids, its length and the checksum of its ids."""
+def next_fit(length: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each piece, laid out one after another."""
+    out, k, fill = [], -1, capacity
+    for s in length.tolist():
+        if fill + s > capacity:
+            k, fill = k + 1, 0
+        fill += s
+        out.append(k)
+    return np.array(out, np.int64)
+
+
+def offers(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(total, first, second): the distinct totals of one or two of the documents, with the lengths that make them (second 0: one)."""
+    size, n = np.unique(length, return_counts=True)
+    a, b = np.triu_indices(len(size))
+    ok = (a != b) | (n[a] > 1)
+    a, b = a[ok], b[ok]
+    total, at = np.unique(np.concatenate((size, size[a] + size[b])), return_index=True)
+    return total, np.concatenate((size, size[a]))[at], np.concatenate((np.zeros(len(size), np.int64), size[b]))[at]
+
+
+def local_search(length: np.ndarray, home: np.ndarray, capacity: int) -> tuple[np.ndarray, dict[str, int]]:
+    """The bin of each piece after the search, and how many moves, swaps by kind, and emptied bins it took."""
+    home = home.copy()
+    n = int(home.max(initial=-1)) + 1
+    fill = np.bincount(home, length, n).astype(np.int64)
+    live = np.bincount(home, minlength=n) > 0
+    least, count = -(-int(length.sum()) // capacity), int(live.sum())
+    stuck = np.zeros(n, bool)
+    did = dict.fromkeys(("moves", "one_for_one", "two_for_one", "emptied"), 0)
+    near = np.flatnonzero(fill[home] < capacity)  # pieces of underfull bins; bins that have since been filled are left out below
+    steps = 0
+    while True:
+        bins = np.flatnonzero(live & ~stuck & (fill < capacity))
+        if not len(bins):
+            break
+        light = int(bins[np.argmin(fill[bins])])
+        while fill[light]:
+            if steps % 16 == 0:
+                near = near[fill[home[near]] < capacity]
+            steps += 1
+            own = np.flatnonzero(home == light)
+            total, first, second = offers(length[own])
+            room = capacity - fill
+            others = np.flatnonzero(live & (room > 0))
+            others = others[others != light]
+            at = home[near]
+            kept = (at != light) & (room[at] > 0)
+            taken, at = near[kept], at[kept]
+            # a place is a bin's room, or that with what one of its documents would leave
+            place = np.concatenate((room[others], length[taken] + room[at]))
+            back = np.concatenate((np.zeros(len(others), np.int64), length[taken]))
+            where = np.concatenate((others, at))
+            best = np.searchsorted(total, place, side="right") - 1
+            gone = np.where(best >= 0, total[best] - back, 0) if len(total) else np.zeros(len(place), np.int64)
+            gain = np.where(gone > 0, gone * (fill[where] - fill[light] + gone), 0)
+            if not len(gain) or gain[k := int(np.argmax(gain))] <= 0:
+                break
+            x, y = first[best[k]], second[best[k]]
+            give = own[length[own] == x][:1]
+            if y:
+                give = np.append(give, own[(length[own] == y) & (own != give[0])][0])
+            if k < len(others):
+                did["moves"] += 1
+            else:
+                did["two_for_one" if y else "one_for_one"] += 1
+                home[taken[k - len(others)]] = light
+            home[give] = where[k]
+            fill[where[k]] += gone[k]
+            fill[light] -= gone[k]
+        if fill[light]:
+            stuck[light] = True
+            if count <= least:
+                break
+        else:
+            live[light] = False
+            count -= 1
+            did["emptied"] += 1
+            stuck[:] = False
+    return home, did
+
+
+def columns(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def packed(rows: dict[str, np.ndarray], home: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pieces with the bin that home says, called names[home]; in a bin they stand by position, piece and id."""
+    if len(home):
+        order = np.lexsort((rows["doc_id"], rows["piece"], rows["pos"], home))
+        own, length = home[order], rows["length"][order]
+        ends = np.cumsum(length)
+        start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        size = np.diff(np.append(start, len(own)))
+        offset = ends - length - np.repeat((ends - length)[start], size)
+        fill = np.repeat(np.add.reduceat(length, start), size)
+        pos, piece = rows["pos"][order], rows["piece"][order].astype(np.int64)
+        if pos.max() >> 63 - PIECE_BITS or piece.max() >> PIECE_BITS:
+            raise ValueError("a position of 2^44 or more, or a document of 2^19 pieces or more")
+        first = np.repeat((pos << PIECE_BITS | piece)[start], size)
+        cols = [rows[c][order] for c in columns(PIECES) + ["pos"]] + [names[own], first, fill, offset]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols[:1]] + [pa.array(cols[1].astype(np.int32))] + [pa.array(c) for c in cols[2:]], names=columns(BINNED))
+
+
+def filled(docs: DataFrame, path: str | None, capacity: int, order: Column | None, chunk: int = CHUNK) -> DataFrame:
+    """Pieces, where each starts among its document's ids, their checksums, and their bins after the first search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept_words(path or default_tokenizer())
+        names = columns(PIECES) + ["pos"]
+        base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        held: list[tuple] = []
+        used = 0
+
+        def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal used
+            table = dict(zip(names, np.array(rows, np.int64).reshape(-1, len(names)).T))
+            home = next_fit(table["length"], capacity)
+            yield from packed(table, local_search(table["length"], home, capacity)[0], base + used + np.arange(len(rows)))
+            used += len(rows)
+
         for b in batches:
-            rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), words.ids(b.column(1), END_ID)):
+            whole: list[tuple] = []
+            for doc, pos, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), words.ids(b.column(1), END_ID)):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
-            cols = list(zip(*rows)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in PIECES.split(", ")])
-
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, PIECES)
-
-
-Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
-
-
-def best_fit(sizes: dict[int, int], capacity: int) -> Counter[Pattern]:
-    """Best-fit decreasing over lengths with multiplicities."""
-    open_bins: dict[int, Counter[Pattern]] = defaultdict(Counter)
-    gaps: list[int] = []  # room left, sorted
-
-    def put(gap: int, pattern: Pattern, n: int) -> None:
-        if gap not in open_bins:
-            insort(gaps, gap)
-        open_bins[gap][pattern] += n
-
-    for size in sorted(sizes, reverse=True):
-        left = sizes[size]
-        while left:
-            k = bisect_left(gaps, size)
-            if k == len(gaps):  # new bins, each filled with as many of this size as fit
-                each = min(capacity // size, left)
-                n = left // each
-                put(capacity - each * size, ((size, each),), n)
-                left -= n * each
-                continue
-            gap = gaps[k]
-            own = open_bins[gap]
-            pattern = min(own)
-            n = own[pattern]
-            each = min(gap // size, left)
-            some = min(n, left // each)
-            own[pattern] -= some
-            if not own[pattern]:
-                del own[pattern]
-            if not own:
-                del open_bins[gap]
-                gaps.pop(k)
-            put(gap - each * size, (*pattern, (size, each)), some)
-            left -= some * each
-    out: Counter[Pattern] = Counter()
-    for own in open_bins.values():
-        out.update(own)
-    return out
-
-
-def fill(p: Pattern) -> int:
-    return sum(s * n for s, n in p)
-
-
-def changed(p: Pattern, take: tuple[int, ...] = (), give: tuple[int, ...] = ()) -> Pattern:
-    c = Counter(dict(p))
-    c.update(give)
-    c.subtract(take)
-    return tuple(sorted(((s, n) for s, n in c.items() if n), reverse=True))
-
-
-def local_search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
-    """Empty light bins by moves and swaps, until the lower bound or a round over all underfull patterns that empties none."""
-    bins = Counter(bins)
-    count = sum(bins.values())
-    least = -(-sum(fill(p) * n for p, n in bins.items()) // capacity)
-    emptied = True
-    while emptied:
-        emptied = False
-        for light in sorted((p for p in bins if fill(p) < capacity), key=lambda p: (fill(p), p)):
-            while count > least and light in bins and (trial := without(bins, light, capacity)):
-                bins, count, emptied = trial, count - 1, True
-    return bins
-
-
-def less_one(bins: Counter[Pattern], p: Pattern) -> None:
-    bins[p] -= 1
-    if not bins[p]:
-        del bins[p]
-
-
-def without(bins: Counter[Pattern], light: Pattern, capacity: int) -> Counter[Pattern] | None:
-    """The bins after one of pattern ``light`` is emptied into the others; None if that fails."""
-    trial, own = Counter(bins), light
-    less_one(trial, light)
-    while own:
-        step = improve(trial, own, capacity)
-        if step is None:
-            return None
-        other, take, give = step  # own gives ``give`` to the other bin and takes ``take``
-        less_one(trial, other)
-        trial[changed(other, take, give)] += 1
-        own = changed(own, give, take)
-    return trial
-
-
-def improve(bins: Counter[Pattern], own: Pattern, capacity: int) -> tuple[Pattern, tuple[int, ...], tuple[int, ...]] | None:
-    """A move of the largest document to its best fit; else the swap that hands over most. Either makes own lighter, so the steps end."""
-    mine = [s for s, _ in own]
-    pairs = sorted({(a, b) for i, a in enumerate(mine) for b in mine[i:] if a != b or dict(own)[a] > 1})
-    best_move, best_swap = None, None
-    for p in bins:
-        room = capacity - fill(p)
-        if not room:
-            continue
-        for x in mine:
-            if x <= room:
-                if best_move is None or (x, -room) > best_move[0]:
-                    best_move = ((x, -room), (p, (), (x,)))
-                break
-        for y, _ in p:
-            k = bisect_left(mine, -(y + room), key=lambda v: -v)  # the largest that fits in y's place
-            if k < len(mine) and mine[k] > y and (best_swap is None or mine[k] - y > best_swap[0]):
-                best_swap = (mine[k] - y, (p, (y,), (mine[k],)))
-            for a, b in pairs:
-                if y < a + b <= y + room and (best_swap is None or a + b - y > best_swap[0]):
-                    best_swap = (a + b - y, (p, (y,), (a, b)))
-    found = best_move or best_swap
-    return found and found[1]
-
-
-def solve(sizes: dict[int, int], capacity: int = CAPACITY) -> Counter[Pattern]:
-    return local_search(best_fit(sizes, capacity), capacity)
-
-
-def runs(bins: Counter[Pattern]) -> dict[str, np.ndarray]:
-    """Slots by length: from a first rank on, ``each`` to a bin, at places from ``offset`` on; bins count from ``base``."""
-    rows, given, base = [], Counter(), 0
-    for p, n in sorted(bins.items(), reverse=True):
-        offset = 0
-        for size, each in p:
-            rows.append((size, given[size], each, base, offset))
-            given[size] += n * each
-            offset += size * each
-        base += n
-    a = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    return dict(zip(("size", "first", "each", "base", "offset"), a.T))
-
-
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    spark = docs.sparkSession
-    cut = checkpointed(pieces(docs, path, capacity))
-    sizes = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    slots = runs(solve(sizes, capacity))
+                    (whole if len(own) == 4 * capacity else held).append((NO_ID if doc is None else doc, k, at // 4, len(own) // 4, zlib.crc32(own), pos))
+            if whole:
+                yield from search(whole)
+            while len(held) >= chunk:
+                yield from search(held[:chunk])
+                held = held[chunk:]
+        if held:
+            yield from search(held)
+
+    pos = F.lit(0).cast("long") if order is None else order.cast("long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], pos.alias("pos")).mapInArrow(lambda batches: released(run(batches)), BINNED)
+
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        big = np.int64(1) << 40
-        code = slots["size"] * big + slots["first"]
+#: Stands for a null doc_id inside.
+NO_ID = -(1 << 63)
+
+
+def searched(binned: DataFrame, capacity: int, groups: int) -> DataFrame:
+    """Underfull bins after one more round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def search(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = {c: t.column(c).to_numpy() for c in columns(PIECES) + ["pos"]}
+            names, home = np.unique(t.column("bin").to_numpy(), return_inverse=True)
+            yield from packed(rows, local_search(rows["length"], home, capacity)[0], names)
+
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            size, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            k = np.searchsorted(code, size * big + rank, side="right") - 1
-            q = rank - slots["first"][k]
-            seq = slots["base"][k] + q // slots["each"][k]
-            at = slots["offset"][k] + q % slots["each"][k] * size
-            yield pa.RecordBatch.from_arrays([*[b.column(x.split()[0]) for x in PIECES.split(", ")], pa.array(seq), pa.array(at)], names=[x.split()[0] for x in PLACED.split(", ")])
-
-    dealt = ranked(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", 4 * partitions(spark))
-    return dealt.mapInArrow(place, PLACED)
+            held.append(b)
+            t = pa.Table.from_batches(held).combine_chunks()
+            bins = t.column("bin").to_numpy()
+            start = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1]))) if len(bins) else np.empty(0, int)
+            at = 0
+            while True:  # the last bin may go on in the next batch
+                first = int(np.searchsorted(start, at))
+                to = min(first + BINS, int(np.searchsorted(start, at + PIECES_TOGETHER)))
+                to = max(to, first + 1)
+                if to >= len(start):
+                    break
+                yield from search(t.slice(at, int(start[to]) - at))
+                at = int(start[to])
+            held = t.slice(at).combine_chunks().to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield from search(pa.Table.from_batches(held))
+
+    return binned.repartitionByRange(groups, "fill", "bin").sortWithinPartitions("fill", "bin").mapInArrow(lambda batches: released(run(batches)), BINNED)
+
+
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+    spark = docs.sparkSession
+    state = checkpointed(filled(docs, path, capacity, order))
+    full = F.col("fill") >= capacity
+    parts = []
+    had = None
+    while True:
+        sums = state.agg(F.count(F.when((F.col("offset") == 0) & ~full, 1)), F.count(F.when((F.col("offset") == 0) & full, 1)), F.sum(F.when(~full, F.col("length")))).first()
+        left, done, tokens = sums[0], sums[1], sums[2] or 0
+        if left <= -(-tokens // capacity) or (had is not None and (had - left - done) * WORTH < had):
+            break
+        parts.append(state.where(full))
+        had = left
+        state = checkpointed(searched(state.where(~full), capacity, max(1, min(partitions(spark), left // (2 * BINS)))))
+    parts.append(state)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+    return out.select(doc_id, *columns(PIECES)[1:], F.col("bin" if order is None else "first").alias("sequence_id"), "offset")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
