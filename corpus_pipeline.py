@@ -6,6 +6,7 @@ it kept; between stages the rows are written as Parquet and read again.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
-    return packing.pack(docs)
+    """Pieces of at most 4096 tokens and their places in sequences, numbered in the order of the mixture.
+
+    The mixture's order is that of files and their rows. Where files do not tell their order, sequences have any numbers.
+    """
+    numbers = [re.search(r"part-(\d+)[^/]*$", f) for f in docs.inputFiles()]
+    if not numbers or not all(numbers) or len({int(m[1]) for m in numbers}) < len(numbers):
+        return packing.pack(docs)
+    placed = docs.withColumn("_file", F.col("_metadata.file_name")).withColumn("_at", F.col("_metadata.row_index"))
+    order = F.shiftleft(F.regexp_extract("_file", r"part-(\d+)", 1).cast("long"), 24) + F.col("_at")
+    return packing.pack(placed, order=order)
 
 
 STAGES = [
@@ -59,9 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage wrote goes once the next one has been written."""
     docs = table(spark, sf_dir, "documents")
     top = f"{shared_folder(spark)}/pipeline_{uuid.uuid4().hex}"
+    written = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{top}/{k}_{name}")
         docs = spark.read.parquet(path)
+        if written:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(written)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        written = path
     return docs
