@@ -167,6 +167,38 @@ def test_nearest_neighbours_are_brute_force(spark, clustered):
     assert found >= 0.97 * total
 
 
+def test_repeated_ids_take_one_rank_each(spark, clustered):
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(clustered[:300])]
+    twice = [*rows, rows[0], rows[0], *rows[20:60], *rows[20:60], (29, [float(x) for x in clustered[5]]), (0, [float(x) for x in clustered[7]])]
+    schema = "vec_id long, embedding array<double>, cell string, bound long, rank int"
+    got = ann_search.nearest(spark.createDataFrame([(*r, "x", 1, 1) for r in twice], schema), every=20, cell=64).toPandas().sort_values(["query_id", "rank"])
+    of = {}
+    for i, v in twice:
+        of.setdefault(i, []).append(v)
+    for q in range(0, 300, 20):
+        d = {i: min(math.dist(a, b) for a in of[q] for b in v) for i, v in of.items() if i != q}
+        want = sorted(d, key=lambda i: (d[i], i))[:10]
+        own = got[got.query_id == q]
+        assert own["rank"].tolist() == list(range(1, 11)) and own.vec_id.is_unique
+        assert len(set(own.vec_id) & set(want)) >= 8
+        assert np.allclose(own.score, [d[i] for i in own.vec_id])
+
+
+def test_tree_of_several_branches(spark, clustered):
+    old, ann_search.BRANCH, ann_search.BLOCK = (ann_search.BRANCH, ann_search.BLOCK), 100, 4
+    try:
+        got = ann_search.nearest(vectors(spark, clustered), every=20, cell=50).toPandas()
+    finally:
+        ann_search.BRANCH, ann_search.BLOCK = old
+    x = np.array(clustered)
+    found = 0
+    for q in range(0, len(clustered), 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        found += len(set(np.lexsort((np.arange(len(d)), d))[:10].tolist()) & set(got[got.query_id == q].vec_id))
+    assert found >= 0.9 * 10 * len(range(0, len(clustered), 20))
+
+
 def test_chi_square():
     assert abs(ann_search.chi2_cdf(ann_search.chi2_quantile(0.9)) - 0.9) < 1e-9
     assert abs(ann_search.chi2_quantile(0.5) - 7.344) < 1e-2
