@@ -37,10 +37,17 @@ def tree(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], MESSAGE)
 
 
+def paths_of(messages, keep):
+    out = {}
+    for r in chat_format.best_paths(messages, keep).orderBy("at").collect():
+        assert r["at"] == len(out.setdefault((r["tree_id"], r["leaf_id"]), []))
+        out[r["tree_id"], r["leaf_id"]].append(r["msg_id"])
+    return out
+
+
 def test_best_branch_is_chosen(spark):
     t = tree(spark, [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 3.0), (1, 4, 2, "user", "c", 1.0), (1, 5, 4, "assistant", "d", 0.5), (1, 6, 4, "assistant", None, None), (2, 1, 99, "user", "alone", None), (3, 1, 2, "user", "loop", 1.0), (3, 2, 1, "user", "loop", 1.0)])
-    paths = {(r["tree_id"], r["leaf_id"]): r["path"] for r in chat_format.reply_paths(t).collect()}
-    assert paths == {(1, 3): [1, 3], (1, 5): [1, 2, 4, 5], (1, 6): [1, 2, 4, 6], (2, 1): [1]}
+    assert paths_of(t, 9) == {(1, 3): [1, 3], (1, 5): [1, 2, 4, 5], (1, 6): [1, 2, 4, 6], (2, 1): [1]}
     best = chat_format.read_back(chat_format.format_trees(t)).collect()
     assert {r["tree_id"]: (r["leaf_id"], r["learned"]) for r in best} == {1: (3, "b"), 2: (1, "")}
     two = chat_format.format_trees(t, keep=2)
@@ -57,10 +64,32 @@ def test_texts_come_back(spark, text):
 
 def test_long_chain_and_nothing(spark):
     t = tree(spark, [(1, k, k - 1 if k else None, "user", str(k), 0.0) for k in range(40)])
-    assert chat_format.reply_paths(t).first()["path"] == list(range(40))
+    assert paths_of(t, 1) == {(1, 39): list(range(40))}
     assert chat_format.format_trees(tree(spark, [])).count() == 0
 
 
+def test_very_long_chain(spark):
+    """A conversation of 100,000 turns, in memory that grows with it."""
+    n = 100_000
+    one = F.lit("x").alias("other")
+    k = F.col("id")
+    t = spark.range(n).select(F.lit(1).cast("long").alias("tree_id"), k.alias("msg_id"), F.when(k > 0, k - 1).alias("parent_id"), F.when(k % 2 == 0, "user").otherwise("assistant").alias("role"), k.cast("string").alias("text"), F.lit(1.0).alias("score"), one)
+    r = chat_format.read_back(chat_format.format_trees(t)).select("leaf_id", F.size("turns").alias("n"), F.element_at("turns", n // 2)["text"].alias("mid"), "learned").first()
+    assert (r["leaf_id"], r["n"], r["mid"]) == (n - 1, n, str(n // 2 - 1))
+    assert r["learned"] == "".join(str(x) for x in range(1, n, 2))
+
+
+def test_repeated_messages_and_clashing_columns(spark):
+    rows = [(1, k, k - 1 if k else None, "user", f"t{k}", 1.0, "a", 7, "m", "h") for k in range(12)]
+    other = [(1, k, k - 1 if k else None, "user", f"t{k}", 2.0, "b", 8, "m", "h") for k in range(12)]
+    t = spark.createDataFrame(rows + rows + other, MESSAGE + ", at long, mark string, head string")
+    out = chat_format.read_back(chat_format.format_trees(t, keep=5)).collect()
+    assert [(r["leaf_id"], [x["text"] for x in r["turns"]]) for r in out] == [(11, [f"t{k}" for k in range(12)])]
+    same = spark.createDataFrame([(1, 1, "user", "a"), (1, 1, "user", "a"), (None, 1, "user", "b"), (None, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
+    back = {r["tree_id"]: [x["text"] for x in r["turns"]] for r in chat_format.read_back(chat_format.format_trees(chat_format.chains(same), unique=True)).collect()}
+    assert back == {"1": ["a", "a"], "\0": ["b", "c"]}
+
+
 def test_chat_plan_has_no_python(spark, sf_dir):
     plan = QUERIES["op1_chat_format"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
