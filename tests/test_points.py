@@ -2,7 +2,7 @@ import duckdb
 import numpy as np
 
 from molsurf.operators.points import apportioned, even_picks, farthest_points, shape, windowed_neighbours
-from molsurf.plans.geometry_queries import apportion_counts_whole, apportion_sql
+from molsurf.plans.geometry_queries import apportion_counts, apportion_sql
 from molsurf.sources.proxy import atoms_proxy
 
 
@@ -63,6 +63,6 @@ def test_counts_follow_the_rule_in_both_engines(spark):
 
 
 def test_every_atom_is_apportioned(spark, sf_dir):
-    got, atoms = apportion_counts_whole(spark, sf_dir).toPandas(), atoms_proxy(spark, sf_dir).toPandas()
+    got, atoms = apportion_counts(spark, sf_dir).toPandas(), atoms_proxy(spark, sf_dir).toPandas()
     assert set(zip(got.mol_id, got.atom_idx)) == set(zip(atoms.mol_id, atoms.atom_idx))
     assert got["count"].min() == 1 and (got.groupby("mol_id")["count"].sum() == atoms.groupby("mol_id").size() * 5 // 4).all()

@@ -52,8 +52,8 @@ def test_scan_reads_only_its_columns(spark, sf_dir):
 def test_unmatched_cases_come_from_all_records(spark, sf_dir, monkeypatch):
     runs = []
     monkeypatch.setattr(bench, "unmatched", lambda *r: runs.extend(r) or r[0])
-    QUERIES["bench_unmatched_whole"](spark, sf_dir)
+    QUERIES["bench_unmatched"](spark, sf_dir)
     ids = [r["event_id"] for run in runs for r in run.select("event_id").collect()]
     assert sorted(ids) == sorted(r["event_id"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect())
     monkeypatch.undo()
-    assert {r["side"] for r in QUERIES["bench_unmatched_whole"](spark, sf_dir).select("side").collect()} == {"baseline", "current"}
+    assert {r["side"] for r in QUERIES["bench_unmatched"](spark, sf_dir).select("side").collect()} == {"baseline", "current"}
