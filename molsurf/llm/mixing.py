@@ -12,13 +12,15 @@ source has no block left; then the others go on with their weights in proportion
 in a phase of its own whose slots t count from its start. Every document is placed once.
 
 The driver plans from a count per source, with a step and twelve bytes for each
-block, and broadcasts the slots of the blocks, ``CHUNK`` to a row: a billion
-documents are 16 million blocks. Its time per phase also grows with the number
-of sources: meant for up to about a thousand.
+block: a billion documents are 16 million blocks. The slots of the blocks, ``CHUNK``
+to a row, are broadcast up to ``BROADCAST`` bytes and shuffled beyond. Its time per
+phase also grows with the number of sources: meant for up to about a thousand.
 
 Without given weights, a source's target is the square root of its count: rarer
 sources come earlier and denser. Null sources are one source of their own. An
-empty table gives an empty result. Repeated rows are placed once each.
+empty table gives an empty result. Repeated rows are placed once each, rows
+without doc_id like others. All columns stay but ``_block``, ``_phase`` and
+``_slot``, which are the result's own.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, ranked, table
 
-BLOCK, CHUNK = 64, 64
+BLOCK, CHUNK, BROADCAST = 64, 64, 64 << 20
+PLACES = ("_block", "_phase", "_slot")
 
 
 def shares(weights: dict[str, float], period: int | None = None) -> dict[str, int]:
@@ -134,15 +137,18 @@ def chunks(plan: list[Phase], chunk: int = CHUNK) -> pa.Table:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
     """All rows and columns of docs (doc_id, source among them), then _block, _phase and _slot: the place of the row's block in the mixture."""
     spark = docs.sparkSession
-    named = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("\0")))
-    rows = {r["_source"]: r["count"] for r in named.groupBy("_source").count().collect()}  # a row per source
+    # a row's own columns travel as one, so that none clashes with those of the plan
+    named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), "doc_id", F.xxhash64(*docs.columns).alias("tie"))
+    rows = {r["source"]: r["count"] for r in named.groupBy("source").count().collect()}  # a row per source
     own = {s: (weights or {}).get(s, 0) or (math.sqrt(n) if weights is None else 1e-9) for s, n in rows.items()}
     plan = spark.createDataFrame(chunks(phases({s: -(-n // block) for s, n in rows.items()}, own, period)), "_s string, _c long, _slots array<long>, _phases array<int>")
-    placed = ranked(named, ["_source"], ["doc_id"], "_rank", 4 * partitions(spark)).withColumn("_block", F.floor(F.col("_rank") / block).cast("long"))
-    # a row per CHUNK blocks: an array of bounded size meets each document
-    placed = placed.join(F.broadcast(plan), (F.col("_source") == F.col("_s")) & (F.floor(F.col("_block") / CHUNK).cast("long") == F.col("_c")))
+    placed = ranked(named, ["source"], ["doc_id", "tie"], "rank", 4 * partitions(spark)).withColumn("_block", F.floor(F.col("rank") / block).cast("long"))
+    # a row per CHUNK blocks: an array of bounded size meets each document; a plan of more bytes than BROADCAST is shuffled
+    small = 12 * sum(-(-n // block) for n in rows.values()) <= BROADCAST
+    placed = placed.join(F.broadcast(plan) if small else plan, (F.col("source") == F.col("_s")) & (F.floor(F.col("_block") / CHUNK).cast("long") == F.col("_c")))
     at = F.pmod(F.col("_block"), F.lit(CHUNK)).cast("int") + 1
-    return placed.withColumn("_phase", F.element_at("_phases", at)).withColumn("_slot", F.element_at("_slots", at)).drop("_source", "_s", "_c", "_slots", "_phases", "_rank")
+    columns = [F.col("row")[c].alias(c) for c in docs.columns if c not in PLACES]
+    return placed.select(*columns, "_block", F.element_at("_phases", at).alias("_phase"), F.element_at("_slots", at).alias("_slot"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

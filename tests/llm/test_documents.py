@@ -384,3 +384,45 @@ def test_mixture_carries_the_plan(spark):
     for p in mixing.phases({"a": 1000, "b": 500}, {"a": 1 / 3, "b": 2 / 3}):
         own = got[(got.source == p.source) & (got._phase == p.phase)].sort_values("_block")
         assert own._slot.tolist() == [p.start + t for t in p.slots for _ in range(2)]
+
+
+def brute_edf(blocks, weights):
+    """Slot by slot, with fractions: of the released blocks, the one due first; ties: the smaller window, then the source."""
+    from fractions import Fraction
+    from math import ceil, floor
+
+    left, out, start = dict(blocks), {s: [] for s in blocks}, 0
+    while left := {s: n for s, n in left.items() if n}:
+        w = {s: Fraction(weights[s]) for s in left}
+        total = sum(w.values())
+        w = {s: x / total for s, x in w.items()}
+        done, t = dict.fromkeys(left, 0), 0
+        while all(left[s] > done[s] for s in left):
+            due = {s: (floor(done[s] / w[s]), ceil((done[s] + 1) / w[s])) for s in left}
+            s = min((s for s in left if due[s][0] <= t), key=lambda s: (due[s][1], due[s][1] - due[s][0], s))
+            out[s].append(start + t)
+            done[s] += 1
+            t += 1
+        start += t
+        left = {s: n - done[s] for s, n in left.items()}
+    return out
+
+
+@pytest.mark.parametrize("threshold", [64 << 20, 0])
+def test_mixture_is_earliest_deadline_first(spark, threshold):
+    """The operator's slots, over several phases, with the plan broadcast and shuffled."""
+    n = {"a": 333, "b": 150, "c": 61, "d": 3}
+    weights = {"a": 0.61, "b": 0.25, "c": 0.1, "d": 0.04}
+    rows = [(k if k % 50 else None, "t", s, 1, 2, "x", 0.5) for k, s in enumerate(x for s, m in n.items() for x in [s] * m)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, _b int, _slot int, row string, rank double")
+    old, mixing.BROADCAST = mixing.BROADCAST, threshold
+    try:
+        got = mixing.mix(table, weights, block=4)
+        assert got.columns == ["doc_id", "text", "source", "_b", "row", "rank", "_block", "_phase", "_slot"]
+        got = got.toPandas()
+    finally:
+        mixing.BROADCAST = old
+    assert len(got) == len(rows)
+    want = brute_edf({s: -(-m // 4) for s, m in n.items()}, weights)
+    have = got.drop_duplicates(["source", "_block"]).sort_values("_block").groupby("source")._slot.apply(list).to_dict()
+    assert have == want and got._phase.max() == 3
