@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from molsurf.llm import language_id, license_scan, mixing, packing, simhash, toxicity
 from molsurf.llm.queries import QUERIES
@@ -206,28 +207,70 @@ def test_toxicity_on_held_out_texts(spark):
     all_ = spark.read.parquet(f"{d}/documents.parquet")
     labels = spark.read.parquet(f"{d}/labels.parquet")
     chain = toxicity.train(all_, labels.where("doc_id % 3 <> 0"))
-    got = toxicity.score(all_, chain).join(labels, "doc_id").where("doc_id % 3 = 0").toPandas()
-    said = got.p_toxic >= toxicity.TOXIC
-    assert said[got.toxic == 1].mean() > 0.5 and said[got.toxic == 0].mean() < 0.05
+    got = toxicity.score(all_, chain).withColumn("said", toxicity.is_toxic(chain)).join(labels, "doc_id").where("doc_id % 3 = 0").toPandas()
+    assert got.said[got.toxic == 1].mean() > 0.5 and got.said[got.toxic == 0].mean() < 0.05
 
 
 def test_later_models_read_earlier_probabilities():
     texts = [b"bad words here"] * 30 + [b"fine text here"] * 60
-    quality, toxic = np.ones(90, int), np.array([1] * 30 + [0] * 60)
-    chain, out = toxicity.fit(texts, quality, toxic)
+    labels = {"low_quality": np.zeros(90, bool), "toxic": np.arange(90) < 30, "third": np.arange(90) < 15}
+    chain, out = toxicity.fit(texts, labels)
     n = len(chain.scale)
-    assert [len(w) for w in chain.weights] == [n + 1, n + 2, n + 3]
-    assert out.shape == (90, 3) and (out[:30, 1] > 0.5).all() and (out[30:, 1] < 0.5).all()
+    assert [len(w) for w in chain.weights.values()] == [n + 1, n + 2, n + 3]
+    assert (out["toxic"][:30] > 0.5).all() and (out["toxic"][30:] < 0.5).all()
+    # by hand: each link reads the features and the links before it
+    x = chain.features(texts[25:35])
+    want = []
+    for name, w in chain.weights.items():
+        own = np.hstack((x, *[p[:, None] for p in want]))
+        if name not in toxicity.BY_SHARES:
+            own[:, len(chain.index) : n] = 0
+        want.append(1 / (1 + np.exp(-(own @ w[:-1] + w[-1]))))
+    assert np.allclose(chain.predict(x), np.stack(want, 1))
+
+
+def test_a_fold_does_not_see_its_labels():
+    """Each text has a word of its own that tells its label alone: out of fold, it tells nothing; a feature chosen before the folds would."""
+    rng = np.random.default_rng(8)
+    y = rng.random(120) < 0.5
+    texts = [f"common own{k // 6} text".encode() for k in range(120)]  # six texts share a word; folds part them
+    y6 = np.repeat(rng.random(20) < 0.5, 6)
+    _, shared = toxicity.fit(texts, {"toxic": y6})
+    assert ((shared["toxic"] > 0.5) == y6).mean() > 0.95  # what others of a word say carries over
+    _, alone = toxicity.fit([f"common {k:03d}word text".encode() for k in range(120)], {"toxic": y})
+    assert 0.3 < ((alone["toxic"] > 0.5) == y).mean() < 0.7
+    assert len(np.unique(np.round(alone["toxic"], 9))) <= toxicity.FOLDS
+
+
+def test_features_of_counts_are_those_of_texts():
+    texts = [b"alpha beta beta", b"alphabet gamma", b"Beta! alpha-beta", b"", b"gamma gamma gammas"] * 12
+    y = np.array([1, 0, 1, 0, 0] * 12, bool)
+    chain, x = toxicity.Counts(texts).chain(np.ones(60, bool), {"toxic": y})
+    assert len(chain.index) and np.allclose(chain.features(texts), x)
+
+
+def test_thresholds_part_what_they_can():
+    assert 0.3 < toxicity.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1.0, 1, 0, 0])) < 0.7
+    p, y = np.array([0.9, 0.5, 0.5, 0.1]), np.array([1.0, 1, 0, 0])
+    assert not 0.5 < toxicity.best_threshold(p, y) <= 0.5
+    assert toxicity.best_threshold(np.array([0.5, 0.5]), np.array([1.0, 0])) == 0.25
 
 
 def test_toxicity_of_odd_texts_and_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.train(docs(spark, ODD), labels) is None
     got = toxicity.score(docs(spark, ODD), None)
-    assert got.where("p_toxic = 0").count() == len(ODD)
-    known = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
-    chain = toxicity.train(docs(spark, ["good day to you", "awful scum awful"] * 30), known)
-    assert toxicity.score(docs(spark, ODD), chain).where("p_toxic >= 0.5").count() == 0
+    assert got.where("p_toxic = 0").where(~toxicity.is_toxic(None)).count() == len(ODD)
+    known = spark.createDataFrame([(k, 1, k % 2) for k in range(60)] + [(61, 1, None), (62, 7, 1), (None, 1, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    texts = ["good day to you", "awful scum awful"] * 30
+    table = docs(spark, texts).unionByName(docs(spark, texts)).withColumn("p_toxic", F.lit("mine")).withColumn("toxic", F.lit("too"))
+    chain = toxicity.train(table, known)
+    got = toxicity.score(docs(spark, ODD), chain)
+    assert got.count() == len(ODD) and got.where(toxicity.is_toxic(chain)).count() == 0
+    again = toxicity.score(table, chain)
+    assert again.count() == 120 and dict(again.dtypes)["p_toxic"] == "double" and "toxic" in again.columns
+    assert again.where(toxicity.is_toxic(chain)).count() == 60
+    assert toxicity.score(table.where("false"), chain).count() == 0
 
 
 # --- packing ---
