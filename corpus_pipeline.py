@@ -21,7 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain holds for toxic go."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*COLUMNS), chain).where(F.col("p_toxic") < toxicity.TOXIC).select(*COLUMNS)
+    return toxicity.score(docs.select(*COLUMNS), chain).where(~toxicity.is_toxic(chain)).select(*COLUMNS)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
