@@ -5,16 +5,22 @@ weights of its character 2- to 4-grams with word bounds (those that hold a bound
 are its affixes), and of its entry in a lexicon of the training words. Learned
 transitions join neighbouring words; forward-backward gives each word's
 marginals, so code-switched texts get labels word by word. A text's language
-is that of the largest mean marginal. Chains are cut every ``CHAIN`` words, so
-memory does not grow with a text; every word of every text is labelled.
+is that of the largest mean marginal.
 
-Training reads a bounded sample: at most ``PER_LANG`` texts of each language
-(those of least hash), and from each up to ``TRAIN_CHAINS`` chains spread over
-the text. Half of the training chains are spliced from two texts, which is
-where transitions between languages are learned.
+A chain is a whole text. Forward-backward runs over pieces of ``PIECE`` words side
+by side and is exact all the same: the product of a piece's step matrices carries
+the messages across it, so each piece starts from what the pieces before and
+after it say. Of a long text, only messages between its pieces are held.
+
+Training reads a bounded sample, whole texts of it: about ``PER_LANG`` texts of
+each language, at most, those of least hash. Half of the training chains are
+spliced, in turn, from segments of two texts, which is where transitions between
+languages are learned. The lexicon has the words that the sample repeats.
 
 A null text, and one without letters, is ``und`` with score 0. With nothing to
-learn from, every text is ``und``.
+learn from, every text is ``und``. Repeated rows are labelled alike; rows without
+doc_id are labelled, and not held out. All columns stay but ``lang_pred`` and
+``score``, which are the result's own.
 """
 
 from __future__ import annotations
@@ -24,17 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import released, table
 
-PER_LANG, TRAIN_CHAINS, CHAIN, LEXICON, STEPS = 500, 4, 64, 4000, 40
+PER_LANG, PIECE, STEPS, SEGMENTS = 100, 64, 30, 4
+#: Pieces that are worked on at a time.
+ABREAST = 2048
 ORDERS, BUCKETS = (2, 3, 4), 1 << 16
 #: ASCII other than letters separates words.
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Words whose scores a worker keeps at a time; words of a batch scored together.
-KEPT, TOGETHER = 150_000, 250_000
+KEPT, TOGETHER = 150_000, 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,50 +84,119 @@ class Crf:
         owner, feature = self.features(words)
         return np.stack([np.bincount(owner, self.weights[feature, k], len(words)) for k in range(len(self.labels))], 1).astype(np.float32)
 
-    def marginals(self, e: np.ndarray, length: np.ndarray | None = None, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Forward-backward over chains [chain, place, label], padded after their length."""
-        p = np.exp(e - e.max(2, keepdims=True))
-        t = np.exp(self.moves)
-        fwd, bwd = np.empty_like(p), np.empty_like(p)
-        a = p[:, 0] / p[:, 0].sum(1, keepdims=True)
-        fwd[:, 0] = a
-        for k in range(1, p.shape[1]):
-            a = (a @ t) * p[:, k]
-            a /= a.sum(1, keepdims=True)
-            fwd[:, k] = a
-        b = np.ones_like(a)
-        bwd[:, -1] = b
-        for k in range(p.shape[1] - 2, -1, -1):
-            b = (b * p[:, k + 1]) @ t.T
-            b /= b.sum(1, keepdims=True)
-            if length is not None:
-                b[length <= k + 1] = 1
-            bwd[:, k] = b
-        m = fwd * bwd
-        m /= m.sum(2, keepdims=True)
-        if not pairs:
-            return m, None
-        x = fwd[:, :-1, :, None] * t * (p[:, 1:] * bwd[:, 1:])[:, :, None, :]
-        return m, x / x.sum((2, 3), keepdims=True)
+    def sweep(self, scores: np.ndarray, code: np.ndarray, sizes: np.ndarray, pairs: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Exact forward-backward over chains of the given sizes, whose words end to end are the rows code of scores.
+
+        Yields (positions among the words, marginals there, sum of the marginals of neighbouring pairs or None), a part of the words at a time.
+        """
+        t = np.exp(self.moves.astype(np.float64)).astype(np.float32)
+        n_labels = t.shape[0]
+        pieces = -(-sizes // PIECE)
+        ends = np.cumsum(pieces)
+        chain = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(chain)) - (ends - pieces)[chain]
+        first = (np.cumsum(sizes) - sizes)[chain] + nth * PIECE
+        length = np.minimum(PIECE, sizes[chain] - nth * PIECE)
+        groups = []
+        for lo, hi in ((1, 16), (17, 48), (49, PIECE)):  # padding costs, so pieces of like length go together
+            own = np.flatnonzero((length >= lo) & (length <= hi))
+            groups += [(own[i : i + ABREAST], hi) for i in range(0, len(own), ABREAST)]
+
+        def potentials(own: np.ndarray, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            at = first[own, None] + np.arange(hi)
+            there = np.arange(hi) < length[own, None]
+            e = scores[code[np.where(there, at, 0)]]
+            return np.exp(e - e.max(2, keepdims=True)), there
+
+        across = np.empty((len(chain), n_labels, n_labels), np.float32)
+        several = pieces[chain] > 1
+        for own, hi in groups:
+            own = own[several[own]]
+            if not len(own):
+                continue
+            p, there = potentials(own, hi)
+            m = np.tile(np.eye(n_labels, dtype=np.float32), (len(own), 1, 1))
+            start = nth[own] == 0
+            for k in range(p.shape[1]):
+                new = (m.reshape(-1, n_labels) @ t).reshape(m.shape) * p[:, k, None, :]
+                if k == 0:
+                    new[start] = p[start, 0, None, :]  # a chain's first word follows nothing
+                new /= new.max((1, 2), keepdims=True)
+                m = new if there[:, k].all() else np.where(there[:, k, None, None], new, m)
+            across[own] = m
+        enter = np.ones((len(chain), n_labels), np.float32)  # before each piece, from the left
+        leave = np.ones((len(chain), n_labels), np.float32)  # after each piece, from the right
+        begin = ends - pieces
+        order = np.argsort(-pieces, kind="stable")
+        many = pieces[order]
+        for j in range(1, int(pieces.max(initial=0))):
+            live = order[: np.searchsorted(-many, -j, side="left")]  # chains of more than j pieces
+            k = begin[live] + j
+            v = np.einsum("ni,nij->nj", enter[k - 1], across[k - 1])
+            enter[k] = v / v.sum(1, keepdims=True)
+            k = ends[live] - j
+            v = np.einsum("nij,nj->ni", across[k], leave[k])
+            leave[k - 1] = v / v.sum(1, keepdims=True)
+        for own, hi in groups:
+            p, there = potentials(own, hi)
+            fwd, bwd = np.empty_like(p), np.empty_like(p)
+            start = nth[own] == 0
+            a = enter[own]
+            for k in range(p.shape[1]):
+                a = (a @ t) * p[:, k]
+                if k == 0:
+                    a[start] = p[start, 0]
+                a /= a.sum(1, keepdims=True)
+                fwd[:, k] = a
+            b = leave[own]
+            for k in range(p.shape[1] - 1, -1, -1):
+                bwd[:, k] = b
+                new = (b * p[:, k]) @ t.T
+                new /= new.sum(1, keepdims=True)
+                b = np.where(there[:, k, None], new, b)
+            m = fwd * bwd
+            m /= m.sum(2, keepdims=True)
+            x = None
+            if pairs:
+                before = np.concatenate((enter[own, None], fwd[:, :-1]), 1)
+                after = p * bwd
+                z = ((before @ t) * after).sum(2)
+                valid = there.copy()
+                valid[start, 0] = False
+                x = t * np.einsum("pki,pkj->ij", before * np.where(valid, 1 / z, 0)[..., None], after)
+            yield (first[own, None] + np.arange(hi))[there], m[there], x
+
+    def marginals(self, words: list[bytes]) -> np.ndarray:
+        """[word, label] of one text."""
+        out = np.empty((len(words), len(self.labels)))
+        if words:
+            for at, m, _ in self.sweep(self.emissions(words), np.arange(len(words)), np.array([len(words)])):
+                out[at] = m
+        return out
 
     def fit(self, chains: list[list[bytes]], gold: list[np.ndarray], steps: int = STEPS) -> Crf:
-        """Full-batch Adam on the conditional likelihood; all chains have one length."""
+        """Full-batch Adam on the conditional likelihood of whole chains."""
         number: dict[bytes, int] = {}
-        code = np.array([[number.setdefault(w, len(number)) for w in c] for c in chains])
-        y = np.array(gold)
+        code = np.array([number.setdefault(w, len(number)) for c in chains for w in c], np.int64)
+        sizes = np.array([len(c) for c in chains], np.int64)
+        y = np.concatenate(gold)
         n_labels, rows = len(self.labels), len(self.weights)
         owner, feature = self.features(list(number))
-        hot = np.eye(n_labels, dtype=np.float32)
+        want = np.bincount(code * n_labels + y, minlength=len(number) * n_labels).reshape(-1, n_labels)
+        inner = np.ones(len(y), bool)
+        inner[np.cumsum(sizes) - sizes] = False
         want_moves = np.zeros_like(self.moves)
-        np.add.at(want_moves, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+        np.add.at(want_moves, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
         state = [np.zeros_like(self.weights), np.zeros_like(self.weights), np.zeros_like(self.moves), np.zeros_like(self.moves)]
         for step in range(1, steps + 1):
             by_word = np.stack([np.bincount(owner, self.weights[feature, k], len(number)) for k in range(n_labels)], 1).astype(np.float32)
-            m, x = self.marginals(by_word[code], pairs=True)
-            off = (m - hot[y]).reshape(-1, n_labels)
-            per_word = np.stack([np.bincount(code.ravel(), off[:, k], len(number)) for k in range(n_labels)], 1)
-            g = np.stack([np.bincount(feature, per_word[owner, k], rows) for k in range(n_labels)], 1) / len(off) + 1e-6 * self.weights
-            gm = (x.sum((0, 1)) - want_moves) / len(off) + 1e-4 * self.moves
+            have, moved = np.zeros((len(number), n_labels)), np.zeros((n_labels, n_labels))
+            for at, m, x in self.sweep(by_word, code, sizes, pairs=True):
+                have += np.stack([np.bincount(code[at], m[:, k], len(number)) for k in range(n_labels)], 1)
+                moved += x
+            off = have - want
+            g = np.stack([np.bincount(feature, off[owner, k], rows) for k in range(n_labels)], 1) / len(y) + 1e-6 * self.weights
+            gm = (moved - want_moves) / len(y) + 1e-4 * self.moves
             for param, grad, (v, s) in ((self.weights, g, state[:2]), (self.moves, gm, state[2:])):
                 v += 0.1 * (grad - v)
                 s += 0.01 * (grad * grad - s)
@@ -127,39 +204,62 @@ class Crf:
         return self
 
 
-def cut(words: list[bytes], size: int, most: int) -> list[list[bytes]]:
-    """Up to ``most`` whole chains, spread over the words; the words around again if they are fewer."""
-    if len(words) < size:
-        return [(words * (size // len(words) + 1))[:size]] if words else []
-    n = min(most, len(words) // size)
-    return [words[int(i) : int(i) + size] for i in np.linspace(0, len(words) - size, n)]
+def spliced(a: list[bytes], b: list[bytes], y: int, z: int, rng: np.random.Generator) -> tuple[list[bytes], np.ndarray]:
+    """Segments of both texts in turn, every word once."""
+    n = int(rng.integers(1, SEGMENTS + 1))
+    words, gold = [], []
+    for k in range(n):
+        for own, label in ((a, y), (b, z)):
+            part = own[len(own) * k // n : len(own) * (k + 1) // n]
+            words += part
+            gold += [label] * len(part)
+    return words, np.array(gold, np.int64)
+
+
+def sampled(docs: DataFrame, per_lang: int) -> dict[str, list[list[bytes]]]:
+    """The words of at most per_lang texts of each language."""
+    known = docs.where("lang is not null and text is not null")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per label of the model
+    if not counts:
+        return {}
+    # some more than needed, by the hash's share, so no language is ordered as a whole
+    rates = docs.sparkSession.createDataFrame([(lang, 1.5 * per_lang / n + 1e-9 if n > 2 * per_lang else 2.0) for lang, n in counts.items()], "_lang string, _rate double")
+    hashed = known.select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h"))
+    some = hashed.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(F.col("h") / 2.0**64 + 0.5 < F.col("_rate"))
+    rows = some.orderBy("h", "doc_id", "text").limit(2 * per_lang * len(counts)).select("lang", "text").toPandas()  # whatever ids repeat
+    texts = {lang: own["text"].head(per_lang).tolist() for lang, own in rows.groupby("lang")}
+    for lang, n in counts.items():
+        if len(texts.get(lang, ())) < min(n, per_lang):  # ids that repeat share their hash, so all or none of them were taken
+            least = hashed.where(F.col("lang") == lang).orderBy("h", "doc_id", "text").limit(per_lang)
+            texts[lang] = [r["text"] for r in least.select("text").collect()]
+    out = {lang: [w for t in own if (w := words_of(t))] for lang, own in texts.items()}
+    return {lang: own for lang, own in sorted(out.items()) if own}
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Crf | None:
     """Fit on a bounded sample of (doc_id, text, lang)."""
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang is not null").select("doc_id", "lang").withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= per_lang).drop("_r").distinct()
-    # texts are not shuffled: the broadcast has at most per_lang rows of each language
-    sample = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-    rows = sample.select("lang", "text", "doc_id").orderBy("doc_id", "text").toPandas()
-    size = CHAIN // 2
-    data = [(lang, c) for lang, text in zip(rows["lang"], rows["text"]) for c in cut(words_of(text), size, TRAIN_CHAINS)]
-    if not data:
+    sample = sampled(docs, per_lang)
+    if not sample:
         return None
-    labels = sorted({lang for lang, _ in data})
-    place = {x: k for k, x in enumerate(labels)}
-    counts = Counter(w for _, c in data for w in c)
-    model = Crf(labels, {w: k for k, (w, _) in enumerate(counts.most_common(LEXICON))})
+    labels = list(sample)
+    counts = Counter(w for own in sample.values() for t in own for w in t)
+    model = Crf(labels, {w: k for k, w in enumerate(sorted(w for w, n in counts.items() if n > 1))})
     rng = np.random.default_rng(7)
+    data = [(k, words) for k, lang in enumerate(labels) for words in sample[lang]]
+    data = [data[k] for k in rng.permutation(len(data))]
     chains, gold = [], []
-    for lang, c in data:
-        y = np.full(size, place[lang])
-        if rng.random() < 0.5:
-            other, d = data[rng.integers(len(data))]
-            k = int(rng.integers(1, size))
-            c, y = c[:k] + d[k:], np.concatenate((y[:k], np.full(size - k, place[other])))
+    third = len(data) // 3  # a third of the texts stand alone; two thirds go in pairs, so chains are half and half
+    for k, words in data[:third]:
+        chains.append(words)
+        gold.append(np.full(len(words), k))
+    rest = data[third:]
+    for (k, words), (j, other) in zip(rest[::2], rest[1::2]):
+        c, y = spliced(words, other, k, j, rng)
         chains.append(c)
         gold.append(y)
+    if len(rest) % 2:
+        chains.append(rest[-1][1])
+        gold.append(np.full(len(rest[-1][1]), rest[-1][0]))
     return model.fit(chains, gold)
 
 
@@ -184,22 +284,12 @@ class Labeller:
     def means(self, texts: list[list[bytes]]) -> np.ndarray:
         """[text, label]: mean marginals over all words of each text with words."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        pieces = -(-sizes // CHAIN)
         code = self.codes([w for t in texts for w in t])
         text = np.repeat(np.arange(len(texts)), sizes)
-        within = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        chain = (np.cumsum(pieces) - pieces)[text] + within // CHAIN
-        e = np.zeros((int(pieces.sum()), CHAIN, self.scores.shape[1]), np.float32)
-        e[chain, within % CHAIN] = self.scores[code]
-        length = np.bincount(chain, minlength=len(e))
-        out = np.empty((len(code), e.shape[2]), np.float32)
-        for lo, hi in ((1, 16), (17, 48), (49, CHAIN)):  # padding costs, so chains of like length go together
-            own = np.flatnonzero((length >= lo) & (length <= hi))
-            if len(own):
-                m, _ = self.model.marginals(e[own, :hi], length[own])
-                e[own, :hi] = m
-        out = e[chain, within % CHAIN]
-        return np.stack([np.bincount(text, out[:, k], len(texts)) for k in range(out.shape[1])], 1) / sizes[:, None]
+        out = np.zeros((len(texts), self.scores.shape[1]))
+        for at, m, _ in self.model.sweep(self.scores, code, sizes):
+            out += np.stack([np.bincount(text[at], m[:, k], len(texts)) for k in range(m.shape[1])], 1)
+        return out / sizes[:, None]
 
 
 def has_letter(words: list[bytes]) -> bool:
@@ -237,7 +327,11 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
             cols = [b.column(b.schema.names.index(x)) for x, _ in fields]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
-    return docs.select(*[n for n, _ in fields]).mapInArrow(run, schema)
+    return docs.select(*[n for n, _ in fields]).mapInArrow(lambda batches: released(run(batches)), schema)
+
+
+def is_held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 #: Texts below this score are in no learned language.
@@ -246,6 +340,6 @@ LEAST_SCORE = 0.35
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held_out = is_held_out(F.col("doc_id"))
     out = predict(docs.drop("lang"), train(docs.where(~held_out)))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

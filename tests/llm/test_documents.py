@@ -176,27 +176,76 @@ def test_language_of_odd_texts(spark):
     assert set(language_id.predict(train, language_id.train(train.where("false"))).toPandas().lang_pred) == {"und"}
 
 
-def test_forward_backward_is_brute_force():
-    rng = np.random.default_rng(5)
-    model = language_id.Crf(["a", "b"], {})
-    model.moves = rng.standard_normal((2, 2)).astype(np.float32)
-    e = rng.standard_normal((1, 6, 2)).astype(np.float32)
-    e[0, 4:] = 0
-    got, _ = model.marginals(e, np.array([4]))
-    want = np.zeros((4, 2))
-    for path in np.ndindex(2, 2, 2, 2):
-        p = np.exp(sum(e[0, k, y] for k, y in enumerate(path)) + sum(model.moves[a, b] for a, b in zip(path, path[1:])))
+def brute_marginals(e, moves):
+    """Over every sequence of labels; and of neighbouring pairs."""
+    n, labels = e.shape
+    want, pairs = np.zeros((n, labels)), np.zeros((labels, labels))
+    total = 0.0
+    for path in np.ndindex(*[labels] * n):
+        p = np.exp(sum(e[k, y] for k, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+        total += p
         for k, y in enumerate(path):
             want[k, y] += p
-    assert np.allclose(got[0, :4], want / want.sum(1, keepdims=True), atol=1e-5)
+        for a, b in zip(path, path[1:]):
+            pairs[a, b] += p
+    return want / total, pairs / total
+
+
+@pytest.mark.parametrize("piece", [2, 3, 64])
+def test_forward_backward_is_brute_force(piece, monkeypatch):
+    """Exact over whole chains, however they are cut into pieces."""
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    monkeypatch.setattr(language_id, "ABREAST", 3)
+    rng = np.random.default_rng(5)
+    model = language_id.Crf(["a", "b", "c"], {})
+    model.moves = (2 * rng.standard_normal((3, 3))).astype(np.float32)
+    sizes = np.array([7, 1, 3, 8, 2, 6])
+    scores = (2 * rng.standard_normal((9, 3))).astype(np.float32)
+    code = rng.integers(0, 9, sizes.sum())
+    want, pairs, at = [], np.zeros((3, 3)), 0
+    for n in sizes:
+        m, x = brute_marginals(scores[code[at : at + n]].astype(float), model.moves.astype(float))
+        want.append(m)
+        pairs += x
+        at += n
+    got, moved = np.full((len(code), 3), np.nan), np.zeros((3, 3))
+    for at, m, x in model.sweep(scores, code, sizes, pairs=True):
+        got[at] = m
+        moved += x
+    assert np.allclose(got, np.concatenate(want), atol=1e-4) and np.allclose(moved, pairs, atol=1e-3)
+
+
+def test_long_chains_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = language_id.Crf(["a", "b", "c", "d"], {})
+    model.moves = (3 * rng.standard_normal((4, 4))).astype(np.float32)
+    scores, code, sizes = rng.standard_normal((50, 4)).astype(np.float32), rng.integers(0, 50, 5000), np.array([4000, 999, 1])
+    out = []
+    for piece in (64, 7000):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        got = np.empty((5000, 4))
+        for at, m, _ in model.sweep(scores, code, sizes):
+            got[at] = m
+        out.append(got)
+    assert np.allclose(*out, atol=1e-4)
 
 
 def test_code_switching_is_seen_word_by_word(spark):
     train = docs(spark, ["the cat sat on the mat and the dog"] * 8 + ["der hund und die katze auf dem haus"] * 8, langs=["en"] * 8 + ["de"] * 8)
     model = language_id.train(train)
-    words = language_id.words_of("the cat sat on the mat der hund und die katze auf")
-    m, _ = model.marginals(model.emissions(words)[None], np.array([len(words)]))
-    assert [model.labels[k] for k in m[0].argmax(1)] == ["en"] * 6 + ["de"] * 6
+    m = model.marginals(language_id.words_of("the cat sat on the mat der hund und die katze auf"))
+    assert [model.labels[k] for k in m.argmax(1)] == ["en"] * 6 + ["de"] * 6
+
+
+def test_language_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "the cat sat on the mat", "en", "x", 1)] * 30 + [(None, "der hund und die katze", "de", "x", 1)] * 30 + [(3, None, "de", "x", 1), (4, "ein hund", None, "x", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int")
+    sample = language_id.sampled(table, 5)
+    assert {k: len(v) for k, v in sample.items()} == {"de": 5, "en": 5}
+    out = language_id.predict(table, language_id.train(table)).toPandas()
+    assert len(out) == len(rows) and out.columns.tolist() == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert (out.lang_pred[out.doc_id == 1] == "en").all() and (out.lang_pred[out.doc_id.isna()] == "de").all()
+    assert table.select(language_id.is_held_out(table["doc_id"]).alias("h")).where("h is null").count() == 0
 
 
 # --- toxicity ---
