@@ -26,8 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go: without letters, or of a low score."""
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    model = language_id.train(docs.where(~held_out))
+    model = language_id.train(docs.where(~language_id.is_held_out(F.col("doc_id"))))
     return language_id.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.LEAST_SCORE)).select(*COLUMNS)
 
 
