@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SQRT_EPS
 from ..functions.formulas import dist2, with_steps
+from .spatial import nearest_in_cells, operand
 
 
 @dataclass(frozen=True)
@@ -68,18 +69,13 @@ def surface_edges(points: DataFrame, options: GraphOptions = GraphOptions()) ->
     typed = o.topology and "supports" in points.columns
     length = F.expr("greatest(sqrt(nx * nx + ny * ny + nz * nz), 1e-300)")
     unit = points.select(*[c for c in points.columns if c not in ("nx", "ny", "nz")], *[F.when(length > 1e-16, F.col(c) / length).otherwise(1.0 if c == "nx" else 0.0).alias(c) for c in ("nx", "ny", "nz")])
-    side = lambda s, i: unit.select("mol_id", F.col("point_id").alias(i), *[F.col(c).alias(f"{c}{s}") for c in unit.columns if c not in ("mol_id", "point_id")])
-    pairs = side("a", "src").join(side("b", "dst"), "mol_id").where("src <> dst")
-    if typed:
-        pairs = pairs.where(topology(o.allow_disjoint_single_support_edges))
-    pairs = with_steps(pairs, [("d", f"sqrt({dist2('a', 'b')})"), THETA, ("metric", METRIC if o.weight_mode == "geodesic" else "d")])
-    if o.max_distance is not None:
-        pairs = pairs.where(F.col("d") <= o.max_distance)
     k = o.neighbors
     pool = o.candidate_neighbors or (k + 2 if typed else max(2 * k, k + 4))
-    by = Window.partitionBy("mol_id", "src")
-    nearest = by.orderBy("metric", "dst")
-    pairs = pairs.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= pool)
+    # an arc is never shorter than its chord, so both metrics suit growing cells
+    steps = [("d", f"sqrt({dist2('a', 'b')})"), THETA, ("metric", METRIC if o.weight_mode == "geodesic" else "d")]
+    allowed = topology(o.allow_disjoint_single_support_edges) if typed else F.lit(True)
+    pairs = nearest_in_cells(operand(unit, "src", "a"), operand(unit, "dst", "b"), pool, steps, "metric", allowed, o.max_distance)
+    nearest = Window.partitionBy("mol_id", "src").orderBy("metric", "dst")
     along = lambda s: f"abs(((xb - xa) * nx{s} + (yb - ya) * ny{s} + (zb - za) * nz{s}) / d) <= {o.max_tangent_component}e0"
     valid = pairs.where("d > 1e-12").where(f"cos(theta) >= {o.min_normal_cosine - 1e-15} AND {along('a')} AND {along('b')}")
     if o.prune_redundant and k >= 3:

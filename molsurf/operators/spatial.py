@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_RADIUS, PROBE
 from ..functions.formulas import dist2, inside, q6
+from .store import checkpointed
 
 #: All expanded spheres of the built-in radii reach at most this far.
 REACH = MAX_RADIUS + PROBE
@@ -85,13 +86,74 @@ def grid_mean(points: DataFrame, spacing: float) -> DataFrame:
     return cells.groupBy("mol_id", "cx", "cy", "cz").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "xyz"])
 
 
-def nearest_k(points: DataFrame, k: int, allowed: str = "true", metric: str = "d2") -> DataFrame:
-    """(mol_id, src, dst, d, rank): each point's k nearest others of its molecule, ties to the smaller id; Spark keeps only k rows a group before the sort."""
-    a = points.select("mol_id", F.col("point_id").alias("src"), *[F.col(c).alias(f"{c}a") for c in points.columns if c not in ("mol_id", "point_id")])
-    b = points.select("mol_id", F.col("point_id").alias("dst"), *[F.col(c).alias(f"{c}b") for c in points.columns if c not in ("mol_id", "point_id")])
-    pairs = a.join(b, "mol_id").where("src <> dst").where(allowed).withColumn("d2", F.expr(dist2("a", "b")))
-    w = Window.partitionBy("mol_id", "src").orderBy(F.expr(metric), "dst")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("d", F.sqrt("d2"))
+#: Cells grow by this factor from round to round, from an edge that holds about k neighbours, but not below a share of the extent.
+GROWTH, FINEST = 3.0, 1 / 729
+
+
+def nearest_in_cells(a: DataFrame, b: DataFrame, k: int, steps: list[tuple[str, str]], metric: str, allowed: str = "true", limit: float | None = None) -> DataFrame:
+    """For each row of a (mol_id, src, xa, ya, za, ...) its k rows of b (mol_id, dst, xb, yb, zb, ...) of least metric, ties to the smaller dst, as rank from 1.
+
+    steps are columns of a pair, in order; metric must never be below the distance.
+    Space is cut into cells whose edge follows from each molecule's density. A row
+    meets the 27 cells around its own, which hold all that lies within an edge of
+    it: with k allowed rows of a metric up to the edge it is done, exactly. The
+    others go on with wider cells, until a cell spans the molecule (or ``limit``).
+    So no join has the molecule alone as its key until few rows are left.
+    """
+    low, high = [F.min(f"{c}b") for c in "xyz"], [F.max(f"{c}b") for c in "xyz"]
+    reach = a.groupBy("mol_id").agg(*[F.min(f"{c}a").alias(f"_p{c}") for c in "xyz"], *[F.max(f"{c}a").alias(f"_q{c}") for c in "xyz"])
+    box = b.groupBy("mol_id").agg(F.count("*").alias("_n"), *[x.alias(f"_l{c}") for c, x in zip("xyz", low)], *[x.alias(f"_h{c}") for c, x in zip("xyz", high)]).join(reach, "mol_id")
+    whole = F.greatest(*[F.greatest(f"_h{c}", f"_q{c}") - F.least(f"_l{c}", f"_p{c}") for c in "xyz"]) + 1e-9
+    side = [F.greatest(F.col(f"_h{c}") - F.col(f"_l{c}"), F.col("_whole") / 100) for c in "xyz"]
+    edge = F.greatest(1.3 * F.pow(side[0] * side[1] * side[2] * F.lit(float(k)) / F.col("_n"), F.lit(1 / 3)), F.col("_whole") * FINEST)
+    box = checkpointed(box.withColumn("_whole", whole).withColumn("_edge", edge).select("mol_id", "_whole", "_edge", *[F.least(f"_l{c}", f"_p{c}").alias(f"_o{c}") for c in "xyz"]))
+    rounds = box.agg(F.max(F.col("_whole") / F.col("_edge"))).first()[0]
+    if rounds is None:
+        rounds = 1.0
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    open_, parts, scale = a, [], 1.0
+    columns = None
+    while True:
+        wide = F.col("_edge") * scale
+        cell = lambda c, s: F.floor((F.col(f"{c}{s}") - F.col(f"_o{c}")) / wide)  # noqa: E731, B023
+        left = open_.join(box, "mol_id").withColumns({f"_c{c}": cell(c, "a") for c in "xyz"})
+        right = b.join(box.select("mol_id", "_edge", *[f"_o{c}" for c in "xyz"]), "mol_id").withColumns({f"_c{c}": cell(c, "b") for c in "xyz"}).drop("_edge", *[f"_o{c}" for c in "xyz"])
+        for c in "xyz":
+            right = right.withColumn("_s", F.explode(around)).withColumn(f"_c{c}", F.col(f"_c{c}") + F.col("_s")).drop("_s")
+        pairs = left.join(right, ["mol_id", "_cx", "_cy", "_cz"]).where("src <> dst").where(allowed)
+        for name, expression in steps:
+            pairs = pairs.withColumn(name, F.expr(expression))
+        if limit is not None:
+            pairs = pairs.where(F.col("d") <= limit)
+        last = wide >= (F.col("_whole") if limit is None else F.least("_whole", F.lit(limit)))
+        by = Window.partitionBy("mol_id", "src")
+        best = pairs.withColumn("rank", F.row_number().over(by.orderBy(F.expr(metric), "dst"))).where(F.col("rank") <= k)
+        done = last | ((F.count("*").over(by) == k) & (F.max(F.expr(metric)).over(by) <= wide))
+        best = best.withColumn("_done", done)
+        columns = columns or [c for c in best.columns if not c.startswith("_")]
+        best = checkpointed(best.select(*columns, "_done"))
+        parts.append(best.where("_done").drop("_done"))
+        if scale >= rounds or (limit is not None and box.where(~last).isEmpty()):
+            break
+        finished = best.where("_done").select("mol_id", "src").distinct()
+        open_ = checkpointed(open_.join(finished, ["mol_id", "src"], "left_anti"))
+        if open_.isEmpty():
+            break
+        scale *= GROWTH
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def operand(points: DataFrame, ident: str, s: str) -> DataFrame:
+    """Points as one side of a pair: mol_id, ident for point_id, and each other column with the side's letter."""
+    return points.select("mol_id", F.col("point_id").alias(ident), *[F.col(c).alias(f"{c}{s}") for c in points.columns if c not in ("mol_id", "point_id")])
+
+
+def nearest_k(points: DataFrame, k: int, allowed: str = "true") -> DataFrame:
+    """(mol_id, src, dst, d, rank): each point's k nearest others of its molecule, ties to the smaller id."""
+    return nearest_in_cells(operand(points, "src", "a"), operand(points, "dst", "b"), k, [("d", f"sqrt({dist2('a', 'b')})")], "d", allowed)
 
 
 def rounded(df: DataFrame, keep: list[str], values: list[str]) -> DataFrame:
