@@ -1,4 +1,8 @@
-"""Compare benchmark files, or list the variants of a sweep: ``python -m molsurf.cli compare BASE CURRENT``."""
+"""Benchmarks from the command line: ``python -m molsurf.cli run|compare|profiles|sweep``.
+
+run measures the samplers on structure files or demonstration molecules and appends
+records; compare, profiles and sweep read such records.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,9 @@ from pyspark.sql import SparkSession
 
 from .config import COUNT_TOLERANCE, IMPROVEMENT, REGRESSION
 from .operators import bench
-from .sources.bench_json import read_payload, read_records
+from .runs import METHODS, run, variants
+from .sources.bench_json import read_payload, read_profiles, read_records
+from .sources.structures import demo_molecules, read_demo, read_pdb
 
 
 def records(spark: SparkSession, path: str):
@@ -29,23 +35,59 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--fail-on-regression", action="store_true")
     s = sub.add_parser("sweep")
     s.add_argument("path")
-    for p in (c, s):
-        p.add_argument("--output-json")
+    f = sub.add_parser("profiles")
+    f.add_argument("path")
+    f.add_argument("--profile-dir")
+    for p in (c, s, f):
+        p.add_argument("--output-json", help="a folder: a table of the report each")
+        p.add_argument("--limit", type=int, default=50)
+    r = sub.add_parser("run")
+    r.add_argument("structures", nargs="+", help="PDB files, or names of demonstration molecules")
+    r.add_argument("--records", required=True)
+    r.add_argument("--methods", default=",".join(METHODS))
+    r.add_argument("--interfaces", default="points")
+    r.add_argument("--sweep", action="append", default=[], metavar="METHOD.KEY=V1,V2", help="values of a parameter, one at a time")
+    r.add_argument("--repeats", type=int, default=1)
+    r.add_argument("--version", default="1")
+    r.add_argument("--most-atoms", type=int)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    failed = False
+    if args.command == "run":
+        axes: dict[str, dict[str, list]] = {}
+        for text in args.sweep:
+            name, _, values = text.partition("=")
+            method, _, key = name.partition(".")
+            axes.setdefault(method, {})[key] = [float(v) if "." in v else int(v) for v in values.split(",")]
+        demos = set(demo_molecules())
+        atoms = None
+        for name in args.structures:
+            own = read_demo(spark, name) if name in demos else read_pdb(spark, name)
+            own = own.select(own["mol_id"].cast("string").alias("mol_id"), "atom_idx", "x", "y", "z", "radius")
+            atoms = own if atoms is None else atoms.unionByName(own)
+        new = run(spark, atoms, variants(args.methods.split(","), axes, args.interfaces.split(",")), args.records, args.repeats, args.version, args.most_atoms)
+        print(f"{new} new records")
+        return 0
+    failed, report = False, {}
     if args.command == "compare":
         base, now = records(spark, args.baseline), records(spark, args.current)
         cases = bench.compare(base, now, args.regression_threshold, args.improvement_threshold, args.point_count_tolerance).persist()
-        out = bench.variant_rollup(cases)
-        bench.top(cases, "regression").show(25, False)
-        missing = bench.unmatched(base, now).where("side = 'baseline'")
+        report = {kind: bench.top(cases, kind, args.limit) for kind in ("regression", "improvement", "points_changed")}
+        report |= {"cases": cases, "unmatched": bench.unmatched(base, now), "variants": bench.variant_rollup(cases)}
+        missing = report["unmatched"].where("side = 'baseline'")
         failed = args.fail_on_regression and not (cases.where("regression OR points_changed").isEmpty() and missing.isEmpty())
+    elif args.command == "profiles":
+        payloads, errors = read_profiles(spark, args.path, args.profile_dir)
+        functions = payloads.select("internal_profile.top_functions")
+        calls = payloads.select("pdb_id", "method", "interface_mode", "internal_profile.top_calls").where("top_calls is not null")
+        report = {"errors": errors, "calls": bench.slowest_calls(calls, args.limit), "ops": bench.profile_ops(payloads.select("torch_profile.top_ops"), args.limit), "functions": bench.profile_rollup(functions, args.limit)}
+        failed = not errors.isEmpty()
     else:
-        out = bench.sweep(records(spark, args.path))
-    out.show(50, False)
-    if args.output_json:
-        out.write.mode("overwrite").json(args.output_json)
+        report = {"variants": bench.sweep(records(spark, args.path))}
+    for name, table in report.items():
+        print(name)
+        table.show(args.limit, False)
+        if args.output_json:
+            table.write.mode("overwrite").json(f"{args.output_json}/{name}")
     return int(failed)
 
 

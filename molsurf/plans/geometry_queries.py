@@ -9,6 +9,8 @@ from ..config import CAP_STEPS, EPS, GOLDEN, MAX_SUPPORTS, PAIR_FILTER, PROBE, S
 from ..functions import formulas as fm
 from ..functions.formulas import q6, with_steps
 from ..operators import spatial as sp
+from ..operators.bonds import bonds
+from ..operators.outputs import crowded, limited, supports_of
 from ..operators.points import apportioned
 from ..sources import proxy
 from ..sources.proxy import atoms_proxy
@@ -552,16 +554,39 @@ def cap_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- molecules -----------------------------------------------------------
 
 
+BOND_RADIUS = "CASE atom_idx % 6 WHEN 0 THEN 0.76e0 WHEN 1 THEN 0.31e0 WHEN 2 THEN 0.66e0 WHEN 3 THEN 0.71e0 WHEN 4 THEN 1.05e0 END"
+
+
 @query(
-    """ SELECT a.mol_id, a.atom_idx AS a, b.atom_idx AS b FROM e a JOIN e b ON a.mol_id = b.mol_id AND a.atom_idx < b.atom_idx
-WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.6e0 * (a.radius + b.radius)"""
+    f""", k AS (SELECT *, {BOND_RADIUS} AS cr FROM atoms) SELECT a.mol_id, a.atom_idx AS a, b.atom_idx AS b FROM k a JOIN k b ON a.mol_id = b.mol_id AND a.atom_idx < b.atom_idx
+WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 1.25e0 * (a.cr + b.cr)"""
 )
 def bond_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs within a factor of their radii's sum."""
-    atoms = atoms_proxy(spark, sf_dir)
-    name = lambda s: atoms.select("mol_id", F.col("atom_idx").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("x", "y", "z", "radius")])
-    near = sp.near(name("a"), name("b"), 0.6 * 2 * max(1.9, 1.7)).where("a < b")
-    return near.where(f"sqrt({fm.dist2('a', 'b')}) <= 0.6e0 * (radiusa + radiusb)").select("mol_id", "a", "b")
+    """Pairs within 1.25 times the sum of their covalent radii; the sixth element has none and bonds with nothing."""
+    return bonds(atoms_proxy(spark, sf_dir).withColumn("element", F.expr(ELEMENT)))
+
+
+@query(TILES + " SELECT mol_id, tile_id, count(*) AS members, count(*) >= 3 AS triples FROM ta GROUP BY mol_id, tile_id")
+def tile_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that atoms reach, with their number, and whether a triple fits."""
+    members = tile_atoms(sp.expanded(atoms_proxy(spark, sf_dir)), TILE, OVERLAP)
+    return crowded(members, ["mol_id", "tile_id"]).withColumn("triples", F.col("members") >= 3)
+
+
+@query(" SELECT vec_id, array_to_string(list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0), ',') AS supports FROM embeddings WHERE embedding IS NOT NULL")
+def dense_to_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of each vector's positive components, comma-joined: dense rows as supports."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
+    return e.select("vec_id", F.array_join(supports_of(F.col("embedding")), ",").alias("supports"))
+
+
+@query(
+    """, o AS (SELECT mol_id, atom_idx AS point_id, row_number() OVER (PARTITION BY mol_id ORDER BY atom_idx) - 1 AS i, count(*) OVER (PARTITION BY mol_id) AS n FROM atoms)
+SELECT mol_id, point_id FROM o WHERE n <= 20 OR i IN (SELECT k * (o.n - 1) // 19 FROM (SELECT unnest(range(20)) AS k))"""
+)
+def limited_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 20 points of each molecule, for display."""
+    return limited(atoms_proxy(spark, sf_dir).select("mol_id", F.col("atom_idx").alias("point_id")), 20)
 
 
 MOMENTS = {f"c{p}{q}": f"avg({p} * {q}) - avg({p}) * avg({q})" for p, q in ("xx", "yy", "zz", "xy", "xz", "yz")}

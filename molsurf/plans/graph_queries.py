@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SQRT_EPS
 from ..functions.formulas import q6, with_steps
 from ..operators.graph import GraphOptions, surface_edges
+from ..operators.outputs import output_stats as stats_of
 from ..operators.points import even_picks, farthest_points, shape, windowed_neighbours
 from ..operators.spatial import nearest_k
 from ..sources.proxy import SQL as ATOMS
@@ -150,3 +151,17 @@ def shape_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (farthest_point_picks, shape_eigenvalues)}
+
+
+@query(
+    PICKED
+    + f""", w AS (SELECT mol_id, lo, hi FROM wt), n AS (SELECT mol_id, 2 * count(*) AS edges FROM w GROUP BY mol_id),
+p AS (SELECT mol_id, count(*) AS point_count, avg(len(supports)) AS supports_mean, max(len(supports)) AS supports_max, avg(abs(sqrt(nx * nx + ny * ny + nz * nz) - 1e0)) AS e, max(abs(sqrt(nx * nx + ny * ny + nz * nz) - 1e0)) AS m FROM pts GROUP BY mol_id)
+SELECT mol_id, point_count, {q6('supports_mean')} AS supports_mean, supports_max, {q6('e')} AS normal_error_mean, {q6('m')} AS normal_error_max, true AS finite_normals, coalesce(edges, 0)::BIGINT AS edge_count, true AS finite_weights,
+{q6('coalesce(edges, 0) / (point_count::DOUBLE * point_count)')} AS density, {q6('coalesce(edges, 0)::DOUBLE / point_count')} AS mean_degree FROM p LEFT JOIN n USING (mol_id)"""
+)
+def output_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the points and their euclidean graph amount to."""
+    p = points(spark, sf_dir)
+    got = stats_of(p, surface_edges(p, GraphOptions(neighbors=K, candidate_neighbors=POOL)))
+    return got.withColumns({c: F.expr(q6(c)) for c in ("supports_mean", "normal_error_mean", "normal_error_max", "density", "mean_degree")})
