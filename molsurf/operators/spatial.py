@@ -88,6 +88,8 @@ def grid_mean(points: DataFrame, spacing: float) -> DataFrame:
 
 #: Cells grow by this factor from round to round, from an edge that holds about k neighbours, but not below a share of the extent.
 GROWTH, FINEST = 3.0, 1 / 729
+#: A molecule of at most so many points is one cell: its pairs are few, and one round does.
+ONE_CELL = 1000
 
 
 def nearest_in_cells(a: DataFrame, b: DataFrame, k: int, steps: list[tuple[str, str]], metric: str, allowed: str = "true", limit: float | None = None) -> DataFrame:
@@ -105,7 +107,7 @@ def nearest_in_cells(a: DataFrame, b: DataFrame, k: int, steps: list[tuple[str,
     box = b.groupBy("mol_id").agg(F.count("*").alias("_n"), *[x.alias(f"_l{c}") for c, x in zip("xyz", low)], *[x.alias(f"_h{c}") for c, x in zip("xyz", high)]).join(reach, "mol_id")
     whole = F.greatest(*[F.greatest(f"_h{c}", f"_q{c}") - F.least(f"_l{c}", f"_p{c}") for c in "xyz"]) + 1e-9
     side = [F.greatest(F.col(f"_h{c}") - F.col(f"_l{c}"), F.col("_whole") / 100) for c in "xyz"]
-    edge = F.greatest(1.3 * F.pow(side[0] * side[1] * side[2] * F.lit(float(k)) / F.col("_n"), F.lit(1 / 3)), F.col("_whole") * FINEST)
+    edge = F.when(F.col("_n") <= ONE_CELL, F.col("_whole")).otherwise(F.greatest(1.3 * F.pow(side[0] * side[1] * side[2] * F.lit(float(k)) / F.col("_n"), F.lit(1 / 3)), F.col("_whole") * FINEST))
     box = checkpointed(box.withColumn("_whole", whole).withColumn("_edge", edge).select("mol_id", "_whole", "_edge", *[F.least(f"_l{c}", f"_p{c}").alias(f"_o{c}") for c in "xyz"]))
     rounds = box.agg(F.max(F.col("_whole") / F.col("_edge"))).first()[0]
     if rounds is None:
