@@ -24,6 +24,7 @@ columns stay but those named p_<category>, which are the result's own.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -125,15 +126,15 @@ class Counts:
     def __init__(self, texts: list[bytes]):
         number: dict[bytes, int] = {}
         of: dict[bytes, list[int]] = {}
-        rows, tokens, places = [], [], []
+        rows, tokens, places = array("q"), array("q"), array("q")
         for i, t in enumerate(texts):
             for w, n in Counter(t.translate(WORDS).split()).items():
                 if w not in of:
                     of[w] = [number.setdefault(s, len(number)) for s in (w, *stems(w))]
                 own = of[w]
-                rows += [i] * len(own)
-                tokens += own
-                places += [n] * len(own)
+                rows.extend([i] * len(own))
+                tokens.extend(own)
+                places.extend([n] * len(own))
         self.names = list(number)
         key, at = np.unique(np.array(rows, np.int64) << 32 | np.array(tokens, np.int64), return_inverse=True)
         self.row, self.token = key >> 32, key & 0xFFFFFFFF
