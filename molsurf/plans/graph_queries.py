@@ -34,10 +34,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("mol_id", F.col("atom_idx").alias("point_id"), "x", "y", "z", *[(F.col(c) / F.col("n")).alias(f"n{c}") for c in "xyz"], supports.alias("supports"), (F.col("atom_idx") % 3 + 1).alias("block_type"), (F.col("atom_idx") % 7).alias("block_id"))
 
 
-def query(sql: str):
+def query(sql: str, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = POINTS + sql
+        SQL[f.__name__] = (POINTS.replace("WITH", "WITH RECURSIVE", 1) if recursive else POINTS) + sql
         return f
 
     return add
@@ -141,18 +141,34 @@ def even_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return even_picks(points(spark, sf_dir), 12).select("mol_id", "point_id")
 
 
+@query(
+    """, fp(mol_id, pick, point_id, chosen) AS (
+  SELECT mol_id, 0, min(point_id), [min(point_id)] FROM pts GROUP BY mol_id
+  UNION ALL
+  SELECT mol_id, pick + 1, best, list_append(chosen, best) FROM (
+    SELECT f.mol_id, f.pick, f.chosen, (
+      SELECT p.point_id FROM pts p WHERE p.mol_id = f.mol_id
+      ORDER BY (SELECT min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z)) FROM pts c WHERE c.mol_id = f.mol_id AND list_contains(f.chosen, c.point_id)) DESC, p.point_id LIMIT 1) AS best
+    FROM fp f WHERE f.pick < 9 AND f.pick + 1 < (SELECT count(*) FROM pts n WHERE n.mol_id = f.mol_id)))
+SELECT mol_id, point_id, pick::INT AS pick FROM fp""",
+    recursive=True,
+)
 def farthest_point_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return farthest_points(points(spark, sf_dir), 10)
 
 
+@query(
+    f""", m AS (SELECT mol_id, {', '.join(f"avg({p} * {q}) - avg({p}) * avg({q}) AS {p}{q}" for p, q in ("xx", "yy", "zz", "xy", "xz", "yz"))} FROM atoms GROUP BY mol_id),
+t AS (SELECT *, (xx + yy + zz) / 3e0 AS q FROM m), u AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2e0 * (xy * xy + xz * xz + yz * yz)) / 6e0) AS p FROM t),
+v AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1e0, least(1e0, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2e0 * p * p * p)))) / 3e0 ELSE 0e0 END AS phi FROM u),
+w AS (SELECT mol_id, q, q + 2e0 * p * cos(phi) AS high, q + 2e0 * p * cos(phi + 2e0 * pi() / 3e0) AS low FROM v)
+SELECT mol_id, round(low, 6) AS e1, round(3e0 * q - high - low, 6) AS e2, round(high, 6) AS e3 FROM w"""
+)
 def shape_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = shape(atoms_proxy(spark, sf_dir))
     return got.select("mol_id", *[F.round(F.col("eigenvalues")[k], 6).alias(f"e{k + 1}") for k in range(3)])
 
 
-QUERIES |= {f.__name__: f for f in (farthest_point_picks, shape_eigenvalues)}
-
-
 @query(
     PICKED
     + f""", w AS (SELECT mol_id, lo, hi FROM wt), n AS (SELECT mol_id, 2 * count(*) AS edges FROM w GROUP BY mol_id),
