@@ -8,6 +8,8 @@ in step. ``?`` is any byte but ``/``; ``*`` any run without ``/``; ``**`` any ru
 The canonical URL is a dot, the host, the path and, with its mark, the query.
 The dot lets ``**.com/en/**`` fit a host and its subdomains alike. A null URL
 or one without ``://`` has an empty host and path, is ``.``, and no rule fits.
+Repeated rows are judged alike, rows without page_id like others; columns other
+than page_id and url are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -93,6 +93,13 @@ def test_fingerprints_by_slices(size):
         simhash.SLICE = old
 
 
+def test_simhash_without_ids_and_with_clashing_columns(spark):
+    rows = [(None, "a b c d e f", 1, "x"), (7, "a b c d e f", 1, "x"), (7, "a b c d e f", 1, "x"), (None, "quite another text is here", 1, "x"), (9, None, 1, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, fp long, component_id string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(table).collect())
+    assert got == [(0, 0), (0, 7), (7, 7), (7, 7), (9, 9)]
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 

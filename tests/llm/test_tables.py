@@ -122,6 +122,12 @@ def test_url_verdicts(spark):
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
+def test_urls_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "http://a.com/en/1", "x", "x")] * 3 + [(None, "http://a.com/en/1", "x", "x")]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string, pattern string")).collect()
+    assert [(r["host"], r["rule"], r["verdict"]) for r in got] == [("a.com", "com/en/", "block")] * 4
+
+
 # --- embeddings ---
 
 
