@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import released, table
 
-SAMPLE, TELLING, FOLDS = 4000, 200, 3
+SAMPLE, TELLING, FOLDS = 3000, 200, 3
 CATEGORIES = ("low_quality", "toxic")
 #: Categories that read the shares of character kinds too.
 BY_SHARES = ("low_quality",)
@@ -126,7 +126,7 @@ class Counts:
     def __init__(self, texts: list[bytes]):
         number: dict[bytes, int] = {}
         of: dict[bytes, list[int]] = {}
-        rows, tokens, places = array("q"), array("q"), array("q")
+        rows, tokens, places = array("i"), array("i"), array("i")
         for i, t in enumerate(texts):
             for w, n in Counter(t.translate(WORDS).split()).items():
                 if w not in of:
@@ -136,6 +136,7 @@ class Counts:
                 tokens.extend(own)
                 places.extend([n] * len(own))
         self.names = list(number)
+        del of, number
         key, at = np.unique(np.array(rows, np.int64) << 32 | np.array(tokens, np.int64), return_inverse=True)
         self.row, self.token = key >> 32, key & 0xFFFFFFFF
         self.places = np.bincount(at, places, len(key))
