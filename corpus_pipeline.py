@@ -9,11 +9,11 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molsurf.llm import language_id, mixing, packing, simhash, toxicity
-from molsurf.llm.common import partitions, shared_folder, table
+from molsurf.llm.common import SMALL, checkpointed, partitions, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -49,9 +49,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbers = [re.search(r"part-(\d+)[^/]*$", f) for f in docs.inputFiles()]
     if not numbers or not all(numbers) or len({int(m[1]) for m in numbers}) < len(numbers):
         return packing.pack(docs)
-    placed = docs.withColumn("_file", F.col("_metadata.file_name")).withColumn("_at", F.col("_metadata.row_index"))
-    order = F.shiftleft(F.regexp_extract("_file", r"part-(\d+)", 1).cast("long"), 24) + F.col("_at")
-    return packing.pack(placed, order=order)
+    placed = docs.select(*COLUMNS, F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    # rows are numbered through the files: a file's first number is the count of rows in the files before it
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_file").agg((F.max("_at") + 1).alias("_n"))
+    first = checkpointed(sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    placed = placed.join(F.broadcast(first) if len(numbers) <= SMALL else first, "_file")
+    return packing.pack(placed, order=F.col("_first") + F.col("_at"))
 
 
 STAGES = [
