@@ -320,7 +320,10 @@ def searched(binned: DataFrame, capacity: int, groups: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
+
+    order: a number below 2^44 of each document; sequences are then numbered by their first one's. It must not repeat: two sequences of one number are an error.
+    """
     spark = docs.sparkSession
     state = checkpointed(filled(docs, path, capacity, order))
     full = F.col("fill") >= capacity
@@ -338,6 +341,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ord
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if order is not None and not out.where("offset = 0").groupBy("first").count().where("count > 1").isEmpty():
+        raise ValueError("order repeats: two sequences would have one number")
     doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
     return out.select(doc_id, *columns(PIECES)[1:], F.col("bin" if order is None else "first").alias("sequence_id"), "offset")
 

@@ -59,6 +59,25 @@ def test_sequences_follow_the_mixture(spark, tmp_path):
     assert shuffled.count() == len(out)
 
 
+def test_sequence_numbers_beyond_a_file_of_24_bits(spark, tmp_path, monkeypatch):
+    """Documents numbered from 2^24 on, and files whose rows go on from one another."""
+    import pytest
+
+    full = " ".join(f"word{k}" for k in range(4096))
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, full, None, None, None) for k in range(6)], kinds)
+    far = packing.pack(docs, order=F.col("doc_id") + (1 << 24) - 2).toPandas()
+    whole_and_gapless(far, 4096)
+    assert far.sequence_id.nunique() == (far.offset == 0).sum()
+    with pytest.raises(ValueError, match="order repeats"):
+        packing.pack(docs, order=F.lit(7).cast("long"))
+    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "mixed"))
+    seen = {}
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda placed, order: seen.update({r["doc_id"]: r["n"] for r in placed.select("doc_id", order.alias("n")).collect()}))
+    corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), "")
+    assert seen == {k: k for k in range(6)}
+
+
 def test_what_stages_wrote_goes(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path))
     out = corpus_pipeline.run(spark, sf_dir)
