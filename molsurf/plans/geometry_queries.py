@@ -9,6 +9,7 @@ from ..config import CAP_STEPS, EPS, GOLDEN, MAX_SUPPORTS, PAIR_FILTER, PROBE, S
 from ..functions import formulas as fm
 from ..functions.formulas import q6, with_steps
 from ..operators import spatial as sp
+from ..operators import tiles
 from ..operators.bonds import bonds
 from ..operators.outputs import crowded, limited, supports_of
 from ..operators.points import apportioned
@@ -297,9 +298,8 @@ def segment_clearance_radial(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = feasible(spark, sf_dir)
     ray = ok.join(reach, "mol_id").withColumn("n", F.expr("sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz))"))
     ray = ray.select(*ID3, *[F.col(c).alias(f"p{c}") for c in "xyz"], *[(F.col(f"m{c}") + F.col("out_r") * (F.col(c) - F.col(f"m{c}")) / F.col("n")).alias(f"e{c}") for c in "xyz"])
-    ball = e.select("mol_id", *[F.col(c).alias(f"{c}2") for c in "xyzr"])
-    hit = with_steps(ray.join(ball, "mol_id"), fm.segment_distance2()).where(fm.inside("dd", "r2", 100_000_000)).select(*ID3).distinct().withColumn("hit", F.lit(True))
-    return ok.select(*ID3).join(hit, ID3, "left").select(*ID3, F.col("hit").isNull().alias("clear"))
+    clear = tiles.clear_segments(ray, e, tiles.frames(atoms_proxy(spark, sf_dir), PROBE, SPACING, 1 << 62, 2 * sp.REACH), fm.segment_distance2(), fm.inside("dd", "r2", 100_000_000))
+    return ok.select(*ID3).join(clear.select(*ID3).withColumn("clear", F.lit(True)), ID3, "left").select(*ID3, F.col("clear").isNotNull().alias("clear"))
 
 
 VOXELS = f""", box AS (
@@ -344,10 +344,10 @@ def voxel_free_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) SELECT mol_id, ix, iy, iz FROM reach"""
 )
 def flood_fill_exterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free voxels that a probe reaches from the grid's faces: one grid per task, bounded by its number of cells."""
-    from ..functions.kernels import flood_group
-
-    return free_voxels(spark, sf_dir).select("mol_id", "ix", "iy", "iz", "nx", "ny", "nz").groupBy("mol_id").applyInPandas(flood_group, "mol_id long, ix long, iy long, iz long")
+    """Free voxels that a probe reaches from the grid's faces: components inside blocks of the grid, then links between neighbours."""
+    atoms = atoms_proxy(spark, sf_dir)
+    frame = tiles.frames(atoms, PROBE, SPACING, 1 << 62)
+    return tiles.reached_cells(tiles.flood_by_blocks(atoms, frame, PROBE), frame)
 
 
 # --- smooth distance -----------------------------------------------------
@@ -492,6 +492,28 @@ def tile_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.first_seen(sp.rounded_keys(points, TOLERANCE), ["mol_id", "kx", "ky", "kz"], "point_id").select("mol_id", "point_id", "kx", "ky", "kz")
 
 
+TILE_CENTERS = FEASIBLE + TILES + f""", first AS (
+  SELECT * FROM (SELECT *, round_even(x / 1e-4, 0)::BIGINT AS kx, round_even(y / 1e-4, 0)::BIGINT AS ky, round_even(z / 1e-4, 0)::BIGINT AS kz FROM ok)
+  QUALIFY row_number() OVER (PARTITION BY mol_id, kx, ky, kz ORDER BY ((a * 1000000 + b) * 1000000 + c) * 2 + sign) = 1
+) SELECT mol_id, a, b, c, sign, kx, ky, kz,
+  (({" * ny + ".join(f"least(n{c} - 1, greatest(0, floor((k{c} * 1e-4 - l{c}) / {TILE}e0)))" for c in "xy")}) * nz + least(nz - 1, greatest(0, floor((kz * 1e-4 - lz) / {TILE}e0))))::BIGINT AS tile_id
+FROM first JOIN tb USING (mol_id)"""
+
+
+@query(TILE_CENTERS)
+def tile_triple_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feasible probe centres of triples found inside tiles, each by the tile that owns its rounded place; of equal places, the first."""
+    from . import samplers, spread
+
+    blocks = samplers.Blocks()
+    _, frame, near = spread.prepared(atoms_proxy(spark, sf_dir), PROBE, blocks, SPACING, 1 << 62, TILE)
+    found = spread.found_in_tiles(near, frame, PROBE, None, blocks, False, True, sample=False)
+    kept = sp.first_seen(found.where("kind = 0"), ["mol_id", "kx", "ky", "kz"], "block_id").join(frame.select("mol_id", "n"), "mol_id")
+    triple = F.floor(F.col("block_id") / 2).cast("long")
+    a, b, c = F.floor(triple / (F.col("n") * F.col("n"))).cast("long"), F.floor(triple / F.col("n")).cast("long") % F.col("n"), triple % F.col("n")
+    return kept.select("mol_id", a.alias("a"), b.alias("b"), c.alias("c"), F.col("sign").cast("long").alias("sign"), "kx", "ky", "kz", F.col("part").alias("tile_id"))
+
+
 # --- generators ----------------------------------------------------------
 
 
