@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import SQRT_EPS
 from ..functions.formulas import dist2, with_steps
+from .points import in_frames, spatial_key
 from .spatial import nearest_in_cells, operand
+from .store import checkpointed
 
 
 @dataclass(frozen=True)
@@ -25,8 +27,12 @@ class GraphOptions:
     prune_redundant: bool = False
     allow_disjoint_single_support_edges: bool = False
     topology: bool = True
+    #: How candidates are found: "exact"; "prefiltered", the same rows by way of a geometric pool; "windowed", by places in spatial order, which may miss some.
+    search: str = "exact"
 
     def __post_init__(self):
+        if self.search not in ("exact", "prefiltered", "windowed"):
+            raise ValueError("search must be 'exact', 'prefiltered' or 'windowed'")
         for name in ("neighbors", "candidate_neighbors"):
             v = getattr(self, name)
             if v is None and name == "candidate_neighbors":
@@ -58,6 +64,51 @@ METRIC = f"CASE WHEN theta <= {SQRT_EPS} THEN d ELSE d * theta / (2e0 * sin(thet
 THETA = ("theta", "acos(least(1e0, greatest(-1e0, nxa * nxb + nya * nyb + nza * nzb)))")
 
 
+#: Nearest points that a prefiltered search looks at, at least and by candidates.
+FEWEST, TIMES = 64, 8
+#: Places to each side that a window reaches at least.
+NARROWEST = 8
+
+
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("mol_id", "src").orderBy("metric", "dst"))).where(F.col("rank") <= k)
+
+
+def prefiltered(points: DataFrame, k: int, steps: list[tuple[str, str]], allowed: Column, limit: float | None) -> DataFrame:
+    """The k nearest allowed points of each, by way of the nearest of all.
+
+    Most points find enough allowed ones among their nearest, whatever the topology.
+    Those that come out short while there are more points are searched again by the topology.
+    """
+    most = max(FEWEST, TIMES * k)
+    nearest = checkpointed(nearest_in_cells(operand(points, "src", "a"), operand(points, "dst", "b"), most, steps, "metric", F.lit(True), limit))
+    best = ranked(nearest.where(allowed), k)
+    found = nearest.groupBy("mol_id", "src").agg(F.count("*").alias("_all"), F.count(F.when(allowed, 1)).alias("_fit"))
+    short = found.where((F.col("_all") >= most) & (F.col("_fit") < k)).select("mol_id", "src")
+    again = checkpointed(operand(points, "src", "a").join(short, ["mol_id", "src"], "left_semi"))
+    if again.isEmpty():
+        return best
+    more = nearest_in_cells(again, operand(points, "dst", "b"), k, steps, "metric", allowed, limit)
+    return best.join(short, ["mol_id", "src"], "left_anti").unionByName(more.select(*best.columns))
+
+
+def windowed(points: DataFrame, k: int, steps: list[tuple[str, str]], allowed: Column, limit: float | None) -> DataFrame:
+    """Up to k near allowed points of each: of its block those a few places away in spatial order, and so for each of its supports.
+
+    Linear in the points. A near point that stands far away in every such order is missed.
+    """
+    keep = [c for c in points.columns if c not in ("mol_id", "point_id")]
+    keyed = checkpointed(spatial_key(points))
+    by_block = in_frames(keyed.withColumns({"_t": F.col("block_type"), "_i": F.col("block_id")}), ["_t", "_i"], max(NARROWEST, 2 * k), keep)
+    by_atom = in_frames(keyed.withColumn("_s", F.explode(F.array_distinct("supports"))), ["_s"], max(NARROWEST, k), keep)
+    pairs = by_block.unionByName(by_atom.where(allowed))
+    for name, expression in steps:
+        pairs = pairs.withColumn(name, F.expr(expression))
+    if limit is not None:
+        pairs = pairs.where(F.col("metric") <= limit)
+    return ranked(pairs.dropDuplicates(["mol_id", "src", "dst"]), k)
+
+
 def surface_edges(points: DataFrame, options: GraphOptions = GraphOptions()) -> DataFrame:
     """(mol_id, src, dst, weight) in both directions, for points (mol_id, point_id, x, y, z, nx, ny, nz[, supports, block_type, block_id]).
 
@@ -74,7 +125,12 @@ def surface_edges(points: DataFrame, options: GraphOptions = GraphOptions()) ->
     # an arc is never shorter than its chord, so both metrics suit growing cells
     steps = [("d", f"sqrt({dist2('a', 'b')})"), THETA, ("metric", METRIC if o.weight_mode == "geodesic" else "d")]
     allowed = topology(o.allow_disjoint_single_support_edges) if typed else F.lit(True)
-    pairs = nearest_in_cells(operand(unit, "src", "a"), operand(unit, "dst", "b"), pool, steps, "metric", allowed, o.max_distance)
+    if typed and o.search == "prefiltered":
+        pairs = prefiltered(unit, pool, steps, allowed, o.max_distance)
+    elif typed and o.search == "windowed" and not o.allow_disjoint_single_support_edges:
+        pairs = windowed(unit, pool, steps, allowed, o.max_distance)
+    else:
+        pairs = nearest_in_cells(operand(unit, "src", "a"), operand(unit, "dst", "b"), pool, steps, "metric", allowed, o.max_distance)
     nearest = Window.partitionBy("mol_id", "src").orderBy("metric", "dst")
     along = lambda s: f"abs(((xb - xa) * nx{s} + (yb - ya) * ny{s} + (zb - za) * nz{s}) / d) <= {o.max_tangent_component}e0"
     valid = pairs.where("d > 1e-12").where(f"cos(theta) >= {o.min_normal_cosine - 1e-15} AND {along('a')} AND {along('b')}")

@@ -8,31 +8,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions.formulas import dist2
+from .tiles import numbered
+
 LEVELS = 1023
 
 
 def spatial_key(points: DataFrame) -> DataFrame:
     """Add key: each axis in 1024 steps of the molecule's extent, x first."""
-    w = Window.partitionBy("mol_id")
-    step = lambda c: F.floor((F.col(c) - F.min(c).over(w)) / F.greatest(F.max(c).over(w) - F.min(c).over(w), F.lit(1e-12)) * F.lit(float(LEVELS))).cast("long")
-    return points.withColumn("key", (step("x") * (LEVELS + 1) + step("y")) * (LEVELS + 1) + step("z"))
+    box = points.groupBy("mol_id").agg(*[F.min(c).alias(f"_l{c}") for c in "xyz"], *[F.max(c).alias(f"_h{c}") for c in "xyz"]).withColumnRenamed("mol_id", "_m")
+    step = lambda c: F.floor((F.col(c) - F.col(f"_l{c}")) / F.greatest(F.col(f"_h{c}") - F.col(f"_l{c}"), F.lit(1e-12)) * F.lit(float(LEVELS))).cast("long")
+    met = points.join(box, F.col("mol_id") == F.col("_m"))
+    return met.withColumn("key", (step("x") * (LEVELS + 1) + step("y")) * (LEVELS + 1) + step("z")).drop("_m", *[f"_{s}{c}" for s in "lh" for c in "xyz"])
+
+
+#: Slabs along x, of which the places of a group are summed up.
+SLAB = (LEVELS + 1) ** 2
+
+
+def in_frames(points: DataFrame, groups: list[str], reach: int, keep: list[str]) -> DataFrame:
+    """Pairs of points (mol_id, point_id, key, groups and ``keep``) at most ``reach`` places apart in the spatial order of a group.
+
+    Columns are mol_id, src, dst and each of ``keep`` with a and b at its end. Places
+    are cut into stretches of ``reach``; a point meets its own stretch and the next
+    ones on both sides: an equi-join on (group, stretch), of 3 * reach rows at most a
+    point however many points a group has.
+    """
+    placed = numbered(points.select("mol_id", *groups, "point_id", "key", *keep), ["key", "point_id"], "_at", F.floor(F.col("key") / SLAB).cast("long"), ("mol_id", *groups))
+    placed = placed.withColumn("_f", F.floor(F.col("_at") / reach).cast("long"))
+    side = lambda s, ident: [F.col("point_id").alias(ident), F.col("_at").alias(f"_at{s}"), *[F.col(c).alias(f"{c}{s}") for c in keep]]
+    left = placed.select("mol_id", *groups, "_f", *side("a", "src"))
+    right = placed.withColumn("_f", F.explode(F.array(F.col("_f") - 1, F.col("_f"), F.col("_f") + 1))).select("mol_id", *groups, "_f", *side("b", "dst"))
+    met = left.join(right, ["mol_id", *groups, "_f"]).where((F.col("src") != F.col("dst")) & (F.abs(F.col("_ata") - F.col("_atb")) <= reach))
+    return met.drop("_f", "_ata", "_atb", *groups)
 
 
 def windowed_neighbours(points: DataFrame, k: int, reach: int | None = None) -> DataFrame:
     """(mol_id, src, dst, d, rank): nearest points among ``reach`` places before and after in spatial order.
 
-    Approximate, with linear work: for point clouds too large for the exact
-    self-join. Places are joined as equal numbers, not as a range.
+    Approximate, with linear work: for point clouds too large for the exact self-join.
     """
-    reach = reach or max(64, 8 * k)
-    w = Window.partitionBy("mol_id").orderBy("key", "point_id")
-    placed = spatial_key(points).withColumn("place", F.row_number().over(w)).select("mol_id", "point_id", "x", "y", "z", "place")
-    around = placed.withColumn("at", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).where("at <> 0").withColumn("at", F.col("place") + F.col("at"))
-    other = placed.select("mol_id", F.col("place").alias("at"), F.col("point_id").alias("dst"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
-    pairs = around.join(other, ["mol_id", "at"]).withColumn("d2", F.expr("(x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz)"))
-    best = Window.partitionBy("mol_id", "point_id").orderBy("d2", "dst")
-    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("mol_id", F.col("point_id").alias("src"), "dst", F.sqrt("d2").alias("d"), "rank")
+    pairs = in_frames(spatial_key(points.select("mol_id", "point_id", *"xyz")), [], reach or max(64, 8 * k), list("xyz"))
+    pairs = pairs.withColumn("d", F.expr(f"sqrt({dist2('a', 'b')})"))
+    best = Window.partitionBy("mol_id", "src").orderBy("d", "dst")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("mol_id", "src", "dst", "d", "rank")
 
 
 def even_picks(points: DataFrame, most: int) -> DataFrame:

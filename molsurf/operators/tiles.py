@@ -31,18 +31,19 @@ FRAME = (
 )
 
 
-def numbered(df: DataFrame, order: list[str], out: str, coarse: Column) -> DataFrame:
-    """Add each row's 0-based place in its molecule by ``order``, which must tell rows apart.
+def numbered(df: DataFrame, order: list[str], out: str, coarse: Column, keys: tuple[str, ...] = ("mol_id",)) -> DataFrame:
+    """Add each row's 0-based place among the rows of its keys by ``order``, which must tell rows apart.
 
     coarse: a long that never falls along the order; rows of one value are ranked together, and the values' sizes summed up.
     """
     dealt = df.withColumn("_b", coarse)
-    upto = Window.partitionBy("mol_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("mol_id", "_b").agg(F.count("*").alias("_n"))
-    sizes = sizes.select(F.col("mol_id").alias("_m"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_o"))
-    within = Window.partitionBy("mol_id", "_b").orderBy(*order)
-    met = dealt.join(sizes, (F.col("mol_id") == F.col("_m")) & (F.col("_b") == F.col("_c")))
-    return met.withColumn(out, (F.row_number().over(within) - 1 + F.col("_o")).cast("long")).drop("_b", "_n", "_o", "_m", "_c")
+    names = [*keys, "_b"]
+    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*names).agg(F.count("*").alias("_n"))
+    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_o"))
+    met = dealt.join(sizes, reduce(and_, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(names)]))
+    within = Window.partitionBy(*names).orderBy(*order)
+    return met.withColumn(out, (F.row_number().over(within) - 1 + F.col("_o")).cast("long")).drop("_b", "_o", *[f"_k{i}" for i in range(len(names))])
 
 
 def frames(atoms: DataFrame, probe: float, spacing: float | None, max_grid: int, edge: float | None = None) -> DataFrame:

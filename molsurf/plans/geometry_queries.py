@@ -13,6 +13,7 @@ from ..operators import tiles
 from ..operators.bonds import bonds
 from ..operators.outputs import crowded, limited, supports_of
 from ..operators.points import apportioned
+from ..operators.store import checkpointed
 from ..sources import proxy
 from ..sources.proxy import atoms_proxy
 
@@ -295,7 +296,7 @@ def segment_clearance_radial(spark: SparkSession, sf_dir: str) -> DataFrame:
     mid = e.groupBy("mol_id").agg(*[((F.min(c) + F.max(c)) / 2.0).alias(f"m{c}") for c in "xyz"], F.max("r").alias("mr"))
     reach = e.join(mid, "mol_id").groupBy("mol_id", "mx", "my", "mz", "mr").agg(F.max(F.expr("sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz))")).alias("far"))
     reach = reach.withColumn("out_r", F.col("far") + F.col("mr") + 1.0)
-    ok = feasible(spark, sf_dir)
+    ok = checkpointed(feasible(spark, sf_dir))  # read twice; and expressions that reach back to the triples would be too long for generated code
     ray = ok.join(reach, "mol_id").withColumn("n", F.expr("sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz))"))
     ray = ray.select(*ID3, *[F.col(c).alias(f"p{c}") for c in "xyz"], *[(F.col(f"m{c}") + F.col("out_r") * (F.col(c) - F.col(f"m{c}")) / F.col("n")).alias(f"e{c}") for c in "xyz"])
     clear = tiles.clear_segments(ray, e, tiles.frames(atoms_proxy(spark, sf_dir), PROBE, SPACING, 1 << 62, 2 * sp.REACH), fm.segment_distance2(), fm.inside("dd", "r2", 100_000_000))

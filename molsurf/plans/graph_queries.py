@@ -118,6 +118,32 @@ def support_subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.where("in_a OR in_b").select("mol_id", "a", "b", (F.col("in_a") & F.col("in_b")).alias("same"))
 
 
+KEYED = """, k AS (
+  SELECT *, (floor((x - lx) / greatest(hx - lx, 1e-12) * 1023e0)::BIGINT * 1024 + floor((y - ly) / greatest(hy - ly, 1e-12) * 1023e0)::BIGINT) * 1024 + floor((z - lz) / greatest(hz - lz, 1e-12) * 1023e0)::BIGINT AS key
+  FROM (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy, min(z) OVER w AS lz, max(z) OVER w AS hz FROM pts WINDOW w AS (PARTITION BY mol_id))
+)"""
+#: Candidates of the windowed search: by places in the order of a point's block, and of each of its supports.
+WINDOWED = KEYED + f""", ob AS (SELECT mol_id, point_id, block_type, block_id, row_number() OVER (PARTITION BY mol_id, block_type, block_id ORDER BY key, point_id) AS place FROM k
+), os AS (SELECT *, row_number() OVER (PARTITION BY mol_id, atom ORDER BY key, point_id) AS place FROM (SELECT DISTINCT mol_id, point_id, key, unnest(supports) AS atom FROM k)
+), near AS (
+  SELECT a.mol_id, a.point_id AS src, b.point_id AS dst FROM ob a JOIN ob b USING (mol_id, block_type, block_id) WHERE a.place <> b.place AND abs(a.place - b.place) <= {max(8, 2 * POOL)}
+  UNION
+  SELECT a.mol_id, a.point_id, b.point_id FROM os a JOIN os b USING (mol_id, atom) WHERE a.place <> b.place AND abs(a.place - b.place) <= {max(8, POOL)}
+)"""
+
+
+@query(PICKED.replace("FROM cand WHERE allowed)", "FROM cand JOIN near USING (mol_id, src, dst) WHERE allowed)").replace(", pool AS", WINDOWED + ", pool AS") + f", w AS (SELECT mol_id, lo, hi, {q6('d')} AS weight FROM wt) SELECT mol_id, src, dst, weight {BOTH}")
+def graph_edges_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by places in spatial order, inside blocks and inside supports."""
+    return edges(spark, sf_dir, search="windowed")
+
+
+@query(SQL["graph_edges_euclidean"].removeprefix(POINTS))
+def graph_edges_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact graph by way of a geometric pool; points that come out short are searched again."""
+    return edges(spark, sf_dir, search="prefiltered")
+
+
 REACH = 8
 
 

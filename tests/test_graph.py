@@ -1,8 +1,12 @@
 import math
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from molsurf.operators import graph
 from molsurf.operators.graph import GraphOptions, surface_edges
+from molsurf.operators.points import in_frames, spatial_key
 
 SCHEMA = "mol_id string, point_id long, x double, y double, z double, nx double, ny double, nz double, supports array<int>, block_type int, block_id long"
 
@@ -33,7 +37,64 @@ def test_topology(spark):
     assert surface_edges(apart, GraphOptions(1, allow_disjoint_single_support_edges=True)).count() == 2
 
 
-@pytest.mark.parametrize("bad, error", [({"neighbors": True}, TypeError), ({"neighbors": 0}, ValueError), ({"candidate_neighbors": 1}, ValueError), ({"weight_mode": "x"}, ValueError), ({"min_normal_cosine": 2}, ValueError), ({"max_tangent_component": -1}, ValueError), ({"max_distance": 0}, ValueError)])
+@pytest.mark.parametrize("bad, error", [({"neighbors": True}, TypeError), ({"neighbors": 0}, ValueError), ({"candidate_neighbors": 1}, ValueError), ({"weight_mode": "x"}, ValueError), ({"min_normal_cosine": 2}, ValueError), ({"max_tangent_component": -1}, ValueError), ({"max_distance": 0}, ValueError), ({"search": "x"}, ValueError)])
 def test_bad_options(bad, error):
     with pytest.raises(error):
         GraphOptions(**bad)
+
+
+def sphere(spark, n, seed=1):
+    """Points on a sphere, with patches around eight atoms: each point is supported by its one, two or three nearest."""
+    rng = np.random.default_rng(seed)
+    p = rng.standard_normal((n, 3))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    corners = np.array([(x, y, z) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)]) / math.sqrt(3)
+    near = np.argsort(np.linalg.norm(p[:, None] - corners, axis=2), axis=1)
+    size = rng.integers(1, 4, n)
+    rows = []
+    for k in range(n):
+        own = sorted(near[k, : size[k]].tolist())
+        rows.append(("m" if k % 2 else "w", k, *map(float, p[k]), *map(float, p[k]), own, int(size[k]), int(sum(10**i * a for i, a in enumerate(own)))))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("mode", ["euclidean", "geodesic"])
+def test_prefiltered_search_is_exact(spark, monkeypatch, mode):
+    """Also where the pool is so small that many points come out short."""
+    p = sphere(spark, 260)
+    exact = {tuple(r) for r in surface_edges(p, GraphOptions(4, 6, weight_mode=mode, max_tangent_component=1.0)).collect()}
+    for fewest, times in ((64, 8), (7, 1)):
+        monkeypatch.setattr(graph, "FEWEST", fewest)
+        monkeypatch.setattr(graph, "TIMES", times)
+        got = surface_edges(p, GraphOptions(4, 6, weight_mode=mode, max_tangent_component=1.0, search="prefiltered"))
+        assert {tuple(r) for r in got.collect()} == exact
+
+
+def test_windowed_search_finds_most(spark):
+    """Linear work, and most of the exact edges; every candidate is allowed by the topology."""
+    p = sphere(spark, 1200)
+    exact = {(r["src"], r["dst"]) for r in surface_edges(p, GraphOptions(4, 6, max_tangent_component=1.0)).collect()}
+    found = {(r["src"], r["dst"]) for r in surface_edges(p, GraphOptions(4, 6, max_tangent_component=1.0, search="windowed")).collect()}
+    recall = len(exact & found) / len(exact)
+    assert recall > 0.5, recall
+    of = {r["point_id"]: (set(r["supports"]), r["block_type"], r["block_id"]) for r in p.collect()}
+    for a, b in found:
+        (sa, *ka), (sb, *kb) = of[a], of[b]
+        assert ka == kb or sa <= sb or sb <= sa
+
+
+def test_frames_of_places(spark):
+    """All pairs within the reach by place in each group, whatever the stretches and the buckets of the ranking."""
+    p = spatial_key(sphere(spark, 300).withColumn("g", F.col("point_id") % 3))
+    rows = p.select("mol_id", "g", "point_id", "key").collect()
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r["key"], r["point_id"])):
+        groups.setdefault((r["mol_id"], r["g"]), []).append(r["point_id"])
+    want = {(a, b) for own in groups.values() for i, a in enumerate(own) for j, b in enumerate(own) if 0 < abs(i - j) <= 5}
+    got = [(r["src"], r["dst"]) for r in in_frames(p, ["g"], 5, []).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_windows_are_joins_on_stretches(spark):
+    plan = surface_edges(sphere(spark, 50), GraphOptions(4, search="windowed"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
