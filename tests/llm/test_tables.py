@@ -3,6 +3,7 @@
 import fnmatch
 import math
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -107,6 +108,21 @@ def test_automaton_is_the_shell_matcher():
     assert got.tolist() == want
 
 
+def test_long_urls_are_read_alone(monkeypatch):
+    """The same verdicts by whole numbers as by the batch, and a URL of 1 MB in little time."""
+    globs = [r.glob for r in url_filter.RULES] + list(url_filter.GLOBS) + ["**x**y**", "a" * 200 + "**", "?**"]
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice(np.frombuffer(b"ax.y/comen?&ads", np.uint8), rng.integers(0, 60))) for _ in range(300)] + [b"a" * 199, b"a" * 200, b".a.com/en/" + b"z" * 100]
+    whole = url_filter.Automaton(globs).matches(texts)
+    monkeypatch.setattr(url_filter, "LONG", 20)
+    assert (url_filter.Automaton(globs).matches(texts) == whole).all()
+    monkeypatch.undo()
+    began = time.perf_counter()
+    got = url_filter.Automaton(globs).matches([b".a.com/en/" + b"z" * (1 << 20) + b"/ads/", b".a.org/x"])
+    assert time.perf_counter() - began < 5
+    assert got[0, [r.glob for r in url_filter.RULES].index("*.com/en/**")] and got[0, globs.index("**/ads/**")] and not got[1, :-1].any()
+
+
 def test_single_star_stays_in_a_segment():
     got = url_filter.Automaton(["*.com/x**", "**/x"]).matches([b".a.com/x", b".org/b.com/x", b"/y/x"])
     assert got.tolist() == [[True, True], [False, True], [False, True]]
