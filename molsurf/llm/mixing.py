@@ -16,6 +16,9 @@ block: a billion documents are 16 million blocks. The slots of the blocks, ``CHU
 to a row, are broadcast up to ``BROADCAST`` bytes and shuffled beyond. Its time per
 phase also grows with the number of sources: meant for up to about a thousand.
 
+A given weight must be finite and not negative; a source of weight zero, or of none
+where others have one, comes with a weight of 1e-9.
+
 Without given weights, a source's target is the square root of its count: rarer
 sources come earlier and denser. Null sources are one source of their own. An
 empty table gives an empty result. Repeated rows are placed once each, rows
@@ -137,6 +140,8 @@ def chunks(plan: list[Phase], chunk: int = CHUNK) -> pa.Table:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
     """All rows and columns of docs (doc_id, source among them), then _block, _phase and _slot: the place of the row's block in the mixture."""
     spark = docs.sparkSession
+    if bad := [s for s, w in (weights or {}).items() if not (math.isfinite(w) and w >= 0)]:
+        raise ValueError(f"weights must be finite and not negative: {', '.join(sorted(bad))}")
     # a row's own columns travel as one, so that none clashes with those of the plan
     named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), "doc_id", F.xxhash64(*docs.columns).alias("tie"))
     rows = {r["source"]: r["count"] for r in named.groupBy("source").count().collect()}  # a row per source
