@@ -54,6 +54,28 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass
 
 
+def words_by_slices(text: bytes, size: int, prepared: Callable[[bytes], bytes]) -> Iterator[list[bytes]]:
+    """The words of a text between ASCII white space, of one prepared slice after another; a word that slices cut is put together once, however long."""
+    held: list[bytes] = []
+    for at in range(0, len(text), size):
+        part = prepared(text[at : at + size])
+        words = part.split()
+        if held and words and not part[:1].isspace():
+            held.append(words.pop(0))
+            if words or part[-1:].isspace():
+                words.insert(0, b"".join(held))
+                held = []
+        elif held:
+            words.insert(0, b"".join(held))
+            held = []
+        if words and not part[-1:].isspace():
+            held = [words.pop()]
+        if words:
+            yield words
+    if held:
+        yield [b"".join(held)]
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int) -> DataFrame:
     """Add the 0-based rank of each row among the rows with its keys.
 

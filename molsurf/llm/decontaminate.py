@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, released, table
+from .common import checkpointed, released, table, words_by_slices
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
 #: Everything ASCII but digits and letters separates words; A-Z become a-z.
@@ -52,24 +52,7 @@ Pattern = tuple[bytes, ...]
 
 def word_slices(text: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
     """The text's words, a slice at a time; a word that a slice cuts is put together once, however long."""
-    held: list[bytes] = []
-    for at in range(0, len(text), size):
-        part = text[at : at + size].translate(WORDS)
-        words = part.split()
-        if words and not part.startswith(b" ") and held:
-            held.append(words.pop(0))
-            if words or part.endswith(b" "):
-                words.insert(0, b"".join(held))
-                held = []
-        elif held:
-            words.insert(0, b"".join(held))
-            held = []
-        if words and not part.endswith(b" "):
-            held = [words.pop()]
-        if words:
-            yield words
-    if held:
-        yield [b"".join(held)]
+    return words_by_slices(text, size, lambda part: part.translate(WORDS))
 
 
 class Search:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, forest, in_runs, partitions, released, split_hot, table, whole_runs
+from .common import checkpointed, components, forest, in_runs, partitions, released, split_hot, table, whole_runs, words_by_slices
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 HOT = 4096
@@ -32,17 +32,8 @@ SLICE = 1 << 18
 
 
 def sliced(text: bytes, size: int | None = None) -> Iterator[list[bytes]]:
-    """The words of a text, a slice of it at a time; a word that a cut meets goes to the next slice."""
-    size = size or SLICE
-    left = b""
-    for i in range(0, len(text), size):
-        part = left + text[i : i + size]
-        words = part.lower().split()
-        left = b""
-        if i + size < len(text) and words and not part[-1:].isspace():
-            left = words.pop()
-        yield words
-    # the last slice pops no word, so nothing is left
+    """The words of a text, a slice of it at a time."""
+    return words_by_slices(text, size or SLICE, bytes.lower)
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, round trips and held-out accuracy."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -48,6 +49,20 @@ def brute_components(fps):
     return [find(i) for i in range(n)]
 
 
+@pytest.mark.parametrize("size", [3, 7, 64])
+def test_fingerprints_by_slices(monkeypatch, size):
+    rng = np.random.default_rng(size)
+    texts = ["".join(rng.choice(list("ab \n\tÄé"), rng.integers(0, 90))) for _ in range(200)]
+    monkeypatch.setattr(simhash, "SLICE", size)
+    assert [simhash.fingerprint(t.encode()) for t in texts] == [brute_fingerprint(t) for t in texts]
+
+
+def test_a_long_word_is_put_together_once():
+    began = time.perf_counter()
+    assert simhash.fingerprint(b"A" * (64 << 20)) == xxhash.xxh64_intdigest(b"a" * (64 << 20), 42)
+    assert time.perf_counter() - began < 5
+
+
 @pytest.fixture(scope="module")
 def real(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -525,3 +540,9 @@ def test_mixture_is_earliest_deadline_first(spark, threshold):
     want = brute_edf({s: -(-m // 4) for s, m in n.items()}, weights)
     have = got.drop_duplicates(["source", "_block"]).sort_values("_block").groupby("source")._slot.apply(list).to_dict()
     assert have == want and got._phase.max() == 3
+
+
+@pytest.mark.parametrize("bad", [-1.0, float("nan"), float("inf")])
+def test_bad_weights_are_refused(spark, bad):
+    with pytest.raises(ValueError, match="finite"):
+        mixing.mix(docs(spark, ["a", "b"], ["x", "y"]), {"x": 1.0, "y": bad})
