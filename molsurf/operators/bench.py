@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import COUNT_TOLERANCE, IMPROVEMENT, REGRESSION
+from .store import checkpointed
 
 CASE = ["pdb_id", "method", "variant", "interface_mode", "scenario"]
 VARIANT = CASE[1:]
@@ -74,8 +78,37 @@ def sweep(records: DataFrame) -> DataFrame:
     return rows.join(default, ["method", "interface_mode", "scenario"], "left").withColumn("speedup_vs_default", ratio(F.col("default_seconds"), F.col("wall_seconds"))).drop("default_seconds")
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], more: list[Column] | None = None) -> DataFrame:
+    """keys, the aggregates ``more`` and a column for each share: exact percentiles of the non-null values, interpolated as F.percentile does, with no group in one buffer.
+
+    Equal values are counted first, then dealt by range of (keys, value). A running
+    sum inside each part of a group, and the sums of its parts before, tell which
+    ranks a value has; only values of a wanted rank go on.
+    """
+    names = [f"_g{i}" for i in range(len(keys))]
+    named = lambda rows: rows.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit("\0")) for n, k in zip(names, keys)})
+    own = named(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(own.select(*names, "_v", "_n").repartitionByRange(parts, *names, "_v").withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*names, "_p").agg(F.sum("_n").alias("_s")).withColumns({"_o": F.coalesce(F.sum("_s").over(before), F.lit(0)), "_total": F.sum("_s").over(Window.partitionBy(*names))}).drop("_s")
+    inside = Window.partitionBy(*names, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(sums, [*names, "_p"]).withColumn("_end", F.sum("_n").over(inside) + F.col("_o"))
+    at = {name: F.lit(q) * (F.col("_total") - 1) for name, q in shares.items()}
+    has = lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end"))
+    hits = placed.where(reduce(or_, [has(f(x)) for x in at.values() for f in (F.floor, F.ceil)]))
+    columns = []
+    for name, x in at.items():
+        low, high, rank = F.max(F.when(has(F.floor(x)), F.col("_v"))), F.max(F.when(has(F.ceil(x)), F.col("_v"))), F.max(x)
+        columns.append(F.when(F.ceil(rank) == F.floor(rank), low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high).alias(name))
+    whole = df.groupBy(*keys).agg(*(more or [F.count("*").alias("_rows")]))
+    return named(whole).join(hits.groupBy(*names).agg(*columns), names, "left").drop("_rows", *names)
+
+
 def numeric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.lit(0.9)).alias("p90"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("max"))
+    """Mean, median, p90, p95 and maximum of each group."""
+    got = percentiles(df, keys, value, {"median": 0.5, "p90": 0.9, "p95": 0.95}, [F.avg(value).alias("mean"), F.max(value).alias("max")])
+    return got.select(*keys, "mean", "median", "p90", "p95", "max")
 
 
 def fastest(records: DataFrame, n: int = 10) -> DataFrame:

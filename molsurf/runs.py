@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .operators import outputs
 from .operators.graph import GraphOptions
+from .operators.store import checkpointed
 from .plans import samplers as sm
 from .sources.bench_json import RECORD, append_records, read_records
+from .sources.structures import read_surfaces
 
 METHODS = {
     "projected": lambda atoms, p: sm.projected(atoms, **({"m": 192} | p)),
@@ -58,28 +60,50 @@ def variants(methods: Iterable[str], axes: dict[str, dict[str, list]] | None = N
     return list({v.key: v for v in out}.values())
 
 
-def measured(atoms: DataFrame, v: Variant) -> dict:
-    """One timed run of all given atoms, and what came out."""
+def measured(atoms: DataFrame, v: Variant, surfaces: DataFrame | None = None) -> dict:
+    """One timed run of all given atoms, and what came out.
+
+    The sampler is evaluated once. An interface adds what it asks for to the timed part: normals their columns, features
+    the point-by-atom matrix, adjacency the graph. Statistics and reference metrics come after the clock has stopped.
+    """
     began = time.perf_counter()
     got = METHODS[v.method](atoms, v.params)
-    if v.interface == "adjacency":
-        row = sm.surface_graph(got, GraphOptions()).agg(F.count("*").alias("edges")).first()
-        n, extra = got.count(), {"edges": row["edges"]}
-    else:
-        stats = outputs.output_stats(got).agg(F.sum("point_count").alias("n"), F.max("supports_max").alias("s"), F.max("normal_error_max").alias("e")).first()
-        n, extra = stats["n"] or 0, {"supports_max": stats["s"], "normal_error_max": stats["e"]}
+    place = ["mol_id", "point_id", "x", "y", "z"]
+    kept = {"points": place, "normals": [*place, "nx", "ny", "nz"], "features": [*place, "supports"], "adjacency": got.columns}[v.interface]
+    got = checkpointed(got.select(*kept))
+    more: dict = {}
+    edges = None
+    if v.interface == "features":
+        more["feature_values"] = outputs.dense_features(got, atoms.withColumn("mol_id", F.col("mol_id").cast("string"))).agg(F.sum(F.size("features"))).first()[0] or 0
+    elif v.interface == "adjacency":
+        edges = checkpointed(sm.surface_graph(got, GraphOptions()))
+    n = got.count()
     seconds = time.perf_counter() - began
-    return {"status": "ok", "wall_seconds": seconds, "point_count": n, "points_per_wall_second": n / seconds if seconds else None, "extra": extra}
-
-
-def run(spark: SparkSession, atoms: DataFrame, todo: list[Variant], path: str, repeats: int = 1, version: str = "1", most_atoms: int | None = None) -> int:
+    if v.interface == "features":
+        more |= got.agg(F.avg(F.size("supports")).alias("supports_mean"), F.max(F.size("supports")).cast("long").alias("supports_max")).first().asDict()
+    elif v.interface == "normals":
+        off = F.abs(F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2) - 1)
+        more |= got.agg(F.avg(off).alias("normal_error_mean"), F.max(off).alias("normal_error_max")).first().asDict()
+    elif edges is not None:
+        stats = outputs.output_stats(got, edges).agg(F.sum("edge_count").alias("edge_count"), F.avg("mean_degree").alias("mean_degree"), F.every("finite_weights").alias("finite_weights"), F.avg("supports_mean").alias("supports_mean"), F.max("supports_max").alias("supports_max"), F.avg("normal_error_mean").alias("normal_error_mean"), F.max("normal_error_max").alias("normal_error_max"))
+        more |= stats.first().asDict()
+    if surfaces is not None:
+        metrics = sm.reference_metrics(got, surfaces).drop("mol_id").first()
+        more["reference_metrics"] = metrics.asDict(recursive=True) if metrics else {"status": "no_points"}
+    return {"status": "ok", "wall_seconds": seconds, "point_count": n, "points_per_wall_second": n / seconds if seconds else None} | more
+
+
+def run(spark: SparkSession, atoms: DataFrame, todo: list[Variant], path: str, repeats: int = 1, version: str = "1", most_atoms: int | None = None, surfaces: str | None = None) -> int:
     """Measure every molecule of atoms (mol_id, ...) under every variant, and append a record of each run to JSON lines at path.
 
     Runs are timed one at a time. What path already records for the version is not
     run again, so a stopped run goes on. A molecule of more than ``most_atoms``
-    gets a record with status skipped, a run that raises one with status error.
-    Gives the number of new records.
+    gets a record with status skipped, a run that raises one with status error
+    and the message. surfaces: a folder of reference surfaces, ``<molecule>.ply``;
+    records then say how far the points lie from them, or why not. Gives the
+    number of new records.
     """
+    known = checkpointed(read_surfaces(spark, surfaces)) if surfaces else None
     sizes = {str(r["mol_id"]): r["count"] for r in atoms.groupBy("mol_id").count().collect()}  # a row for each molecule to be timed
     try:
         done = {(r["pdb_id"], r["method_parameter_hash"], r["repeat_index"]) for r in read_records(spark, path).where(F.col("program_version") == version).select("pdb_id", "method_parameter_hash", "repeat_index").collect()}
@@ -100,7 +124,7 @@ def run(spark: SparkSession, atoms: DataFrame, todo: list[Variant], path: str, r
                     record |= {"status": "skipped"}
                 else:
                     try:
-                        record |= {a: b for a, b in measured(own, v).items() if a != "extra"}
+                        record |= measured(own, v, None if known is None else known.where(F.col("mol_id") == mol))
                     except Exception as e:  # recorded, and the other runs go on
                         record |= {"status": "error", "event": "benchmark_result", "error": str(e)[:500]}
                 rows.append(json.dumps(record))

@@ -9,7 +9,10 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 RECORD = (
     "event string, status string, pdb_id string, method string, variant_name string, method_variant_name string, method_parameter_hash string, interface_mode string, repeat_index int, program_version string, "
     "wall_seconds double, cuda_event_ms double, point_count long, points_per_wall_second double, gpu_peak_allocated_mb double, atom_count long, method_params map<string,string>, "
-    "interface_params struct<mode:string,scenario_mode:string>, profiling struct<internal_profile_enabled:boolean,torch_profile_enabled:boolean>, reference_metrics struct<status:string,symmetric_mean_distance:double>"
+    "interface_params struct<mode:string,scenario_mode:string>, profiling struct<internal_profile_enabled:boolean,torch_profile_enabled:boolean>, "
+    "reference_metrics struct<status:string,error:string,reference_vertex_count:long,sampled_point_count:long,sampled_reference_count:long,point_count_to_reference_ratio:double,"
+    "point_to_reference_distance:struct<mean:double,median:double,p90:double,p95:double,max:double>,reference_to_point_distance:struct<mean:double,median:double,p90:double,p95:double,max:double>,"
+    "symmetric_mean_distance:double>, error string, supports_mean double, supports_max long, normal_error_mean double, normal_error_max double, feature_values long, edge_count long, mean_degree double, finite_weights boolean"
 )
 
 

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import io
+import os
 import re
+import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..config import DEMO_RADII, ELEMENTS, RADII
+from ..operators.store import checkpointed
 
 ATOMS = (
     "mol_id string, atom_idx int, x double, y double, z double, radius double, type_idx int, atom_serial long, residue_number long, chain_index long, model_index long, "
@@ -122,18 +130,88 @@ def to_npy(atoms: DataFrame, metadata: bool = True) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write (name, content) rows as files, through Hadoop's file system of the folder, so any store will do."""
+    """Write (name, content) rows as files of a folder, which may stand on any file system that Arrow knows, from the tasks that hold them.
 
-    def jvm(sc):
-        return sc._jvm, sc._jsc.hadoopConfiguration()
+    A task writes under a name of its own attempt and moves each file in place once it is whole, so a task that is lost or
+    runs twice leaves whole files only; the job's end clears what lost attempts left, and marks the folder with ``_SUCCESS``.
+    Other file systems are written through the driver, a partition at a time.
+    """
+    spark = files.sparkSession
+    try:
+        store_of(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return through_driver(files, folder)
+    spark.dataSource.register(NamedFiles)
+    files.select(F.col("name").cast("string"), F.col("content").cast("binary")).write.format(NamedFiles.name()).option("folder", folder).mode("append").save()
+
+
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+
+
+class NamedFiles(DataSource):
+    """A sink for (name, content) rows."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "named_files"
+
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return NamedFilesWriter(self.options["folder"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: int
 
-    # contents stay distributed; the driver streams one partition at a time
-    vm, conf = jvm(files.sparkSession.sparkContext)
+
+class NamedFilesWriter(DataSourceWriter):
+    def __init__(self, folder: str):
+        self.folder, self.job = folder, uuid.uuid4().hex
+
+    def waiting(self, top: str) -> str:
+        return f"{top}/_temporary_{self.job}"
+
+    def write(self, rows) -> Written:
+        store, top = store_of(self.folder)
+        context = TaskContext.get()
+        own = f"{self.waiting(top)}/{context.partitionId()}_{context.taskAttemptId()}"
+        store.create_dir(own, recursive=True)
+        n = 0
+        for n, row in enumerate(rows, 1):
+            with store.open_output_stream(f"{own}/{row['name']}") as out:
+                out.write(row["content"])
+            store.move(f"{own}/{row['name']}", f"{top}/{row['name']}")
+        return Written(n)
+
+    def commit(self, messages) -> None:
+        self.clear()
+        store, top = store_of(self.folder)
+        store.create_dir(top, recursive=True)
+        with store.open_output_stream(f"{top}/_SUCCESS"):
+            pass
+
+    def abort(self, messages) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        store, top = store_of(self.folder)
+        if store.get_file_info(self.waiting(top)).type == fs.FileType.Directory:
+            store.delete_dir(self.waiting(top))
+
+
+def through_driver(files: DataFrame, folder: str) -> None:
+    """Write (name, content) rows by Hadoop's file system; the driver streams one partition at a time."""
+    vm, conf = files.sparkSession._jvm, files.sparkSession._jsc.hadoopConfiguration()
     top = vm.org.apache.hadoop.fs.Path(folder)
-    fs = top.getFileSystem(conf)
-    fs.mkdirs(top)
+    store = top.getFileSystem(conf)
+    store.mkdirs(top)
     for r in files.toLocalIterator():
-        out = fs.create(vm.org.apache.hadoop.fs.Path(top, r["name"]), True)
+        out = store.create(vm.org.apache.hadoop.fs.Path(top, r["name"]), True)
         out.write(bytearray(r["content"]))
         out.close()
 
@@ -166,11 +244,29 @@ def read_npy(spark: SparkSession, folder: str, *, center: bool = False) -> DataF
 
 def convert_pdbs(spark: SparkSession, pdb_folder: str, npy_folder: str, metadata: bool = True) -> DataFrame:
     """All structure files of a folder into NPY sets; gives the atoms."""
-    atoms = read_pdb(spark, pdb_folder)
+    atoms = checkpointed(read_pdb(spark, pdb_folder))  # read once, for the files and for the result
     write_files(to_npy(atoms, metadata), npy_folder)
     return atoms
 
 
+def read_surfaces(spark: SparkSession, folder: str) -> DataFrame:
+    """(mol_id, status, error, vertices array<struct<x, y, z>>): the ASCII PLY files of a folder; status is ok, or load_error with what is wrong."""
+    text = spark.read.option("pathGlobFilter", "*.ply").text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.ply)?$", 1).alias("mol_id"), F.col("value").alias("v"))
+    count = F.regexp_extract("v", r"element vertex (\d+)", 1)
+    body = F.slice(F.split(F.trim(F.element_at(F.split("v", "end_header\r?\n", 2), 2)), "\r?\n"), 1, F.greatest(F.col("n"), F.lit(0)))
+    number = lambda row, k: F.try_element_at(F.split(F.trim(row), r"\s+"), F.lit(k + 1)).try_cast("double")
+    read = text.withColumn("n", F.coalesce(count.try_cast("int"), F.lit(-1))).withColumn("rows", F.when(F.col("v").contains("end_header") & (F.col("n") >= 0), body))
+    read = read.withColumn("vertices", F.transform("rows", lambda row: F.struct(*[number(row, k).alias(c) for k, c in enumerate("xyz")])))
+    bad = F.exists("vertices", lambda p: p["x"].isNull() | p["y"].isNull() | p["z"].isNull())
+    error = (
+        F.when(~F.col("v").startswith("ply") | ~F.col("v").contains("format ascii"), "not an ASCII PLY file")
+        .when(F.col("rows").isNull(), "no vertex element or end of the header")
+        .when((F.size("rows") < F.col("n")) | bad, "a vertex is missing or no number")
+    )
+    read = read.withColumn("error", error)
+    return read.select("mol_id", F.when(F.col("error").isNull(), "ok").otherwise("load_error").alias("status"), "error", F.when(F.col("error").isNull(), F.col("vertices")).alias("vertices"))
+
+
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
     """(mol_id, point_id, x, y, z): vertices of ASCII PLY files."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.ply)?$", 1).alias("mol_id"), "value")

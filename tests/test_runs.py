@@ -30,6 +30,47 @@ def test_runs_are_recorded_and_resumed(spark, tmp_path):
         runs.Variant("other")
 
 
+def test_interfaces_and_reference_metrics_are_in_the_records(spark, tmp_path):
+    """What a run found is read back from its record; the interfaces differ in it."""
+    folder, path = tmp_path / "surfaces", str(tmp_path / "records")
+    folder.mkdir()
+    atoms = read_demo(spark, "H2O").select("atom_idx", "x", "y", "z", "radius")
+    four = atoms.withColumn("mol_id", F.explode(F.array(*map(F.lit, ("good", "cut", "other", "gone")))))
+    rng = np.random.default_rng(0)
+    p = rng.standard_normal((500, 3))
+    p = 3 * p / np.linalg.norm(p, axis=1, keepdims=True)
+    head = "ply\nformat ascii 1.0\nelement vertex {}\nproperty float x\nend_header\n"
+    body = "\n".join(" ".join(f"{c:.6f}" for c in v) for v in p)
+    (folder / "good.ply").write_text(head.format(500) + body + "\n")
+    (folder / "cut.ply").write_text(head.format(501) + body + "\n")
+    (folder / "other.ply").write_text("ply\nformat binary_little_endian 1.0\nend_header\n")
+    todo = [runs.Variant("projected", {"m": 12}, i) for i in runs.INTERFACES]
+    assert runs.run(spark, four.where("mol_id = 'good'"), todo, path, surfaces=str(folder)) == 4
+    assert runs.run(spark, four.where("mol_id <> 'good'"), todo[:1], path, surfaces=str(folder)) == 3
+    got = {(r["pdb_id"], r["interface_mode"]): r for r in read_records(spark, path).collect()}
+    good = {i: got["good", i] for i in runs.INTERFACES}
+    assert len({r["point_count"] for r in good.values()}) == 1 and good["points"]["point_count"] > 0
+    assert good["features"]["feature_values"] == 3 * good["points"]["point_count"] and good["features"]["supports_max"] == 1
+    assert good["normals"]["normal_error_max"] < 1e-9 and good["adjacency"]["edge_count"] > 0 and good["adjacency"]["finite_weights"]
+    assert good["points"]["feature_values"] is None and good["points"]["edge_count"] is None and good["points"]["normal_error_max"] is None
+    m = good["points"]["reference_metrics"]
+    points = np.array([tuple(r) for r in runs.METHODS["projected"](four.where("mol_id = 'good'"), {"m": 12}).select("x", "y", "z").collect()])
+    gap = np.linalg.norm(points[:, None] - np.round(p, 6), axis=2)
+    assert (m["status"], m["reference_vertex_count"], m["sampled_point_count"], m["sampled_reference_count"]) == ("ok", 500, len(points), 500)
+    assert abs(m["symmetric_mean_distance"] - (gap.min(1).mean() + gap.min(0).mean()) / 2) < 1e-9
+    assert abs(m["point_to_reference_distance"]["p90"] - np.percentile(gap.min(1), 90)) < 1e-9
+    assert abs(m["reference_to_point_distance"]["max"] - gap.min(0).max()) < 1e-9
+    states = {k[0]: (r["reference_metrics"]["status"], r["reference_metrics"]["error"]) for k, r in got.items() if k[1] == "points"}
+    assert states == {"good": ("ok", None), "cut": ("load_error", "a vertex is missing or no number"), "other": ("load_error", "not an ASCII PLY file"), "gone": ("missing_surface", None)}
+
+
+def test_errors_are_in_the_records(spark, tmp_path):
+    atoms = read_demo(spark, "H2O").select(F.col("mol_id"), "atom_idx", "x", "y", "z", "radius")
+    runs.run(spark, atoms, [runs.Variant("projected", {"m": 0})], str(tmp_path / "r"))
+    r = read_records(spark, str(tmp_path / "r")).first()
+    assert r["status"] == "error" and "m must be positive" in r["error"]
+
+
 def test_profiles_are_collected(spark, tmp_path):
     f = lambda s: {"top_functions": [{"name": "f", "calls": 2, "wall_seconds_total": s}], "top_calls": [{"name": "f", "wall_seconds": s}]}
     (tmp_path / "a.profile.json").write_text(json.dumps({"pdb_id": "a", "method": "m", "internal_profile": f(1.0)}, indent=1))

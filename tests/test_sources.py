@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from molsurf.operators import bench
 from molsurf.sources import bench_json
@@ -59,6 +60,23 @@ def test_npy_round_trip_and_defaults(spark, pdb, tmp_path):
     assert [(r["atom_serial"], r["occupancy"], r["element"], r["radius"]) for r in got] == [(1, 1.0, "H", 1.1), (2, 1.0, "N", 1.55)]
 
 
+def test_files_are_written_by_tasks(spark, tmp_path):
+    """Whole files only, whichever attempt wrote them; the driver holds none."""
+    out = tmp_path / "files"
+    rows = [(f"f{k}.bin", bytes([k]) * (k + 1)) for k in range(40)]
+    files = spark.createDataFrame(rows, "name string, content binary").repartition(4)
+    for _ in range(2):  # a second time over the same names
+        st.write_files(files, str(out))
+    assert sorted(p.name for p in out.iterdir()) == sorted([*(n for n, _ in rows), "_SUCCESS"])
+    assert all((out / n).read_bytes() == c for n, c in rows)
+    with pytest.raises(Exception, match="no file"):
+        st.write_files(files.withColumn("content", F.when(F.col("name") == "f7.bin", F.raise_error(F.lit("no file")).cast("binary")).otherwise(F.col("content"))), str(tmp_path / "bad"))
+    bad = tmp_path / "bad"
+    assert not bad.exists() or all(p.name != "_SUCCESS" and not p.name.startswith("_temporary") for p in bad.iterdir())
+    st.through_driver(files, str(tmp_path / "own"))
+    assert all((tmp_path / "own" / n).read_bytes() == c for n, c in rows)
+
+
 def test_ply(spark, tmp_path):
     (tmp_path / "s.ply").write_text("ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nelement face 0\nend_header\n0 0.5 1\n1 2 3\n")
     assert [(r["x"], r["y"], r["z"]) for r in st.read_ply(spark, str(tmp_path / "s.ply")).orderBy("point_id").collect()] == [(0.0, 0.5, 1.0), (1.0, 2.0, 3.0)]
