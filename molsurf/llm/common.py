@@ -54,6 +54,17 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass
 
 
+def fitted(sample: DataFrame, order: list[str], fit: Callable[[Iterator[pa.RecordBatch]], bytes | None]) -> bytes | None:
+    """What fit makes of a bounded sample, read in order by one task of an executor; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(lambda batches: released(run(batches)), "model binary").collect()
+    return bytes(found[0]["model"]) if found and found[0]["model"] is not None else None
+
+
 def words_by_slices(text: bytes, size: int, prepared: Callable[[bytes], bytes]) -> Iterator[list[bytes]]:
     """The words of a text between ASCII white space, of one prepared slice after another; a word that slices cut is put together once, however long."""
     held: list[bytes] = []

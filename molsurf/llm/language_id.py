@@ -13,18 +13,20 @@ the messages across it, so each piece starts from what the pieces before and
 after it say. Of a long text, only messages between its pieces are held.
 
 Training reads a bounded sample, whole texts of it: about ``PER_LANG`` texts of
-each language, at most, those of least hash. Half of the training chains are
+each language, at most, those of least hash, and of them as many as ``SAMPLE_BYTES``
+characters hold; one task of an executor fits the model. Half of the training chains are
 spliced, in turn, from segments of two texts, which is where transitions between
 languages are learned. The lexicon has the words that the sample repeats.
 
 A null text, and one without letters, is ``und`` with score 0. With nothing to
 learn from, every text is ``und``. Repeated rows are labelled alike; rows without
-doc_id are labelled, and not held out. All columns stay but ``lang_pred`` and
+doc_id are labelled, not held out, and so may be learned from. All columns stay but ``lang_pred`` and
 ``score``, which are the result's own.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, table
+from .common import fitted, released, table
 
-PER_LANG, PIECE, STEPS, SEGMENTS = 100, 64, 30, 4
+PER_LANG, PIECE, STEPS, SEGMENTS = 500, 64, 40, 4
+#: Characters of a language's training texts; the text that passes it is the last.
+SAMPLE_BYTES = 1 << 23
 #: Pieces that are worked on at a time.
 ABREAST = 2048
 ORDERS, BUCKETS = (2, 3, 4), 1 << 16
@@ -216,31 +220,48 @@ def spliced(a: list[bytes], b: list[bytes], y: int, z: int, rng: np.random.Gener
     return words, np.array(gold, np.int64)
 
 
-def sampled(docs: DataFrame, per_lang: int) -> dict[str, list[list[bytes]]]:
-    """The words of at most per_lang texts of each language."""
+def sample_of(docs: DataFrame, per_lang: int) -> DataFrame | None:
+    """(lang, text, h, doc_id): at least per_lang texts of least hash of each language, or all it has, and not many more."""
     known = docs.where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per label of the model
     if not counts:
-        return {}
+        return None
     # some more than needed, by the hash's share, so no language is ordered as a whole
     rates = docs.sparkSession.createDataFrame([(lang, 1.5 * per_lang / n + 1e-9 if n > 2 * per_lang else 2.0) for lang, n in counts.items()], "_lang string, _rate double")
-    hashed = known.select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h"))
-    some = hashed.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(F.col("h") / 2.0**64 + 0.5 < F.col("_rate"))
-    rows = some.orderBy("h", "doc_id", "text").limit(2 * per_lang * len(counts)).select("lang", "text").toPandas()  # whatever ids repeat
-    texts = {lang: own["text"].head(per_lang).tolist() for lang, own in rows.groupby("lang")}
+    hashed = known.select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+    some = hashed.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(F.col("h") / 2.0**64 + 0.5 < F.col("_rate")).drop("_lang", "_rate")
+    some = some.orderBy("h", "doc_id", "text").limit(2 * per_lang * len(counts))  # whatever ids repeat
+    got = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
     for lang, n in counts.items():
-        if len(texts.get(lang, ())) < min(n, per_lang):  # ids that repeat share their hash, so all or none of them were taken
+        if got.get(lang, 0) < min(n, per_lang):  # ids that repeat share their hash, so all or none of them were taken
             least = hashed.where(F.col("lang") == lang).orderBy("h", "doc_id", "text").limit(per_lang)
-            texts[lang] = [r["text"] for r in least.select("text").collect()]
+            some = some.where(F.col("lang") != lang).unionByName(least)
+    return some
+
+
+ORDER = ["lang", "h", "doc_id", "text"]
+
+
+def gathered(rows: Iterator[tuple[str, str]], per_lang: int, most: int = SAMPLE_BYTES) -> dict[str, list[list[bytes]]]:
+    """The words of the first per_lang texts of each language, up to about ``most`` bytes of them, from (lang, text) in order."""
+    texts: dict[str, list[str]] = {}
+    held: dict[str, int] = {}
+    for lang, text in rows:
+        own = texts.setdefault(lang, [])
+        if len(own) < per_lang and held.get(lang, 0) < most:
+            own.append(text)
+            held[lang] = held.get(lang, 0) + len(text)
     out = {lang: [w for t in own if (w := words_of(t))] for lang, own in texts.items()}
     return {lang: own for lang, own in sorted(out.items()) if own}
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Crf | None:
-    """Fit on a bounded sample of (doc_id, text, lang)."""
-    sample = sampled(docs, per_lang)
-    if not sample:
-        return None
+def sampled(docs: DataFrame, per_lang: int) -> dict[str, list[list[bytes]]]:
+    """What training would read, here."""
+    rows = sample_of(docs, per_lang)
+    return gathered(((r["lang"], r["text"]) for r in rows.orderBy(*ORDER).toLocalIterator()), per_lang) if rows is not None else {}
+
+
+def fit_sample(sample: dict[str, list[list[bytes]]]) -> Crf:
     labels = list(sample)
     counts = Counter(w for own in sample.values() for t in own for w in t)
     model = Crf(labels, {w: k for k, w in enumerate(sorted(w for w, n in counts.items() if n > 1))})
@@ -263,6 +284,26 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Crf | None:
     return model.fit(chains, gold)
 
 
+def train(docs: DataFrame, per_lang: int = PER_LANG) -> Crf | None:
+    """Fit on a bounded sample of (doc_id, text, lang), on an executor."""
+    rows = sample_of(docs, per_lang)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> bytes | None:
+        sample = gathered((pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), per_lang)
+        if not sample:
+            return None
+        m = fit_sample(sample)
+        return pickle.dumps((m.labels, list(m.lexicon), m.weights, m.moves))
+
+    model = rows is not None and fitted(rows.select("lang", "text", "h", "doc_id"), ORDER, fit)
+    if not model:
+        return None
+    labels, words, weights, moves = pickle.loads(model)
+    out = Crf(labels, {w: k for k, w in enumerate(words)})
+    out.weights, out.moves = weights, moves
+    return out
+
+
 class Labeller:
     """A worker's view of the model: scores of known words are kept."""
 
