@@ -16,7 +16,8 @@ and toxic, so the chain of op3_toxicity is low_quality (quality 0), then toxic
 (toxic 1). Rows with other labels or none are not trained on.
 
 Training reads a bounded sample: at most ``SAMPLE`` labelled texts of least hash
-(ties: id, then text), repeated ids and texts included. Null and empty texts have
+(ties: id, then text), repeated ids and texts included, and of them as many as
+``SAMPLE_BYTES`` hold; one task of an executor fits the chain. Null and empty texts have
 no features and are toxic with the models' probability of nothing, which is low.
 Without texts of both labels nothing is toxic. Repeated rows are scored alike. All
 columns stay but those named p_<category>, which are the result's own.
@@ -24,6 +25,7 @@ columns stay but those named p_<category>, which are the result's own.
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -34,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, table
+from .common import fitted, released, table
 
-SAMPLE, TELLING, FOLDS = 3000, 200, 3
+SAMPLE, TELLING, FOLDS = 6000, 200, 3
+#: Bytes of the training texts; the text that passes it is the last.
+SAMPLE_BYTES = 1 << 25
 CATEGORIES = ("low_quality", "toxic")
 #: Categories that read the shares of character kinds too.
 BY_SHARES = ("low_quality",)
@@ -199,15 +203,29 @@ def fit(texts: list[bytes], labels: dict[str, np.ndarray], folds: int = FOLDS) -
     return chain, dict(zip(labels, out.T))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
-    """Fit on a bounded sample of the labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Chain | None:
+    """Fit on a bounded sample of the labelled documents, on an executor."""
     known = labels.where("doc_id is not null and toxic in (0, 1) and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")  # the broadcast has at most ``sample`` rows
-    rows = met.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toPandas()  # ids may repeat
-    if rows["toxic"].nunique() < 2:
-        return None
-    return fit([t.encode() for t in rows["text"]], {"low_quality": rows["quality"].to_numpy() == 0, "toxic": rows["toxic"].to_numpy() == 1})[0]
+    rows = met.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "text").limit(sample).select("text", "quality", "toxic", "h", "doc_id")  # ids may repeat
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> bytes | None:
+        texts, quality, toxic, held = [], [], [], 0
+        for b in batches:
+            for t, q, x in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if held < most:
+                    texts.append(t)
+                    quality.append(q)
+                    toxic.append(x)
+                    held += len(t)
+        if len(set(toxic)) < 2:
+            return None
+        chain = fit(texts, {"low_quality": np.array(quality) == 0, "toxic": np.array(toxic) == 1})[0]
+        return pickle.dumps((chain.index, chain.scale, chain.weights, chain.thresholds))
+
+    model = fitted(rows, ["h", "doc_id", "text"], learn)
+    return Chain(*pickle.loads(model)) if model else None
 
 
 def score(docs: DataFrame, chain: Chain | None) -> DataFrame:

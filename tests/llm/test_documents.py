@@ -327,6 +327,49 @@ def test_thresholds_part_what_they_can():
     assert toxicity.best_threshold(np.array([0.5, 0.5]), np.array([1.0, 0])) == 0.25
 
 
+def test_toxicity_query_is_brute_force(spark):
+    """The shipped query against plain Python, a text and a feature at a time: the sample, the chain's probabilities and the verdict."""
+    d = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    known = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    place = lambda k: (int.from_bytes(xxhash.xxh64(k.to_bytes(8, "little", signed=True), 42).digest(), "big", signed=True), k)
+    least = set(sorted(known, key=place)[: toxicity.SAMPLE])
+    sample = sorted(((place(k), t.encode(), known[k]) for k, t in rows if k in least), key=lambda r: r[:2])
+    chain, _ = toxicity.fit([t for _, t, _ in sample], {"low_quality": np.array([q == 0 for *_, (q, _) in sample]), "toxic": np.array([x == 1 for *_, (_, x) in sample])})
+
+    def probability(text):
+        x = [0.0] * len(chain.index) + toxicity.shares(text)
+        for w, n in Counter(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text))).items():
+            for token in (w, *(w[:k] + b"*" for k in (4, 5, 6) if len(w) > k)):
+                if token in chain.index:
+                    x[chain.index[token]] += n
+        x = [(np.log1p(v) if k < len(chain.index) else v) * chain.scale[k] for k, v in enumerate(x)]
+        out = []
+        for name, w in chain.weights.items():
+            seen = [0.0 if len(chain.index) <= k < len(chain.index) + toxicity.SHARES and name not in toxicity.BY_SHARES else v for k, v in enumerate(x + out)]
+            out.append(1 / (1 + np.exp(-np.clip(sum(a * b for a, b in zip(seen, w[:-1])) + w[-1], -30, 30))))
+        return out
+
+    got = {r["doc_id"]: r for r in QUERIES["op3_toxicity"](spark, d).collect()}
+    assert len(got) == len(rows) and any(r["toxic"] for r in got.values())
+    for k, t in rows:
+        low, toxic = probability((t or "").encode())
+        assert abs(got[k]["p_low_quality"] - low) < 1e-9 and abs(got[k]["p_toxic"] - toxic) < 1e-9
+        assert got[k]["toxic"] == (got[k]["p_toxic"] >= chain.thresholds["toxic"])
+
+
+def test_training_samples_are_bounded(spark):
+    rows = [(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * 50, "en" if k % 2 else "de", None, None, "x") for k in range(60)]
+    table = spark.createDataFrame(rows, DOC)
+    whole = language_id.gathered([(r[2], r[1]) for r in rows], 20)
+    assert {lang: len(own) for lang, own in whole.items()} == {"de": 20, "en": 20}
+    few = language_id.gathered([(r[2], r[1]) for r in rows], 20, most=2500)
+    assert {lang: len(own) for lang, own in few.items()} == {"de": 3, "en": 3}
+    assert {lang: len(own) for lang, own in language_id.sampled(table, 7).items()} == {"de": 7, "en": 7}
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(table, labels, most=1) is None  # one text has one label
+
+
 def test_toxicity_of_odd_texts_and_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.train(docs(spark, ODD), labels) is None
