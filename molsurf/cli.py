@@ -1,7 +1,7 @@
-"""Benchmarks from the command line: ``python -m molsurf.cli run|compare|profiles|sweep``.
+"""Benchmarks from the command line: ``python -m molsurf.cli run|compare|profiles|sweep|summary``.
 
 run measures the samplers on structure files or demonstration molecules and appends
-records; compare, profiles and sweep read such records.
+records; compare, profiles, sweep and summary read such records.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 
 from .config import COUNT_TOLERANCE, IMPROVEMENT, REGRESSION
 from .operators import bench
-from .runs import METHODS, run, variants
+from .operators.store import checkpointed
+from .runs import METHODS, record_load_error, run, variants
 from .sources.bench_json import read_payload, read_profiles, read_records
 from .sources.structures import demo_molecules, read_demo, read_pdb
 
@@ -38,7 +39,9 @@ def main(argv: list[str] | None = None) -> int:
     f = sub.add_parser("profiles")
     f.add_argument("path")
     f.add_argument("--profile-dir")
-    for p in (c, s, f):
+    t = sub.add_parser("summary")
+    t.add_argument("path")
+    for p in (c, s, f, t):
         p.add_argument("--output-json", help="a folder: a table of the report each")
         p.add_argument("--limit", type=int, default=50)
     r = sub.add_parser("run")
@@ -50,6 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--repeats", type=int, default=1)
     r.add_argument("--version", default="1")
     r.add_argument("--most-atoms", type=int)
+    r.add_argument("--surfaces", help="a folder of reference surfaces, <molecule>.ply")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.command == "run":
@@ -59,12 +63,15 @@ def main(argv: list[str] | None = None) -> int:
             method, _, key = name.partition(".")
             axes.setdefault(method, {})[key] = [float(v) if "." in v else int(v) for v in values.split(",")]
         demos = set(demo_molecules())
-        atoms = None
-        for name in args.structures:
-            own = read_demo(spark, name) if name in demos else read_pdb(spark, name)
-            own = own.select(own["mol_id"].cast("string").alias("mol_id"), "atom_idx", "x", "y", "z", "radius")
-            atoms = own if atoms is None else atoms.unionByName(own)
-        new = run(spark, atoms, variants(args.methods.split(","), axes, args.interfaces.split(",")), args.records, args.repeats, args.version, args.most_atoms)
+        todo, new = variants(args.methods.split(","), axes, args.interfaces.split(",")), 0
+        for name in args.structures:  # one at a time, so a file that cannot be read costs its own runs only
+            try:
+                own = read_demo(spark, name) if name in demos else read_pdb(spark, name)
+                own = checkpointed(own.select(own["mol_id"].cast("string").alias("mol_id"), "atom_idx", "x", "y", "z", "radius"))
+            except Exception as e:  # recorded, and the other structures go on
+                new += record_load_error(spark, name, e, todo, args.records, args.repeats, args.version)
+                continue
+            new += run(spark, own, todo, args.records, args.repeats, args.version, args.most_atoms, args.surfaces)
         print(f"{new} new records")
         return 0
     failed, report = False, {}
@@ -81,6 +88,8 @@ def main(argv: list[str] | None = None) -> int:
         calls = payloads.select("pdb_id", "method", "interface_mode", "internal_profile.top_calls").where("top_calls is not null")
         report = {"errors": errors, "calls": bench.slowest_calls(calls, args.limit), "ops": bench.profile_ops(payloads.select("torch_profile.top_ops"), args.limit), "functions": bench.profile_rollup(functions, args.limit)}
         failed = not errors.isEmpty()
+    elif args.command == "summary":
+        report = {"summary": bench.summarize(records(spark, args.path)), "status": bench.status_counts(records(spark, args.path)), "reference": bench.reference_status(records(spark, args.path)), "fastest": bench.fastest(records(spark, args.path))}
     else:
         report = {"variants": bench.sweep(records(spark, args.path))}
     for name, table in report.items():

@@ -158,6 +158,11 @@ def summarize(records: DataFrame, values: tuple[str, ...] = ("wall_seconds", "cu
     return out.withColumn("grain", grain).drop("_g")
 
 
+def status_counts(records: DataFrame) -> DataFrame:
+    """Records by method and status."""
+    return records.groupBy("method", F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("records"))
+
+
 def reference_status(records: DataFrame) -> DataFrame:
     """Successful runs by the status of their reference metrics."""
     return records.where("status = 'ok'").groupBy("method", F.coalesce("reference_metrics.status", F.lit("none")).alias("reference_status")).agg(F.count("*").alias("records"))

@@ -53,11 +53,30 @@ class GraphOptions:
             raise ValueError("max_distance must be positive")
 
 
-def topology(disjoint: bool) -> Column:
+def typed_by(points: DataFrame) -> tuple[bool, bool]:
+    """Whether points have supports, and whether they have blocks; half of a block is an error, and so are supports that are no array of atoms."""
+    kinds = dict(points.dtypes)
+    if ("block_type" in kinds) != ("block_id" in kinds):
+        raise ValueError("block_type and block_id come together")
+    if "supports" in kinds and kinds["supports"] not in ("array<int>", "array<bigint>", "array<smallint>"):
+        raise ValueError(f"supports must be an array of atom numbers, not {kinds['supports']}")
+    missing = {"mol_id", "point_id", "x", "y", "z", "nx", "ny", "nz"} - set(kinds)
+    if missing:
+        raise ValueError(f"points need {', '.join(sorted(missing))}")
+    return "supports" in kinds, "block_type" in kinds
+
+
+def topology(disjoint: bool, supports: bool = True, blocks: bool = True) -> Column:
     """Same block, or supports one of which hold the other; single disjoint supports only if asked for."""
     subset = lambda a, b: F.size(F.array_except(a, b)) == 0
-    ok = ((F.col("block_typea") == F.col("block_typeb")) & (F.col("block_ida") == F.col("block_idb"))) | subset("supportsa", "supportsb") | subset("supportsb", "supportsa")
-    return ok | ((F.size("supportsa") == 1) & (F.size("supportsb") == 1)) if disjoint else ok
+    ok = F.lit(False) if supports or blocks else F.lit(True)
+    if blocks:
+        ok = ok | ((F.col("block_typea") == F.col("block_typeb")) & (F.col("block_ida") == F.col("block_idb")))
+    if supports:
+        ok = ok | subset("supportsa", "supportsb") | subset("supportsb", "supportsa")
+        if disjoint:
+            ok = ok | ((F.size("supportsa") == 1) & (F.size("supportsb") == 1))
+    return ok
 
 
 METRIC = f"CASE WHEN theta <= {SQRT_EPS} THEN d ELSE d * theta / (2e0 * sin(theta / 2e0)) END"
@@ -110,24 +129,25 @@ def windowed(points: DataFrame, k: int, steps: list[tuple[str, str]], allowed: C
 
 
 def surface_edges(points: DataFrame, options: GraphOptions = GraphOptions()) -> DataFrame:
-    """(mol_id, src, dst, weight) in both directions, for points (mol_id, point_id, x, y, z, nx, ny, nz[, supports, block_type, block_id]).
+    """(mol_id, src, dst, weight) in both directions, for points (mol_id, point_id, x, y, z, nx, ny, nz[, supports][, block_type, block_id]).
 
     Candidates are the nearest allowed points (ties to the smaller id); of the
     valid ones the nearest k, or the nearest of each sector, are picked. The
     graph is the union of all picks, so a point's degree can exceed k.
     """
     o = options
-    typed = o.topology and "supports" in points.columns
+    supports, blocks = typed_by(points)
+    typed = o.topology and (supports or blocks)
     length = F.expr("greatest(sqrt(nx * nx + ny * ny + nz * nz), 1e-300)")
     unit = points.select(*[c for c in points.columns if c not in ("nx", "ny", "nz")], *[F.when(length > 1e-16, F.col(c) / length).otherwise(1.0 if c == "nx" else 0.0).alias(c) for c in ("nx", "ny", "nz")])
     k = o.neighbors
     pool = o.candidate_neighbors or (k + 2 if typed else max(2 * k, k + 4))
     # an arc is never shorter than its chord, so both metrics suit growing cells
     steps = [("d", f"sqrt({dist2('a', 'b')})"), THETA, ("metric", METRIC if o.weight_mode == "geodesic" else "d")]
-    allowed = topology(o.allow_disjoint_single_support_edges) if typed else F.lit(True)
+    allowed = topology(o.allow_disjoint_single_support_edges, supports, blocks) if typed else F.lit(True)
     if typed and o.search == "prefiltered":
         pairs = prefiltered(unit, pool, steps, allowed, o.max_distance)
-    elif typed and o.search == "windowed" and not o.allow_disjoint_single_support_edges:
+    elif typed and supports and blocks and o.search == "windowed" and not o.allow_disjoint_single_support_edges:
         pairs = windowed(unit, pool, steps, allowed, o.max_distance)
     else:
         pairs = nearest_in_cells(operand(unit, "src", "a"), operand(unit, "dst", "b"), pool, steps, "metric", allowed, o.max_distance)
@@ -154,3 +174,8 @@ def surface_edges(points: DataFrame, options: GraphOptions = GraphOptions()) ->
     once = picked.groupBy("mol_id", lo, hi).agg(F.max("metric").alias("weight"))
     forth, back = once.select("mol_id", F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight"), once.select("mol_id", F.col("hi").alias("src"), F.col("lo").alias("dst"), "weight")
     return forth.unionByName(back)
+
+
+def once(edges: DataFrame) -> DataFrame:
+    """Each undirected edge as one row (mol_id, src, dst, weight), src < dst."""
+    return edges.where("src < dst").select("mol_id", "src", "dst", "weight")

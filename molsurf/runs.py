@@ -93,6 +93,38 @@ def measured(atoms: DataFrame, v: Variant, surfaces: DataFrame | None = None) ->
     return {"status": "ok", "wall_seconds": seconds, "point_count": n, "points_per_wall_second": n / seconds if seconds else None} | more
 
 
+def base_record(mol: str, v: Variant, repeat: int, version: str) -> dict:
+    """What every record of a run says, however it went."""
+    return {"event": "benchmark_result", "pdb_id": mol, "method": v.method, "variant_name": v.name, "method_variant_name": v.name, "method_parameter_hash": v.key, "interface_mode": v.interface, "repeat_index": repeat, "program_version": version, "method_params": {a: str(b) for a, b in v.params.items()}, "interface_params": {"mode": v.interface, "scenario_mode": "independent"}}
+
+
+def appended(spark: SparkSession, records: list[dict], path: str) -> int:
+    """Append records of runs that have just been timed."""
+    if records:
+        told = spark.createDataFrame([(json.dumps(r),) for r in records], "line string").select(F.from_json("line", RECORD).alias("r")).select("r.*")
+        append_records(told.coalesce(1), path)
+    return len(records)
+
+
+def recorded(spark: SparkSession, path: str, version: str) -> set[tuple[str, str, int]]:
+    """(molecule, variant, repeat) of the version's records at path."""
+    try:
+        done = read_records(spark, path).where(F.col("program_version") == version)
+        return {(r["pdb_id"], r["method_parameter_hash"], r["repeat_index"]) for r in done.select("pdb_id", "method_parameter_hash", "repeat_index").collect()}
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return set()
+
+
+def record_load_error(spark: SparkSession, name: str, error: Exception, todo: list[Variant], path: str, repeats: int = 1, version: str = "1") -> int:
+    """A record with status load_error for every run of a structure that cannot be read, unless there is one."""
+    mol = name.rstrip("/").rpartition("/")[2].removesuffix(".pdb")
+    done = recorded(spark, path, version)
+    rows = [base_record(mol, v, k, version) | {"status": "load_error", "error": str(error)[:500]} for v in todo for k in range(repeats) if (mol, v.key, k) not in done]
+    return appended(spark, rows, path)
+
+
 def run(spark: SparkSession, atoms: DataFrame, todo: list[Variant], path: str, repeats: int = 1, version: str = "1", most_atoms: int | None = None, surfaces: str | None = None) -> int:
     """Measure every molecule of atoms (mol_id, ...) under every variant, and append a record of each run to JSON lines at path.
 
@@ -105,12 +137,7 @@ def run(spark: SparkSession, atoms: DataFrame, todo: list[Variant], path: str, r
     """
     known = checkpointed(read_surfaces(spark, surfaces)) if surfaces else None
     sizes = {str(r["mol_id"]): r["count"] for r in atoms.groupBy("mol_id").count().collect()}  # a row for each molecule to be timed
-    try:
-        done = {(r["pdb_id"], r["method_parameter_hash"], r["repeat_index"]) for r in read_records(spark, path).where(F.col("program_version") == version).select("pdb_id", "method_parameter_hash", "repeat_index").collect()}
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = set()
+    done = recorded(spark, path, version)
     new = 0
     for mol in sorted(sizes):
         rows = []
@@ -119,17 +146,14 @@ def run(spark: SparkSession, atoms: DataFrame, todo: list[Variant], path: str, r
             for k in range(repeats):
                 if (mol, v.key, k) in done:
                     continue
-                record = {"event": "benchmark_result", "pdb_id": mol, "method": v.method, "variant_name": v.name, "method_variant_name": v.name, "method_parameter_hash": v.key, "interface_mode": v.interface, "repeat_index": k, "program_version": version, "atom_count": sizes[mol], "method_params": {a: str(b) for a, b in v.params.items()}, "interface_params": {"mode": v.interface, "scenario_mode": "independent"}}
+                record = base_record(mol, v, k, version) | {"atom_count": sizes[mol]}
                 if most_atoms is not None and sizes[mol] > most_atoms:
                     record |= {"status": "skipped"}
                 else:
                     try:
                         record |= measured(own, v, None if known is None else known.where(F.col("mol_id") == mol))
                     except Exception as e:  # recorded, and the other runs go on
-                        record |= {"status": "error", "event": "benchmark_result", "error": str(e)[:500]}
-                rows.append(json.dumps(record))
-        if rows:
-            told = spark.createDataFrame([(r,) for r in rows], "line string").select(F.from_json("line", RECORD).alias("r")).select("r.*")
-            append_records(told.coalesce(1), path)
-            new += len(rows)
+                        record |= {"status": "error", "error": str(e)[:500]}
+                rows.append(record)
+        new += appended(spark, rows, path)
     return new

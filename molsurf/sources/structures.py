@@ -242,6 +242,41 @@ def read_npy(spark: SparkSession, folder: str, *, center: bool = False) -> DataF
     return atoms.withColumns({c: F.col(c) - F.avg(c).over(Window.partitionBy("mol_id")) for c in "xyz"}) if center else atoms
 
 
+#: Other names of the columns of atoms.
+ALIASES = {"xyz": ("atom_coords",), "types": ("atom_types",), "radius": ("radii", "atom_radii"), "type_idx": ("atom_type_indices",), "atom_serial": ("atom_serials",), "residue_number": ("residue_numbers",), "chain_index": ("chain_indices",), "model_index": ("model_indices",), "b_factor": ("b_factors",)}
+
+
+def atoms_of(given: DataFrame) -> DataFrame:
+    """Atoms with all columns of ``ATOMS``, of a table that has some of them, or names them otherwise.
+
+    Needed are mol_id, atom_idx, a place (x, y and z, or an array xyz) and a kind (type_idx, an array types with one entry
+    for each element, or element). The rest gets defaults: radii by kind, serials from 1, zeros, full occupancy, empty names.
+    """
+    have = set(given.columns)
+    for name, others in ALIASES.items():
+        other = next((o for o in others if o in have), None)
+        if name not in have and other:
+            given = given.withColumnRenamed(other, name)
+            have |= {name}
+    missing = [n for n, ok in (("mol_id", "mol_id" in have), ("atom_idx", "atom_idx" in have), ("x, y and z or xyz", {"x", "y", "z"} <= have or "xyz" in have), ("type_idx, types or element", have & {"type_idx", "types", "element"})) if not ok]
+    if missing:
+        raise ValueError(f"atoms need {', '.join(missing)}")
+    place = {c: F.col(c) if c in have else F.element_at("xyz", k + 1) for k, c in enumerate("xyz")}
+    known = F.array(*map(F.lit, ELEMENTS))
+    if "type_idx" in have:
+        kind = F.col("type_idx")
+    elif "types" in have:  # the first of the largest
+        kind = F.array_position(F.transform("types", lambda t: t.cast("double")), F.array_max(F.transform("types", lambda t: t.cast("double")))) - 1
+    else:
+        kind = F.when(F.array_contains(known, F.upper(F.trim("element"))), F.array_position(known, F.upper(F.trim("element"))) - 1)
+    kind = F.when(kind.isNull() | ~kind.between(0, len(ELEMENTS) - 1), F.raise_error(F.concat(F.lit("unknown kind of an atom of "), F.col("mol_id").cast("string")))).otherwise(kind).cast("int")
+    out = given.withColumns({**place, "type_idx": kind})
+    radius = F.element_at(F.array(*map(F.lit, RADII)), F.col("type_idx") + 1)
+    default = {"radius": radius, "atom_serial": F.col("atom_idx") + 1, "occupancy": F.lit(1.0), "element": F.element_at(known, F.col("type_idx") + 1)} | {c: F.lit(0) for c in ("residue_number", "chain_index", "model_index")} | {"b_factor": F.lit(0.0)} | {c: F.lit("") for c in ("atom_name", "residue_name", "chain_id", "insertion_code", "record")}
+    kinds = [c.split() for c in ATOMS.split(", ")]
+    return out.select(*[(F.coalesce(F.col(c), default[c]) if c in have and c in default else F.col(c) if c not in default else default[c]).cast(t).alias(c) for c, t in kinds])
+
+
 def convert_pdbs(spark: SparkSession, pdb_folder: str, npy_folder: str, metadata: bool = True) -> DataFrame:
     """All structure files of a folder into NPY sets; gives the atoms."""
     atoms = checkpointed(read_pdb(spark, pdb_folder))  # read once, for the files and for the result
@@ -352,6 +387,43 @@ def demo_molecules() -> dict[str, tuple[str, np.ndarray]]:
     out["Sealed nanotube capsule"] = joined(*carbon_cage([(w, flat(w, 0.25 * np.sign(w[:, 2]))) for w in walls] + [(c, flat(c / 1.55, np.sign(c[:, 2]))) for c in caps]), ("C", np.array([[0, 0, -3.85], [0, 0, 3.85]])))
     rings = [np.roll(ring(10, r, x + dx), 1, 1) for x in (-2.35, 2.35) for dx, r in ((-1.25, 2.65), (0.0, 3.05), (1.25, 2.65))]
     outward = lambda p: np.hstack((0.25 * np.sign(p[:, :1]), p[:, 1:]))
+    # The chain of hexane, the ring of glucose.
+    chain = np.array([[0, 0, 0], [1.54, 0, 0], [2.31, 1.334, 0], [3.85, 1.334, 0], [4.62, 0, 0], [6.16, 0, 0]])
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    open_side = unit(2 * chain[1:-1] - chain[:-2] - chain[2:])  # away from both neighbours
+    ends = []
+    for own, other in ((0, 1), (5, 4)):  # three hydrogens around the bond's axis
+        axis = unit(chain[other] - chain[own])
+        side = np.cross(axis, [0, 0, 1.0])
+        around = ring(3, 1.0)[:, :2] @ np.stack((side, np.cross(side, axis)))
+        ends.append(along(np.tile(chain[own], (3, 1)), np.sqrt(8) / 3 * around - axis / 3))
+    out["C6H14"] = joined(("C", chain), ("H", np.vstack(ends)), *[("H", along(chain[1:-1], flat(0.55 * open_side, z))) for z in (0.83, -0.83)])
+    sugar = np.array([[1.25, 0.00, 0.35], [0.62, 1.08, -0.35], [-0.62, 1.08, 0.35], [-1.25, 0.00, -0.35], [-0.62, -1.08, 0.35], [0.62, -1.08, -0.35]])
+    side, lift = unit(flat(sugar[1:])), np.array([1, -1, 1, -1, -1])  # of the five carbons; the last one carries the sixth
+    hydroxyl = unit(flat(side[:4], 0.35 * lift[:4]))
+    sixth = sugar[5] + 1.52 * unit(flat(side[4:], -0.15))
+    last = unit(flat(side[4:], 0.75))
+    across = np.array([[-side[4, 1], side[4, 0], 0.45]])
+    alcohols = np.vstack((sugar[1:5] + 1.43 * hydroxyl, sixth + 1.43 * last))
+    out["Glucose chair"] = joined(("O C C C C C", sugar), ("O", alcohols), ("C", sixth), ("H", along(sugar[1:], flat(-0.45 * side, 0.9 * lift))), ("H", along(np.vstack((sixth, sixth)), np.vstack((across, -across)))), ("H", alcohols + 0.96 * np.vstack((hydroxyl, last))))
+    panels, hydrogens, bridges, links = [], [], [], []
+    for quarter in range(4):
+        frame = lambda turn: (np.array([np.cos(turn), np.sin(turn), 0.0]), np.array([-np.sin(turn), np.cos(turn), 0.0]))
+        (radial, tangent), (between, around) = frame(quarter * np.pi / 2), frame((quarter + 0.5) * np.pi / 2)
+        hexagon = ring(6, 1.39)[:, :2] @ np.stack((tangent, unit(np.array([0, 0, 1.0]) + 0.45 * radial))) + 2.65 * radial + [0, 0, 0.25]
+        panels.append(hexagon)
+        hydrogens.append(along(hexagon, flat(np.tile(radial, (6, 1)), 0.12 * hexagon[:, 2])))
+        bridges.append(1.55 * between + [0, 0, -1.35])
+        links.append(along(np.tile(bridges[-1], (2, 1)), flat(-0.35 * between + np.outer([0.55, -0.55], around), -0.75)))
+    out["Calixarene bowl"] = joined(("C", np.vstack(panels)), ("H", np.vstack(hydrogens)), ("C", np.array(bridges)), ("H", np.vstack(links)))
+    decks = [ring(12, 3.0, z) for z in (-1.35, 1.35)]
+    oxygen = np.arange(12) % 4 == 0
+    arms = ring(12, 3.0)[[2, 6, 10]]
+    tangents = np.stack((-arms[:, 1], arms[:, 0], 0 * arms[:, 0]), 1) / 3
+    out["Cryptand cage"] = joined(
+        *[(" ".join("O" if o else "C" for o in oxygen), d) for d in decks], *[("H", along(d, flat(flat(d) / 3, 0.25 * np.sign(d[:, 2])))[~oxygen]) for d in decks],
+        ("C", arms), *[("H", along(arms, arms / 3 + turn * tangents)) for turn in (0.55, -0.55)],
+    )
     out["Double chamber cage"] = joined(*carbon_cage([(p, outward(p)) for p in rings]), ("N", np.roll(ring(8, 1.75), 1, 1)))
     return out
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molsurf.operators import graph
-from molsurf.operators.graph import GraphOptions, surface_edges
+from molsurf.operators.graph import GraphOptions, once, surface_edges
 from molsurf.operators.points import in_frames, spatial_key
 
 SCHEMA = "mol_id string, point_id long, x double, y double, z double, nx double, ny double, nz double, supports array<int>, block_type int, block_id long"
@@ -98,3 +98,14 @@ def test_frames_of_places(spark):
 def test_windows_are_joins_on_stretches(spark):
     plan = surface_edges(sphere(spark, 50), GraphOptions(4, search="windowed"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_supports_or_blocks_alone(spark):
+    p = typed(spark, [([0], 1, 0), ([0, 1], 2, 0), ([5], 1, 0), ([7], 4, 9)])
+    pairs = lambda df: {(r["src"], r["dst"]) for r in once(surface_edges(df, GraphOptions(3, max_tangent_component=1.0))).collect()}
+    assert pairs(p.drop("block_type", "block_id")) == {(0, 1)}
+    assert pairs(p.drop("supports")) == {(0, 2)}
+    assert pairs(p) == {(0, 1), (0, 2)}
+    for bad in (p.drop("block_id"), p.withColumn("supports", F.lit("0")), p.drop("nx")):
+        with pytest.raises(ValueError):
+            surface_edges(bad)

@@ -71,6 +71,20 @@ def test_errors_are_in_the_records(spark, tmp_path):
     assert r["status"] == "error" and "m must be positive" in r["error"]
 
 
+def test_command_line_records_what_cannot_be_read(spark, tmp_path):
+    path = str(tmp_path / "records")
+    broken = tmp_path / "broken.pdb"
+    broken.write_text("ATOM      1  ZN  ALA A   1       0.000   0.000   0.000  1.00  0.00          ZN\n")
+    for _ in range(2):  # the second time there is nothing new
+        assert main(["run", str(broken), str(tmp_path / "gone.pdb"), "H2O", "--records", path, "--methods", "projected"]) == 0
+    got = {r["pdb_id"]: r for r in read_records(spark, path).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"broken": "load_error", "gone": "load_error", "H2O": "ok"}
+    assert "unknown element ZN" in got["broken"]["error"] and read_records(spark, path).count() == 3
+    assert main(["summary", path, "--output-json", str(tmp_path / "out")]) == 0
+    status = {r["status"]: r["records"] for r in spark.read.json(str(tmp_path / "out" / "status")).collect()}
+    assert status == {"load_error": 2, "ok": 1}
+
+
 def test_profiles_are_collected(spark, tmp_path):
     f = lambda s: {"top_functions": [{"name": "f", "calls": 2, "wall_seconds_total": s}], "top_calls": [{"name": "f", "wall_seconds": s}]}
     (tmp_path / "a.profile.json").write_text(json.dumps({"pdb_id": "a", "method": "m", "internal_profile": f(1.0)}, indent=1))

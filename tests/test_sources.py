@@ -77,6 +77,35 @@ def test_files_are_written_by_tasks(spark, tmp_path):
     assert all((tmp_path / "own" / n).read_bytes() == c for n, c in rows)
 
 
+def test_atoms_by_other_names_and_with_defaults(spark):
+    by_arrays = spark.createDataFrame([("m", 0, [1.0, 2.0, 3.0], [0, 0, 0, 1, 0, 0], None), ("m", 1, [0.0, 0.0, 0.5], [1, 0, 0, 0, 0, 0], 9.0)], "mol_id string, atom_idx int, atom_coords array<double>, atom_types array<int>, radii double")
+    a, b = st.atoms_of(by_arrays).orderBy("atom_idx").collect()
+    assert (a["x"], a["z"], a["type_idx"], a["element"], a["radius"], a["atom_serial"], a["occupancy"], a["record"]) == (1.0, 3.0, 3, "N", 1.55, 1, 1.0, "")
+    assert (b["radius"], b["atom_serial"]) == (9.0, 2)
+    plain = spark.createDataFrame([("m", 0, 1.0, 2.0, 3.0, " se ")], "mol_id string, atom_idx int, x double, y double, z double, element string")
+    assert st.atoms_of(plain).first()["type_idx"] == 5 and st.atoms_of(plain).columns == st.NAMES
+    with pytest.raises(Exception, match="unknown kind"):
+        st.atoms_of(plain.withColumn("element", F.lit("ZN"))).collect()
+    with pytest.raises(ValueError, match="x, y and z or xyz"):
+        st.atoms_of(plain.drop("z"))
+
+
+def test_demonstration_molecules(spark):
+    """All nineteen: formulas, and no two atoms in one place."""
+    known = st.demo_molecules()
+    formula = {m: {x: e.split().count(x) for x in sorted(set(e.split()))} for m, (e, _) in known.items()}
+    assert len(known) == 19
+    assert formula["C6H14"] == {"C": 6, "H": 14}
+    bonds = np.linalg.norm(known["C6H14"][1][:6, None] - known["C6H14"][1][6:], axis=2)
+    assert np.allclose(bonds.min(0), 1.09) and sorted((bonds < 1.1).sum(1)) == [2, 2, 2, 2, 3, 3]
+    assert formula["Methionine"] == {"C": 5, "H": 11, "N": 1, "O": 2, "S": 1}
+    assert formula["Glucose chair"] == {"C": 6, "H": 12, "O": 6}
+    assert formula["Calixarene bowl"] == {"C": 28, "H": 32} and formula["Cryptand cage"] == {"C": 21, "H": 24, "O": 6}
+    for e, p in known.values():
+        d = np.linalg.norm(p[:, None] - p, axis=2)
+        assert len(e.split()) == len(p) and d[~np.eye(len(p), dtype=bool)].min() > 0.3
+
+
 def test_ply(spark, tmp_path):
     (tmp_path / "s.ply").write_text("ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nelement face 0\nend_header\n0 0.5 1\n1 2 3\n")
     assert [(r["x"], r["y"], r["z"]) for r in st.read_ply(spark, str(tmp_path / "s.ply")).orderBy("point_id").collect()] == [(0.0, 0.5, 1.0), (1.0, 2.0, 3.0)]
