@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as kn
-from .store import checkpointed
+from .store import checkpointed, dealt
 
 XYZ = ("x", "y", "z")
 #: Atoms that a tile is to hold on average, and voxels along the edge of a block of the grid.
-TILE_ATOMS, BLOCK = 1_500, 96
+TILE_ATOMS, BLOCK = 3_000, 96
 #: Rows of one bucket, where rows are numbered in a molecule.
 BUCKET = 1 << 16
 FRAME = (
@@ -122,7 +122,8 @@ def blocked(rays: DataFrame, near: DataFrame, frame: DataFrame, ids: list[str],
         clear = s.clear(segments[list(RAY[:3])].to_numpy(), segments[list(RAY[3:])].to_numpy())
         return segments.loc[~clear, ["mol_id", *ids]]
 
-    hit = passing.groupBy("mol_id", "tile").cogroup(near.select("mol_id", "tile", *XYZ, "radius").groupBy("mol_id", "tile")).applyInPandas(run, schema)
+    keys = ["mol_id", "tile"]
+    hit = dealt(passing, *keys).groupBy(*keys).cogroup(dealt(near.select(*keys, *XYZ, "radius"), *keys).groupBy(*keys)).applyInPandas(run, schema)
     return hit.distinct()
 
 
@@ -208,7 +209,7 @@ def flood_by_blocks(atoms: DataFrame, frame: DataFrame, probe: float, block: int
         return pd.DataFrame([(r["mol_id"], *at.tolist(), packed(labels), sorted(border), faces, xyz.astype("<f8").tobytes(), radii.astype("<f8").tobytes())], columns=["mol_id", "bx", "by", "bz", "labels", "border", "faces", "places", "radii"])
 
     keys = ["mol_id", "bx", "by", "bz"]
-    done = checkpointed(head.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(label, schema))
+    done = checkpointed(dealt(head, *keys).groupBy(*keys).cogroup(dealt(near, *keys).groupBy(*keys)).applyInPandas(label, schema))
     face = done.select(*keys, F.explode("faces").alias("f")).select(*keys, "f.axis", "f.upper", "f.labels")
     meet = [F.when((F.col("axis") == k) & F.col("upper"), F.col(f"b{c}") + 1).otherwise(F.col(f"b{c}")).alias(f"f{c}") for k, c in enumerate(XYZ)]
     side = face.select("mol_id", "axis", "upper", "labels", *meet)
@@ -292,7 +293,7 @@ def reached_by_grid(points: DataFrame, blocks: DataFrame, frame: DataFrame, ids:
                 got[near] = s.clear(c[near], corner + cell[near] * h) if s.n else True
         return own.loc[got, ["mol_id", *ids]]
 
-    return met.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(run, schema)
+    return dealt(met, *keys).groupBy(*keys).cogroup(dealt(blocks, *keys).groupBy(*keys)).applyInPandas(run, schema)
 
 
 def accessible(points: DataFrame, atoms: DataFrame, near: DataFrame, frame: DataFrame, ids: list[str], probe: float, block: int = BLOCK, grid: Column | None = None) -> DataFrame:

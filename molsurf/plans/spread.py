@@ -23,7 +23,7 @@ from ..config import ATOM_BLOCK, PAIR_BLOCK, PROBE_BLOCK, SQRT_EPS
 from ..functions import kernels as kn
 from ..operators import tiles
 from ..operators.spatial import first_seen
-from ..operators.store import checkpointed
+from ..operators.store import checkpointed, dealt
 
 IDS = ["part", "seq"]
 #: What a tile finds. kind 0: a place to ask about, of a block; 1: a point of a block.
@@ -95,7 +95,13 @@ def found_in_tiles(near: DataFrame, frame: DataFrame, probe: float, density, blo
             of, c = asked_pairs(s, pairs, blocks.pair_filter)
             parts.append(places(PAIR_BLOCK, s.ids[pairs[of, 0]] * s.total + s.ids[pairs[of, 1]], c))
             pairs = pairs[np.unique(of)]
-        abc = s.triangles
+        # the three atoms of a place in the tile are within a radius of it, so nearer to the tile than the halo goes
+        cell = np.array([tile // (dims[1] * dims[2]), tile // dims[2] % dims[1], tile % dims[2]])
+        corner = low + cell * float(f["edge"])
+        reach = float(f["rmax"]) + 0.01 + blocks.dedup
+        lower, upper = np.where(cell == 0, -np.inf, corner - reach), np.where(cell == dims - 1, np.inf, corner + float(f["edge"]) + reach)
+        inner = np.flatnonzero(((s.xyz >= lower) & (s.xyz <= upper)).all(1))
+        abc = inner[kn.Surface(s.xyz[inner], s.radii[inner], probe).triangles]
         both, ok = s.triple_centers(abc) if len(abc) else (np.empty((0, 2, 3)), np.empty(0, bool))
         c = both.reshape(-1, 3)
         key = np.rint(np.nan_to_num(c) / blocks.dedup).astype(np.int64)
@@ -123,7 +129,7 @@ def found_in_tiles(near: DataFrame, frame: DataFrame, probe: float, density, blo
         return got[names]
 
     met = near.join(frame, "mol_id")
-    return checkpointed(met.groupBy("mol_id", "tile").applyInPandas(run, FOUND.format(mol=dict(near.dtypes)["mol_id"])))
+    return checkpointed(dealt(met, "mol_id", "tile").groupBy("mol_id", "tile").applyInPandas(run, FOUND.format(mol=dict(near.dtypes)["mol_id"])))
 
 
 def reach_of(blocks) -> Column:
@@ -196,7 +202,7 @@ def pairs_by_molecule(near: DataFrame, probe: float) -> DataFrame:
         s = kn.Surface(pdf[["x", "y", "z"]].to_numpy(), pdf["radius"].to_numpy(), probe)
         return pd.DataFrame({"mol_id": pdf["mol_id"].iloc[:1], "pairs": [int(pdf["own"].to_numpy()[s.pairs[:, 0]].sum())]})
 
-    counts = near.groupBy("mol_id", "tile").applyInPandas(run, f"mol_id {dict(near.dtypes)['mol_id']}, pairs long")
+    counts = dealt(near, "mol_id", "tile").groupBy("mol_id", "tile").applyInPandas(run, f"mol_id {dict(near.dtypes)['mol_id']}, pairs long")
     return counts.groupBy("mol_id").agg(F.sum("pairs").alias("pairs"))
 
 
