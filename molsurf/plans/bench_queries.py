@@ -124,11 +124,13 @@ def bench_profile_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench.profile_rollup(payloads).withColumn("seconds", F.expr(q6("seconds")))
 
 
-@query("WITH m AS (SELECT unnest([64, 128, 192]) AS m), s AS (SELECT unnest(['0.1', '0.3']) AS s) SELECT 'm=' || m || '__smoothness=' || s AS variant, substr(sha256('{\"m\":\"' || m || '\",\"smoothness\":\"' || s || '\"}'), 1, 16) AS hash FROM m, s UNION SELECT 'm=' || m, substr(sha256('{\"m\":\"' || m || '\"}'), 1, 16) FROM m WHERE m <> 192")
+@query("WITH m AS (SELECT unnest([64, 128, 192]) AS m), s AS (SELECT unnest(['0.1', '0.3']) AS s), v AS (SELECT 'm=' || m || '__smoothness=' || s AS variant, substr(sha256('{\"m\":\"' || m || '\",\"smoothness\":\"' || s || '\"}'), 1, 16) AS hash FROM m, s UNION SELECT 'm=' || m, substr(sha256('{\"m\":\"' || m || '\"}'), 1, 16) FROM m WHERE m <> 192) SELECT vec_id, variant, hash FROM embeddings, v")
 def bench_variants_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cartesian grid of parameters and a one-axis grid that skips the base value, with names and stable hashes."""
+    """Jobs: every vector, standing for a structure, under a cartesian grid of parameters and a one-axis grid that skips the base value."""
     grid = cartesian(spark, {"m": ["64", "128", "192"], "smoothness": ["0.1", "0.3"]})
-    return grid.select("variant", "hash").unionByName(single_axis(spark, {"m": "192"}, {"m": ["64", "128", "192"]}))
+    variants = grid.select("variant", "hash").unionByName(single_axis(spark, {"m": "192"}, {"m": ["64", "128", "192"]})).collect()  # a row for each setting
+    each = F.explode(F.array(*[F.struct(F.lit(v["variant"]).alias("variant"), F.lit(v["hash"]).alias("hash")) for v in variants]))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", each.alias("v")).select("vec_id", "v.*")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")

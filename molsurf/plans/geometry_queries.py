@@ -537,41 +537,55 @@ def apportion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportioned(atoms_proxy(spark, sf_dir).select("mol_id", "atom_idx", F.col("radius").alias("weight"), total.alias("total")))
 
 
-@query(" SELECT n AS count, a, b, n_level - a - b AS c FROM (SELECT range AS n, ceil((sqrt(8e0 * range + 1e0) - 3e0) / 2e0)::BIGINT AS n_level FROM range(1, 41)), LATERAL (SELECT unnest(range(n_level + 1)) AS a), LATERAL (SELECT unnest(range(n_level + 1 - a)) AS b)")
+#: Points of a triangle: at least so many, by its atoms.
+WANTED = "(1 + (a + b + c) % 12)"
+LEVEL = f"cast(ceil((sqrt(8e0 * {WANTED} + 1e0) - 3e0) / 2e0) as bigint)"
+
+
+@query(
+    TRIANGLES
+    + f""", levels AS (SELECT *, {LEVEL} AS level FROM tri), grid AS (SELECT *, level - i - j AS k FROM levels, LATERAL (SELECT unnest(range(level + 1)) AS i), LATERAL (SELECT unnest(range(level + 1 - i)) AS j))
+SELECT g.mol_id, g.a, g.b, g.c, i, j, k, {', '.join(f"{q6(f'(i * p.{c} + j * q.{c} + k * r.{c}) / greatest(level, 1)')} AS {c}" for c in 'xyz')}
+FROM grid g JOIN e p ON p.mol_id = g.mol_id AND p.atom_idx = g.a JOIN e q ON q.mol_id = g.mol_id AND q.atom_idx = g.b JOIN e r ON r.mol_id = g.mol_id AND r.atom_idx = g.c"""
+)
 def barycentric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For counts 1 to 40, the triangle grid of the least level L with (L + 1)(L + 2) / 2 >= count; a row's weights are (a, b, c) / L."""
-    n = spark.range(1, 41).select(F.col("id").alias("count"), F.expr("cast(ceil((sqrt(8e0 * id + 1e0) - 3e0) / 2e0) as bigint)").alias("level"))
-    a = n.withColumn("a", F.explode(F.expr("sequence(0L, level)")))
-    return a.withColumn("b", F.explode(F.expr("sequence(0L, level - a)"))).select("count", "a", "b", F.expr("level - a - b").alias("c"))
+    """Points on every triangle of atoms: the grid of the least level L with (L + 1)(L + 2) / 2 >= the points wanted; weights are (i, j, k) / L."""
+    at = triangles(spark, sf_dir).withColumn("level", F.expr(LEVEL)).withColumn("i", F.explode(F.expr("sequence(0L, level)")))
+    at = at.withColumn("j", F.explode(F.expr("sequence(0L, level - i)"))).withColumn("k", F.expr("level - i - j"))
+    e = sp.expanded(atoms_proxy(spark, sf_dir))
+    for n, ident in ((1, "a"), (2, "b"), (3, "c")):
+        at = at.join(sp.side(e, n, ident), ["mol_id", ident])
+    return at.select("mol_id", "a", "b", "c", "i", "j", "k", *[F.expr(q6(f"(i * {c}1 + j * {c}2 + k * {c}3) / greatest(level, 1)")).alias(c) for c in "xyz"])
 
 
-SIMPLEX = f"(k + 1) * (slot * {GOLDEN}e0 + {SIMPLEX_SHIFT}e0)"
+SIMPLEX = f"(atom_idx + 1) * (slot * {GOLDEN}e0 + {SIMPLEX_SHIFT}e0)"
 
 
-@query(f", raw AS (SELECT s.range AS supports, k.range AS k, j.range AS slot FROM range(4, 8) s, range(32) k, range(1, 8) j WHERE j.range <= s.range), w AS (SELECT *, {SIMPLEX} - floor({SIMPLEX}) + 0.05e0 AS w FROM raw) SELECT supports, k, slot, {q6('w / sum(w) OVER (PARTITION BY supports, k)')} AS weight FROM w")
+@query(f", raw AS (SELECT mol_id, atom_idx, j.range AS slot FROM e, range(1, 8) j WHERE j.range <= 4 + atom_idx % 4), w AS (SELECT *, {SIMPLEX} - floor({SIMPLEX}) + 0.05e0 AS w FROM raw) SELECT mol_id, atom_idx, slot, {q6('w / sum(w) OVER (PARTITION BY mol_id, atom_idx)')} AS weight FROM w")
 def simplex_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """32 low-discrepancy rows of weights for 4 to 7 supports."""
-    raw = spark.range(4, 8).select(F.col("id").alias("supports")).withColumn("k", F.explode(F.expr("sequence(0L, 31L)"))).withColumn("slot", F.explode(F.expr("sequence(1L, supports)")))
-    w = raw.withColumn("w", F.expr(f"{SIMPLEX} - floor({SIMPLEX}) + 0.05e0")).withColumn("total", F.sum("w").over(Window.partitionBy("supports", "k")))
-    return w.select("supports", "k", "slot", F.expr(q6("w / total")).alias("weight"))
+    """For every atom a low-discrepancy row of weights over 4 to 7 supports."""
+    weight = lambda slot: f"(atom_idx + 1) * ({slot} * {GOLDEN}e0 + {SIMPLEX_SHIFT}e0)"
+    rows = F.expr(f"transform(sequence(1L, 4L + atom_idx % 4), slot -> {weight('slot')} - floor({weight('slot')}) + 0.05e0)")
+    w = atoms_proxy(spark, sf_dir).select("mol_id", "atom_idx", rows.alias("w")).withColumn("total", F.expr("aggregate(w, 0e0, (s, x) -> s + x)"))
+    return w.select("mol_id", "atom_idx", "total", F.posexplode("w").alias("slot", "v")).select("mol_id", "atom_idx", (F.col("slot") + 1).cast("long").alias("slot"), F.expr(q6("v / total")).alias("weight"))
 
 
 CAP = [
-    ("s", "k + 0.5e0"),
+    ("s", "atom_idx + 0.5e0"),
     ("h", f"s * {CAP_STEPS[0]}e0 - floor(s * {CAP_STEPS[0]}e0)"),
     ("phi", f"{TAU} * (s * {CAP_STEPS[1]}e0 + {CAP_STEPS[2]}e0 - floor(s * {CAP_STEPS[1]}e0 + {CAP_STEPS[2]}e0))"),
     ("cosine", "1e0 - h * (1e0 - 0.25e0)"),
     ("sine", "sqrt(greatest(1e0 - cosine * cosine, 0e0))"),
-    ("x", "sine * cos(phi)"),
-    ("y", "sine * sin(phi)"),
-    ("z", "cosine"),
+    ("px", "x + r * sine * cos(phi)"),
+    ("py", "y + r * sine * sin(phi)"),
+    ("pz", "z + r * cosine"),
 ]
 
 
-@query(f" SELECT k, {rounded_sql(['x', 'y', 'z'])} FROM (SELECT *, {steps_sql(CAP)} FROM (SELECT range AS k FROM range(256)))")
+@query(f" SELECT mol_id, atom_idx, {rounded_sql(['px', 'py', 'pz'])} FROM (SELECT *, {steps_sql(CAP)} FROM e)")
 def cap_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """256 low-discrepancy directions on the cap of cosine 0.25 around z."""
-    return sp.rounded(with_steps(spark.range(256).withColumnRenamed("id", "k"), CAP), ["k"], ["x", "y", "z"])
+    """For every atom a point of its expanded sphere, on the cap of cosine 0.25 around z, by a low-discrepancy sequence."""
+    return sp.rounded(with_steps(sp.expanded(atoms_proxy(spark, sf_dir)), CAP), ["mol_id", "atom_idx"], ["px", "py", "pz"])
 
 
 # --- molecules -----------------------------------------------------------
