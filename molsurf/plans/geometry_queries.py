@@ -345,7 +345,15 @@ def voxel_free_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) SELECT mol_id, ix, iy, iz FROM reach"""
 )
 def flood_fill_exterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free voxels that a probe reaches from the grid's faces: components inside blocks of the grid, then links between neighbours."""
+    """Free voxels that a probe reaches from the grid's faces: one grid per task, bounded by its number of cells; larger ones go by ``flood_fill_by_blocks``."""
+    from ..functions.kernels import flood_group
+
+    return free_voxels(spark, sf_dir).select("mol_id", "ix", "iy", "iz", "nx", "ny", "nz").groupBy("mol_id").applyInPandas(flood_group, "mol_id long, ix long, iy long, iz long")
+
+
+@query(SQL["flood_fill_exterior"].removeprefix(f"WITH RECURSIVE {proxy.SQL}"))
+def flood_fill_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for grids of any size: components inside blocks of the grid, then links between neighbours."""
     atoms = atoms_proxy(spark, sf_dir)
     frame = tiles.frames(atoms, PROBE, SPACING, 1 << 62)
     return tiles.reached_cells(tiles.flood_by_blocks(atoms, frame, PROBE), frame)
