@@ -379,27 +379,33 @@ SDF_SQL = seeds_sql(SDF_SEEDS, "r") + f""", terms AS (
 
 #: Beyond this many smoothing lengths below the largest term, terms add less than 5e-18 each: a billion atoms stay under 1e-8.
 SDF_TERMS = 40
+#: Terms of a weight of ``FEATURE`` are less than this below the largest one.
+SDF_HEAVY = 2.5
 
 
-def sdf_terms(points: DataFrame, e: DataFrame) -> DataFrame:
-    """(mol_id, point_id, x, y, z, atom_idx, weight w): each point with the atoms of its molecule that count, shifted by the largest exponent.
+def sdf_terms(points: DataFrame, e: DataFrame, terms: float = SDF_TERMS) -> DataFrame:
+    """Each row of points (mol_id, point_id, x, y, z and more) with the atoms (atom_idx, ox, oy, oz) of its molecule whose exponent v is at least -terms.
 
     Points must lie on or inside some expanded sphere, as seeds do, so the largest
     exponent is not negative, and atoms farther than their radius and ``SDF_TERMS``
     smoothing lengths do not count: an equi-join on cells finds the others.
     """
     ball = e.select("mol_id", "atom_idx", *[F.col(c).alias(f"{c}b") for c in "xyzr"])
-    at = points.select("mol_id", "point_id", *[F.col(c).alias(f"{c}a") for c in "xyz"])
-    t = sp.near(at, ball, sp.REACH + SDF_TERMS * SMOOTH)
-    t = t.select("mol_id", "point_id", *[F.col(f"{c}a").alias(c) for c in "xyz"], "atom_idx", *[F.col(f"{c}b").alias(f"o{c}") for c in "xyzr"])
-    t = with_steps(t, [("dist", "sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz))"), ("v", f"(`or` - dist) / {SMOOTH}e0")]).where(F.col("v") >= -float(SDF_TERMS))
-    return t.withColumn("vmax", F.max("v").over(Window.partitionBy("mol_id", "point_id"))).withColumn("w", F.exp(F.col("v") - F.col("vmax")))
+    at = points.withColumnsRenamed({c: f"{c}a" for c in "xyz"})
+    t = sp.near(at, ball, sp.REACH + terms * SMOOTH)
+    t = t.withColumnsRenamed({f"{c}a": c for c in "xyz"} | {f"{c}b": f"o{c}" for c in "xyzr"})
+    return with_steps(t, [("dist", "sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz))"), ("v", f"(`or` - dist) / {SMOOTH}e0")]).where(F.col("v") >= -float(terms))
 
 
 def sdf_of(points: DataFrame, e: DataFrame) -> DataFrame:
-    """value, gradient g and its length gn at each point: a smooth minimum of the distances to the expanded spheres."""
-    sums = sdf_terms(points, e).groupBy("mol_id", "point_id").agg(*[F.max(c).alias(c) for c in "xyz"], F.max("vmax").alias("vmax"), F.sum("w").alias("w"), *[F.sum(F.col("w") * (F.col(c) - F.col(f"o{c}")) / F.col("dist")).alias(f"g{c}") for c in "xyz"])
-    return with_steps(sums, [("value", f"-{SMOOTH}e0 * (vmax + ln(w))"), ("gn", "sqrt(gx * gx + gy * gy + gz * gz)")])
+    """value, gradient g and its length gn at each point, its sum w and largest exponent vmax: a smooth minimum of the distances to the expanded spheres.
+
+    No exponent is above the radius in smoothing lengths, so terms need no shift: they
+    are summed where the join finds them, and only a row a point is shuffled.
+    """
+    w = F.exp("v")
+    sums = sdf_terms(points.select("mol_id", "point_id", *"xyz"), e).groupBy("mol_id", "point_id", *"xyz").agg(F.max("v").alias("vmax"), F.sum(w).alias("w"), *[F.sum(w * (F.col(c) - F.col(f"o{c}")) / F.col("dist")).alias(f"g{c}") for c in "xyz"])
+    return with_steps(sums, [("value", f"-{SMOOTH}e0 * ln(w)"), ("gn", "sqrt(gx * gx + gy * gy + gz * gz)")])
 
 
 def sdf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,7 +432,9 @@ def sdf_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sdf_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atoms of softmax weight at least 0.1, or of the largest weight, at each point."""
     e = sp.expanded(atoms_proxy(spark, sf_dir))
-    w = sdf_terms(seeds(e, SDF_SEEDS, "r"), e).withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy("mol_id", "point_id")))
+    sums = sdf_of(seeds(e, SDF_SEEDS, "r"), e).select("mol_id", "point_id", *"xyz", "vmax", F.col("w").alias("total"))
+    # a weight of 0.1 is an exponent at most ln(10) below the largest one, which is not negative
+    w = sdf_terms(sums, e, SDF_HEAVY).withColumn("w", F.exp(F.col("v") - F.col("vmax"))).withColumn("weight", F.exp("v") / F.col("total"))
     return sp.rounded(w.where(f"weight >= {FEATURE} OR w = 1.0"), ["mol_id", "point_id", "atom_idx"], ["weight"])
 
 

@@ -49,3 +49,10 @@ def test_dense_molecules(spark, dense, name, monkeypatch):
     want = con.execute(gq.SQL[name]).fetchall()
     assert len(want) and sorted(map(tuple, got.collect())) == sorted(want)
     assert all(p.count() < whole / 2 for p in asked) and asked
+
+
+@pytest.mark.parametrize("name", ["sdf_values", "sdf_supports"])
+def test_smooth_distance_sorts_no_terms(spark, dense, name):
+    """Terms are summed where they are joined: no window over the terms of a point."""
+    plan = gq.QUERIES[name](spark, dense)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "windowspecdefinition" in line and "point_id" in line]
