@@ -13,6 +13,7 @@ from molsurf.sources.proxy import atoms_proxy
 
 NAMES = [
     "triangles",
+    "triangles_capped",
 ]
 
 
