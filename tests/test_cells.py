@@ -14,6 +14,7 @@ from molsurf.sources.proxy import atoms_proxy
 NAMES = [
     "triangles",
     "triangles_capped",
+    "triple_centers",
 ]
 
 
