@@ -15,6 +15,7 @@ NAMES = [
     "triangles",
     "triangles_capped",
     "triple_centers",
+    "barycentric_rows",
 ]
 
 
