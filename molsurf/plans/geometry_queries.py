@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CAP_STEPS, EPS, GOLDEN, MAX_SUPPORTS, PAIR_FILTER, PROBE, SIMPLEX_SHIFT
@@ -475,14 +475,23 @@ def tiles_of(e: DataFrame, size: float) -> DataFrame:
     return b.select("mol_id", *[f"l{c}" for c in "xyz"], *[F.greatest(F.lit(1), F.ceil(F.col(f"span{c}") / F.lit(size))).cast("long").alias(f"n{c}") for c in "xyz"])
 
 
+def tile_span(c: str, size: float, overlap: float) -> tuple[Column, Column]:
+    """First and last tile on an axis that an expanded sphere may reach, and perhaps one more at each end."""
+    first = F.greatest(F.lit(0), F.ceil((F.col(c) - F.col("r") - F.lit(size + overlap) - F.col(f"l{c}")) / F.lit(size)) - 1)
+    last = F.least(F.col(f"n{c}") - 1, F.floor((F.col(c) + F.col("r") + F.lit(overlap) - F.col(f"l{c}")) / F.lit(size)) + 1)
+    return first.cast("long"), last.cast("long")
+
+
+def tile_fits(c: str, start: Column, size: float, overlap: float) -> Column:
+    return (F.col(c) + F.col("r") >= start - overlap) & (F.col(c) - F.col("r") <= start + F.lit(size + overlap))
+
+
 def tile_atoms(e: DataFrame, size: float, overlap: float) -> DataFrame:
     """(mol_id, tile_id, atom_idx): each atom with the tiles whose widened box its expanded sphere's box meets; the atom computes its tiles, so there is no range join."""
     at = e.join(tiles_of(e, size), "mol_id")
     for c in "xyz":
-        first = F.greatest(F.lit(0), F.ceil((F.col(c) - F.col("r") - F.lit(size + overlap) - F.col(f"l{c}")) / F.lit(size)) - 1)
-        last = F.least(F.col(f"n{c}") - 1, F.floor((F.col(c) + F.col("r") + F.lit(overlap) - F.col(f"l{c}")) / F.lit(size)) + 1)
-        at = at.withColumn(f"i{c}", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn(f"{c}0", F.col(f"l{c}") + F.col(f"i{c}") * F.lit(size))
-        at = at.where((F.col(c) + F.col("r") >= F.col(f"{c}0") - overlap) & (F.col(c) - F.col("r") <= F.col(f"{c}0") + F.lit(size + overlap)))
+        at = at.withColumn(f"i{c}", F.explode(F.sequence(*tile_span(c, size, overlap)))).withColumn(f"{c}0", F.col(f"l{c}") + F.col(f"i{c}") * F.lit(size))
+        at = at.where(tile_fits(c, F.col(f"{c}0"), size, overlap))
     return at.select("mol_id", ((F.col("ix") * F.col("ny") + F.col("iy")) * F.col("nz") + F.col("iz")).alias("tile_id"), "atom_idx")
 
 
@@ -499,9 +508,21 @@ def tile_atom_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRS + TILES + " SELECT p.mol_id, x.tile_id, p.a, p.b FROM pairs p JOIN ta x ON x.mol_id = p.mol_id AND x.atom_idx = p.a JOIN ta y ON y.mol_id = p.mol_id AND y.tile_id = x.tile_id AND y.atom_idx = p.b")
 def tile_pair_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tile_atom_overlap(spark, sf_dir)
-    p = pairs(spark, sf_dir).select("mol_id", "a", "b")
-    return p.join(t.withColumnRenamed("atom_idx", "a"), ["mol_id", "a"]).join(t.withColumnRenamed("atom_idx", "b"), ["mol_id", "b", "tile_id"]).select("mol_id", "tile_id", "a", "b")
+    """Each crossing pair with the tiles that both atoms reach: an atom's tiles are a range on each axis, so a pair computes its own from the two."""
+    atoms = atoms_proxy(spark, sf_dir)
+    at = sp.expanded(atoms).join(tiles_of(sp.expanded(atoms), TILE), "mol_id")
+    for c in "xyz":
+        first, last = tile_span(c, TILE, OVERLAP)
+        fits = lambda i: tile_fits(c, F.col(f"l{c}") + i * F.lit(TILE), TILE, OVERLAP)  # noqa: B023, E731
+        at = at.withColumn("_i", F.filter(F.sequence(first, last), fits)).withColumns({f"f{c}": F.array_min("_i"), f"g{c}": F.array_max("_i")}).drop("_i")
+    at = at.select(*atoms.columns, *[f"{s}{c}" for s in "fg" for c in "xyz"], "ny", "nz")
+    p = sp.pair_graph(at, keep=[f"{s}{c}" for s in "fg" for c in "xyz"], keep_first=["ny", "nz"])
+    low, high = {c: F.greatest(f"f{c}1", f"f{c}2") for c in "xyz"}, {c: F.least(f"g{c}1", f"g{c}2") for c in "xyz"}
+    p = p.where((low["x"] <= high["x"]) & (low["y"] <= high["y"]) & (low["z"] <= high["z"]))
+    p = p.select("mol_id", "a", "b", "ny", "nz", *[v.alias(f"l{c}") for c, v in low.items()], *[v.alias(f"h{c}") for c, v in high.items()])
+    for c in "xyz":
+        p = p.withColumn(f"i{c}", F.explode(F.sequence(f"l{c}", f"h{c}")))
+    return p.select("mol_id", ((F.col("ix") * F.col("ny") + F.col("iy")) * F.col("nz") + F.col("iz")).alias("tile_id"), "a", "b")
 
 
 OWNER = "".join(f"least(n{c} - 1, greatest(0, floor(({c} - l{c}) / {TILE}e0)))|" for c in "xyz").split("|")

@@ -16,6 +16,7 @@ NAMES = [
     "triangles_capped",
     "triple_centers",
     "barycentric_rows",
+    "tile_pair_membership",
 ]
 
 
