@@ -17,6 +17,7 @@ NAMES = [
     "triple_centers",
     "barycentric_rows",
     "tile_pair_membership",
+    "pair_arc_cdf",
 ]
 
 
