@@ -134,8 +134,8 @@ ARC96 = fm.arc("((k + 0.5e0) / 96e0)", PROBE)
 @query(PAIRS + f", f AS (SELECT *, {steps_sql(ARC96)} FROM (SELECT *, {steps_sql(fm.pair_circle())} FROM pairs), (SELECT range AS k FROM range(96))) SELECT mol_id, a, b, {q6(f'{TAU} * {PROBE}e0 * max(alpha) * avg(axial)')} AS area FROM f GROUP BY mol_id, a, b")
 def pair_patch_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of the torus patch of each pair: 96 midpoints of the arc."""
-    knots = with_steps(pairs(spark, sf_dir), fm.pair_circle()).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(95))))
-    return with_steps(knots, ARC96).groupBy("mol_id", "a", "b").agg(F.expr(q6(f"{TAU} * {PROBE}e0 * max(alpha) * avg(axial)")).alias("area"))
+    got = sp.along_arcs(pairs(spark, sf_dir), (np.arange(96) + 0.5) / 96, "mean double", lambda axial: [axial.mean(1)])
+    return got.select("mol_id", "a", "b", F.expr(q6(f"{TAU} * {PROBE}e0 * alpha * mean")).alias("area"))
 
 
 ARC128 = fm.arc("(k / 128e0)", PROBE)

@@ -18,6 +18,7 @@ NAMES = [
     "barycentric_rows",
     "tile_pair_membership",
     "pair_arc_cdf",
+    "pair_patch_area",
 ]
 
 
