@@ -108,14 +108,16 @@ def graph_degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" SELECT a.mol_id, a.point_id AS a, b.point_id AS b, list_has_all(a.supports, b.supports) AND list_has_all(b.supports, a.supports) AS same FROM pts a JOIN pts b ON a.mol_id = b.mol_id AND a.point_id < b.point_id WHERE list_has_all(a.supports, b.supports) OR list_has_all(b.supports, a.supports)")
 def support_subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of points one of whose supports hold the other's: an equi-join on a shared support, then the subset test."""
+    """Pairs of points one of whose supports hold the other's. Distinct supports are compared once, by an equi-join on a shared one; then points meet by their supports, so no pair that is none is ever made twice or tested again."""
     p = points(spark, sf_dir).select("mol_id", "point_id", "supports")
-    side = lambda s: p.select("mol_id", F.col("point_id").alias(s), F.col("supports").alias(f"s{s}"), F.explode("supports").alias("atom"))
-    met = side("a").join(side("b"), ["mol_id", "atom"]).where("a < b")
-    # a pair that meets on several atoms counts once, on the least shared one
-    met = met.where("atom = array_min(array_intersect(sa, sb))")
+    sets = p.select("mol_id", "supports").distinct()
+    side = lambda s: sets.select("mol_id", F.col("supports").alias(f"s{s}"), F.explode("supports").alias("atom"))
+    # sets that meet on several atoms count once, on the least shared one
+    met = side("a").join(side("b"), ["mol_id", "atom"]).where("atom = array_min(array_intersect(sa, sb))")
     met = met.withColumns({"in_b": F.size(F.array_except("sa", "sb")) == 0, "in_a": F.size(F.array_except("sb", "sa")) == 0})
-    return met.where("in_a OR in_b").select("mol_id", "a", "b", (F.col("in_a") & F.col("in_b")).alias("same"))
+    met = met.where("in_a OR in_b").select("mol_id", "sa", "sb", (F.col("in_a") & F.col("in_b")).alias("same"))
+    of = lambda s: p.select("mol_id", F.col("point_id").alias(s), F.col("supports").alias(f"s{s}"))
+    return of("a").join(met, ["mol_id", "sa"]).join(of("b"), ["mol_id", "sb"]).where("a < b").select("mol_id", "a", "b", "same")
 
 
 KEYED = """, k AS (

@@ -8,6 +8,7 @@ import pytest
 
 from molsurf.functions import kernels as kn
 from molsurf.operators import spatial as sp
+from molsurf.plans import graph_queries as gq
 from molsurf.queries import ORACLE_SQL, QUERIES
 from molsurf.sources.proxy import atoms_proxy
 
@@ -64,3 +65,15 @@ def test_first_triangles_of_cells_hold_those_of_the_molecule(spark, crowd):
     every = sorted(map(tuple, sp.triangles_by_cell(atoms_proxy(spark, crowd)).where("mol_id = 0").collect()))
     first = sorted(map(tuple, sp.triangles_by_cell(atoms_proxy(spark, crowd), most=7).where("mol_id = 0").collect()))
     assert first[:7] == every[:7] and 7 < len(first) < len(every)
+
+
+def test_supports_are_compared_once_a_set(spark, monkeypatch):
+    """Nested and equal supports of two molecules, against brute force; only distinct supports meet by their atoms."""
+    sets = [[1], [2], [1, 2], [1, 2, 3], [3, 4], [4], [1, 2]]
+    given = [(m, k, sets[(k * (m + 2)) % 7]) for m in (0, 1) for k in range(20)]
+    monkeypatch.setattr(gq, "points", lambda *_: spark.createDataFrame(given, "mol_id long, point_id long, supports array<long>"))
+    got = gq.support_subset_pairs(spark, "")
+    want = [(m, i, j, set(s) == set(t)) for m, i, s in given for n, j, t in given if m == n and i < j and (set(s) <= set(t) or set(t) <= set(s))]
+    assert sorted(map(tuple, got.select("mol_id", "a", "b", "same").collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(supports") == plan.count("Aggregate [mol_id") == 2
