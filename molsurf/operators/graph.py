@@ -100,7 +100,7 @@ def prefiltered(points: DataFrame, k: int, steps: list[tuple[str, str]], allowed
     Those that come out short while there are more points are searched again by the topology.
     """
     most = max(FEWEST, TIMES * k)
-    nearest = checkpointed(nearest_in_cells(operand(points, "src", "a"), operand(points, "dst", "b"), most, steps, "metric", F.lit(True), limit))
+    nearest = nearest_in_cells(operand(points, "src", "a"), operand(points, "dst", "b"), most, steps, "metric", F.lit(True), limit)  # its parts are checkpoints
     best = ranked(nearest.where(allowed), k)
     found = nearest.groupBy("mol_id", "src").agg(F.count("*").alias("_all"), F.count(F.when(allowed, 1)).alias("_fit"))
     short = found.where((F.col("_all") >= most) & (F.col("_fit") < k)).select("mol_id", "src")
