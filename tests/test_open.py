@@ -7,6 +7,7 @@ import pytest
 from molsurf.functions import kernels as kn
 from molsurf.operators import spatial as sp
 from molsurf.plans import geometry_queries as gq
+from molsurf.plans import samplers as sm
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +57,16 @@ def test_smooth_distance_sorts_no_terms(spark, dense, name):
     """Terms are summed where they are joined: no window over the terms of a point."""
     plan = gq.QUERIES[name](spark, dense)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "windowspecdefinition" in line and "point_id" in line]
+
+
+@pytest.mark.parametrize("spread", [1.0, 3.0])
+def test_samplers_ask_open_atoms_alone(spread):
+    """The points of all atoms, pairs and triangles, from those of open atoms."""
+    rng = np.random.default_rng(4)
+    xyz, radii = rng.normal(size=(50, 3)) * spread, rng.choice([1.1, 1.52, 1.7, 1.9], 50)
+    some, every = (kn.Surface(xyz, radii, 1.4, 0.5) for _ in range(2))
+    every.open = np.ones(50, bool)
+    got, want = (sm.analytic_samples(s, sm.Density(point_area=2.0), sm.Blocks()).frame("m") for s in (some, every))
+    assert len(got) and got.astype(str).equals(want.astype(str))
+    assert "pairs" not in vars(some) and "triangles" not in vars(some)
+    assert len(some.open_triangles) < len(every.open_triangles) or spread > 1
