@@ -86,8 +86,18 @@ def found_in_tiles(near: DataFrame, frame: DataFrame, probe: float, density, blo
             at = np.clip(np.floor((p - low) / float(f["edge"])).astype(int), 0, dims - 1)
             return (at[:, 0] * dims[1] + at[:, 1]) * dims[2] + at[:, 2]
 
+        # the three atoms of a place in the tile are within a radius of it, so nearer to the tile than the halo goes
+        cell = np.array([tile // (dims[1] * dims[2]), tile // dims[2] % dims[1], tile % dims[2]])
+        corner = low + cell * float(f["edge"])
+        reach = float(f["rmax"]) + 0.01 + blocks.dedup
+        lower, upper = np.where(cell == 0, -np.inf, corner - reach), np.where(cell == dims - 1, np.inf, corner + float(f["edge"]) + reach)
+        inner = np.flatnonzero(((s.xyz >= lower) & (s.xyz <= upper)).all(1))
+        # atoms that the halo does not show to be covered stay open; of atoms outside that is not asked
+        s.open = np.ones(s.n, bool)
+        s.open[inner] = kn.open_spheres(s.xyz[inner], s.r[inner], s.xyz, s.r)
+        inner = inner[s.open[inner]]
         parts: list[pd.DataFrame] = []
-        atoms, pairs = np.flatnonzero(own), s.pairs[own[s.pairs[:, 0]]]
+        atoms, pairs = np.flatnonzero(own & s.open), s.open_pairs[own[s.open_pairs[:, 0]]] if filtered or sample else None
         if filtered:
             of, c = asked_atoms(s, atoms, blocks.atom_filter)
             parts.append(places(ATOM_BLOCK, s.ids[of], c))
@@ -95,13 +105,7 @@ def found_in_tiles(near: DataFrame, frame: DataFrame, probe: float, density, blo
             of, c = asked_pairs(s, pairs, blocks.pair_filter)
             parts.append(places(PAIR_BLOCK, s.ids[pairs[of, 0]] * s.total + s.ids[pairs[of, 1]], c))
             pairs = pairs[np.unique(of)]
-        # the three atoms of a place in the tile are within a radius of it, so nearer to the tile than the halo goes
-        cell = np.array([tile // (dims[1] * dims[2]), tile // dims[2] % dims[1], tile % dims[2]])
-        corner = low + cell * float(f["edge"])
-        reach = float(f["rmax"]) + 0.01 + blocks.dedup
-        lower, upper = np.where(cell == 0, -np.inf, corner - reach), np.where(cell == dims - 1, np.inf, corner + float(f["edge"]) + reach)
-        inner = np.flatnonzero(((s.xyz >= lower) & (s.xyz <= upper)).all(1))
-        abc = inner[kn.Surface(s.xyz[inner], s.radii[inner], probe).triangles]
+        abc = inner[s.among(inner).triangles]
         both, ok = s.triple_centers(abc) if len(abc) else (np.empty((0, 2, 3)), np.empty(0, bool))
         c = both.reshape(-1, 3)
         key = np.rint(np.nan_to_num(c) / blocks.dedup).astype(np.int64)
