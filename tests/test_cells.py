@@ -77,3 +77,8 @@ def test_supports_are_compared_once_a_set(spark, monkeypatch):
     assert sorted(map(tuple, got.select("mol_id", "a", "b", "same").collect())) == sorted(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(supports") == plan.count("Aggregate [mol_id") == 2
+
+
+def test_pairs_are_not_joined_to_tiles(spark, crowd):
+    plan = QUERIES["tile_pair_membership"](spark, crowd)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join " in line and "tile_id" in line]
