@@ -68,7 +68,6 @@ def typed_by(points: DataFrame) -> tuple[bool, bool]:
 
 def topology(disjoint: bool, supports: bool = True, blocks: bool = True) -> Column:
     """Same block, or supports one of which hold the other; single disjoint supports only if asked for."""
-    subset = lambda a, b: F.size(F.array_except(a, b)) == 0
     ok = F.lit(False) if supports or blocks else F.lit(True)
     if blocks:
         ok = ok | ((F.col("block_typea") == F.col("block_typeb")) & (F.col("block_ida") == F.col("block_idb")))
@@ -87,6 +86,8 @@ THETA = ("theta", "acos(least(1e0, greatest(-1e0, nxa * nxb + nya * nyb + nza *
 FEWEST, TIMES = 64, 8
 #: Places to each side that a window reaches at least.
 NARROWEST = 8
+#: Allowed pairs a point, on average, up to which an exact search makes them all.
+MOST_ALLOWED = 500
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -111,6 +112,41 @@ def prefiltered(points: DataFrame, k: int, steps: list[tuple[str, str]], allowed
     return best.join(short, ["mol_id", "src"], "left_anti").unionByName(more.select(*best.columns))
 
 
+def subset(a: str, b: str) -> Column:
+    return F.size(F.array_except(a, b)) == 0
+
+
+def allowed_pairs(points: DataFrame, supports: bool, blocks: bool) -> DataFrame | None:
+    """All pairs that the topology allows, by equi-joins on blocks and on supports one of which hold the other; None where they are more than ``MOST_ALLOWED`` a point.
+
+    Of a surface's points few pairs are allowed, near or far, so these joins are
+    short where cells would have to grow until they span the molecule. Distinct
+    supports are compared once, on their least shared atom. Supports without atoms,
+    which all others hold, or with a null are left to the cells.
+    """
+    a, b, parts, total = operand(points, "src", "a"), operand(points, "dst", "b"), [], 0
+    if supports:
+        odd = points.where((F.size("supports") == 0) | F.exists("supports", lambda x: x.isNull()))
+        if not odd.isEmpty():
+            return None
+        sets = points.groupBy("mol_id", "supports").agg(F.count("*").alias("_n"))
+        side = lambda s: sets.select("mol_id", F.col("supports").alias(f"_s{s}"), F.col("_n").alias(f"_n{s}"), F.explode(F.array_distinct("supports")).alias("_atom"))
+        met = side("a").join(side("b"), ["mol_id", "_atom"]).where("_atom = array_min(array_intersect(_sa, _sb))").where(subset("_sa", "_sb") | subset("_sb", "_sa"))
+        met = checkpointed(met.select("mol_id", "_sa", "_sb", "_na", "_nb"))
+        total += met.agg(F.sum(F.col("_na") * F.col("_nb"))).first()[0] or 0
+        parts.append(a.join(met.select("mol_id", F.col("_sa").alias("supportsa"), F.col("_sb").alias("_s")), ["mol_id", "supportsa"]).join(b.withColumn("_s", F.col("supportsb")), ["mol_id", "_s"]).drop("_s"))
+    if blocks:
+        total += points.where("block_type is not null and block_id is not null").groupBy("mol_id", "block_type", "block_id").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+        own = a.withColumns({"_t": F.col("block_typea"), "_i": F.col("block_ida")}).join(b.withColumns({"_t": F.col("block_typeb"), "_i": F.col("block_idb")}), ["mol_id", "_t", "_i"]).drop("_t", "_i")
+        if supports:
+            own = own.where(~F.coalesce(subset("supportsa", "supportsb") | subset("supportsb", "supportsa"), F.lit(False)))
+        parts.append(own)
+    if total > MOST_ALLOWED * points.count():
+        return None
+    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return pairs.where("src <> dst")
+
+
 def windowed(points: DataFrame, k: int, steps: list[tuple[str, str]], allowed: Column, limit: float | None) -> DataFrame:
     """Up to k near allowed points of each: of its block those a few places away in spatial order, and so for each of its supports.
 
@@ -150,7 +186,13 @@ def surface_edges(points: DataFrame, options: GraphOptions = GraphOptions()) ->
     elif typed and supports and blocks and o.search == "windowed" and not o.allow_disjoint_single_support_edges:
         pairs = windowed(unit, pool, steps, allowed, o.max_distance)
     else:
-        pairs = nearest_in_cells(operand(unit, "src", "a"), operand(unit, "dst", "b"), pool, steps, "metric", allowed, o.max_distance)
+        made = allowed_pairs(unit, supports, blocks) if typed and not o.allow_disjoint_single_support_edges else None
+        if made is None:
+            pairs = nearest_in_cells(operand(unit, "src", "a"), operand(unit, "dst", "b"), pool, steps, "metric", allowed, o.max_distance)
+        else:
+            for name, expression in steps:
+                made = made.withColumn(name, F.expr(expression))
+            pairs = ranked(made if o.max_distance is None else made.where(F.col("d") <= o.max_distance), pool)
     nearest = Window.partitionBy("mol_id", "src").orderBy("metric", "dst")
     along = lambda s: f"abs(((xb - xa) * nx{s} + (yb - ya) * ny{s} + (zb - za) * nz{s}) / d) <= {o.max_tangent_component}e0"
     valid = pairs.where("d > 1e-12").where(f"cos(theta) >= {o.min_normal_cosine - 1e-15} AND {along('a')} AND {along('b')}")

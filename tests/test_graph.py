@@ -109,3 +109,21 @@ def test_supports_or_blocks_alone(spark):
     for bad in (p.drop("block_id"), p.withColumn("supports", F.lit("0")), p.drop("nx")):
         with pytest.raises(ValueError):
             surface_edges(bad)
+
+
+@pytest.mark.parametrize("mode", ["euclidean", "geodesic"])
+def test_allowed_pairs_are_joined_by_topology(spark, monkeypatch, mode):
+    """The same edges as by cells, without them; supports that are empty, or too many allowed pairs, are left to the cells."""
+    p = sphere(spark, 260)
+    repeated = p.withColumns({"supports": F.when(F.col("point_id") % 9 == 0, F.concat("supports", "supports")).when(F.col("point_id") % 9 != 1, F.col("supports")), "block_id": F.when(F.col("point_id") % 5 != 0, F.col("block_id"))})
+    empty = p.withColumn("supports", F.when(F.col("point_id") % 9 == 0, F.array().cast("array<int>")).otherwise(F.col("supports")))
+    calls, cells = [], graph.nearest_in_cells
+    monkeypatch.setattr(graph, "nearest_in_cells", lambda *a: calls.append(1) or cells(*a))
+    for points, by_cells in ((p, 0), (repeated, 0), (p.drop("supports"), 0), (p.drop("block_type", "block_id"), 0), (empty, 1)):
+        found = []
+        for most in (500, 0):
+            monkeypatch.setattr(graph, "MOST_ALLOWED", most)
+            calls.clear()
+            found.append(sorted(map(tuple, surface_edges(points, GraphOptions(4, 6, weight_mode=mode, max_tangent_component=1.0, max_distance=0.7)).collect())))
+            assert len(calls) == (by_cells if most else 1)
+        assert found[0] == found[1] and found[0]

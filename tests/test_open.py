@@ -70,3 +70,22 @@ def test_samplers_ask_open_atoms_alone(spread):
     assert len(got) and got.astype(str).equals(want.astype(str))
     assert "pairs" not in vars(some) and "triangles" not in vars(some)
     assert len(some.open_triangles) < len(every.open_triangles) or spread > 1
+
+
+@pytest.mark.parametrize("dense_up_to", [2000, 0])
+def test_covered_places_meet_few_spheres(monkeypatch, dense_up_to):
+    """Places outside all spheres are brute force's; most others are seen to be inside by the spheres deepest around their cube."""
+    rng = np.random.default_rng(4)
+    xyz, radii = rng.normal(size=(600, 3)) * 4, rng.uniform(1.1, 1.9, 600)
+    monkeypatch.setattr(kn, "DENSE", dense_up_to)
+    s = kn.Surface(xyz, radii, 1.4)
+    p = (xyz[:, None] + s.r[:, None, None] * kn.fibonacci(40)).reshape(-1, 3)
+    d2 = ((p[:, None] - xyz) ** 2).sum(2)
+    r2 = s.r**2
+    want = (d2 >= r2 - kn.TOUCH * kn.EPS * np.maximum(np.maximum(d2, r2), 1)).all(1)
+    sizes = []
+    monkeypatch.setattr(kn, "apart2", lambda *a, keep=kn.apart2: (sizes.append((x := keep(*a)).size), x)[1])
+    assert (s.outside(p, s.r, kn.TOUCH) == want).all() and 0 < want.sum() < 0.2 * len(p)
+    assert sum(sizes) < 0.6 * len(p) * len(xyz)
+    s.outside(p, s.r, kn.TOUCH)
+    assert len(s.deepest) < len(p) and (s.outside(p[:0], s.r, kn.TOUCH).shape == (0,))
