@@ -82,3 +82,13 @@ def test_supports_are_compared_once_a_set(spark, monkeypatch):
 def test_pairs_are_not_joined_to_tiles(spark, crowd):
     plan = QUERIES["tile_pair_membership"](spark, crowd)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join " in line and "tile_id" in line]
+
+
+def test_pairs_deal_an_atom_to_half_of_the_cells_around_it(spark, crowd):
+    """Fifteen rows an atom are shuffled, and none sorted: the pairs are held on the side that goes nowhere else."""
+    got = QUERIES["pair_circle_params"](spark, crowd)
+    assert len(sp.AHEAD) == 14 and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{crowd}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL['pair_circle_params']})").fetchall()
+    assert len(want) and sorted(map(tuple, got.collect())) == sorted(want)
