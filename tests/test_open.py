@@ -89,3 +89,31 @@ def test_covered_places_meet_few_spheres(monkeypatch, dense_up_to):
     assert sum(sizes) < 0.6 * len(p) * len(xyz)
     s.outside(p, s.r, kn.TOUCH)
     assert len(s.deepest) < len(p) and (s.outside(p[:0], s.r, kn.TOUCH).shape == (0,))
+
+
+def test_smooth_distance_looks_at_near_atoms_only(monkeypatch):
+    """A long chain of atoms: the values and normals of all terms, from a fraction of them."""
+    rng = np.random.default_rng(6)
+    xyz = np.c_[np.arange(1500) * 0.4, rng.normal(size=(1500, 2))]
+    s = kn.Surface(xyz, rng.uniform(1.1, 1.9, 1500), 1.4)
+    p = np.concatenate([(s.xyz[None] + s.r[None, :, None] * kn.fibonacci(6)[:, None]).reshape(-1, 3), s.xyz[:2], [[np.nan, 0, 0]]])
+    value, normal, _ = sm.soft_distance(s, p[:-1], 0.3)
+    sizes = []
+    monkeypatch.setattr(kn, "apart2", lambda *a, keep=kn.apart2: (sizes.append((x := keep(*a)).size), x)[1])
+    got, along = sm.soft_place(s, p, 0.3)
+    assert np.abs(got[:-1] - value).max() < 1e-12 and np.abs(along[:-1] - normal).max() < 1e-9 and np.isnan(got[-1])
+    assert sum(sizes) < 0.6 * len(p) * s.n
+
+
+def test_seeds_of_a_molecule_are_dealt_over_tasks(spark, dense, monkeypatch):
+    """The same points from one part and from several; each part has its share of the seeds."""
+    from molsurf.sources.proxy import atoms_proxy
+
+    rows = []
+    for most in (1, 3):
+        monkeypatch.setattr(sm, "MOST_PARTS", most)
+        monkeypatch.setattr(sm, "PART_PAIRS", 20_000)
+        got = sm.level_set(atoms_proxy(spark, dense), 12, subsample_spacing=0.8)
+        assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
+        rows.append(sorted((r["mol_id"], r["point_id"], *(round(r[c], 6) for c in ("x", "y", "z", "nx", "ny", "nz"))) for r in got.collect()))
+    assert rows[0] == rows[1] and rows[0]
