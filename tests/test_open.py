@@ -117,3 +117,20 @@ def test_seeds_of_a_molecule_are_dealt_over_tasks(spark, dense, monkeypatch):
         assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
         rows.append(sorted((r["mol_id"], r["point_id"], *(round(r[c], 6) for c in ("x", "y", "z", "nx", "ny", "nz"))) for r in got.collect()))
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_no_triangle_is_left_out():
+    """5.4 million triangles of a tight cluster come before that of three atoms apart, whose two probe positions are found."""
+    xyz = np.concatenate([kn.fibonacci(320), [(40, 0, 0), (42.8, 0, 0), (41.4, 2.3, 0)]])
+    s = kn.Surface(xyz, np.full(323, 1.5), 1.4)
+    asked = sm.Blocks()
+    found = s.probe_blocks(asked.max_supports, asked.support_tolerance, asked.dedup)
+    assert [sign for _, sign, sup in found if list(sup) == [320, 321, 322]] == [0, 1]
+
+
+def test_all_atoms_that_a_probe_touches_are_named():
+    """Twenty atoms around one place: each of its blocks' supports are all of them."""
+    s = kn.Surface(5 * kn.unit(np.stack([np.cos(np.arange(20) * np.pi / 10), np.sin(np.arange(20) * np.pi / 10), np.full(20, 0.3)], 1)), np.full(20, 3.6), 1.4)
+    many = sm.Blocks()
+    blocks = [sup for c, _, sup in s.probe_blocks(many.max_supports, many.support_tolerance, many.dedup) if np.linalg.norm(c) < 1e-6]
+    assert len(blocks) == 1 and sorted(blocks[0]) == list(range(20))
