@@ -134,3 +134,11 @@ def test_all_atoms_that_a_probe_touches_are_named():
     many = sm.Blocks()
     blocks = [sup for c, _, sup in s.probe_blocks(many.max_supports, many.support_tolerance, many.dedup) if np.linalg.norm(c) < 1e-6]
     assert len(blocks) == 1 and sorted(blocks[0]) == list(range(20))
+
+
+def test_blocks_beyond_five_million_triangles_are_sampled():
+    """The analytic sampler has points of the last triangle's two patches."""
+    xyz = np.concatenate([kn.fibonacci(320), [(40, 0, 0), (42.8, 0, 0), (41.4, 2.3, 0)]])
+    got = sm.analytic_samples(kn.Surface(xyz, np.full(323, 1.5), 1.4), sm.Density(point_area=6.0, atom=0.0, pair=0.0), sm.Blocks()).frame("m")
+    last = ((320 * 323 + 321) * 323 + 322) * 2
+    assert {last, last + 1} <= set(got["block_id"]) and (got["block_type"] == 3).all()
