@@ -142,3 +142,23 @@ def test_blocks_beyond_five_million_triangles_are_sampled():
     got = sm.analytic_samples(kn.Surface(xyz, np.full(323, 1.5), 1.4), sm.Density(point_area=6.0, atom=0.0, pair=0.0), sm.Blocks()).frame("m")
     last = ((320 * 323 + 321) * 323 + 322) * 2
     assert {last, last + 1} <= set(got["block_id"]) and (got["block_type"] == 3).all()
+
+
+def test_smooth_distance_makes_no_rows_of_points_and_atoms(spark, dense):
+    """Terms are summed inside a cell's task; the plan joins no points with atoms, and the rows are the SQL's."""
+    got = gq.QUERIES["sdf_step"](spark, dense)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and not [line for line in plan.splitlines() if "Join" in line]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{dense}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(gq.SQL["sdf_step"]).fetchall())
+
+
+def test_points_without_a_place_have_no_smooth_distance(spark, tmp_path):
+    """As in the SQL, an atom without coordinates has its seeds' rows, without values, and adds no terms to others."""
+    spark.createDataFrame([(0, [0.1, 0.0, 0.0], 1), (1, None, 1), (2, [0.15, 0.02, 0.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("sdf_values", "sdf_step"):
+        want = con.execute(gq.SQL[name]).fetchall()
+        assert len(want) == 24 and sorted(map(tuple, gq.QUERIES[name](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
